@@ -12,6 +12,12 @@ def flags(**values: Column) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
 
 
+def flags_json(**values: Column) -> Column:
+    """JSON text of the non-null flags with sorted keys."""
+    fields = [v.cast("string").alias(k) for k, v in sorted(values.items())]
+    return F.to_json(F.struct(*fields))
+
+
 def merge(*maps: Column) -> Column:
     """Later keys win (needs the LAST_WIN map policy of the pinned session)."""
     return F.map_concat(*maps)

@@ -25,13 +25,6 @@ def is_hex(token: Column) -> Column:
     return token.rlike("^[0-9A-Fa-f]+$")
 
 
-def first_token(line: Column) -> Column:
-    """First blank-separated token of a list line; NULL for blanks and comments."""
-    stripped = F.regexp_replace(line, r"^\s+|\s+$", "")
-    usable = (stripped != "") & ~stripped.startswith("#")
-    return F.when(usable, F.element_at(F.split(stripped, r"\s+", 2), 1))
-
-
 def has_digest(md5: Column, sha1: Column, sha256: Column) -> Column:
     """True when at least one digest is present (empty text counts as absent)."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in (md5, sha1, sha256)]).isNotNull()

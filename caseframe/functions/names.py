@@ -10,7 +10,7 @@ _UNSAFE = r"[\p{C}\p{Z}&&[^ ]]|:"
 
 
 def leaf(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def parent_dir(path: Column) -> Column:

@@ -84,36 +84,22 @@ def head_fields(parts: Column, line: Column) -> dict[str, Column]:
     }
 
 
-def head_components(raw_timestamp: Column) -> Column:
-    """Struct of month, day, hour, minute, second of a year-less head, or NULL."""
-    words = F.split(F.regexp_replace(raw_timestamp, r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
-    clock = F.split(F.try_element_at(words, F.lit(3)), ":")
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.try_element_at(words, F.lit(1)))
-
-    def number(c: Column) -> Column:
-        return c.try_cast("int")
-
-    day = number(F.try_element_at(words, F.lit(2)))
-    hour, minute, second = (number(F.try_element_at(clock, F.lit(i))) for i in (1, 2, 3))
-    complete = (
-        (F.size(words) >= 3)
-        & (month > 0)
-        & (F.size(clock) == 3)
-        & day.isNotNull()
-        & hour.isNotNull()
-        & minute.isNotNull()
-        & second.isNotNull()
-    )
-    return F.when(
-        complete,
-        F.struct(
-            month.cast("int").alias("month"),
-            day.alias("day"),
-            hour.alias("hour"),
-            minute.alias("minute"),
-            second.alias("second"),
-        ),
-    )
+_HEAD_TIME = rf"(?U)^\s*({'|'.join(MONTHS)})\s+(\d+)\s+(\d+):(\d+):(\d+)(?:\s.*)?$"
+
+
+def head_time_parts(raw_timestamp: Column) -> Column:
+    """Month name, day, hour, minute, second of a year-less head; size 1 if it is none."""
+    return _groups(raw_timestamp, _HEAD_TIME, 5)
+
+
+def head_time_fields(parts: Column) -> dict[str, Column]:
+    """Numbers of ``head_time_parts``; all NULL unless every one is there."""
+    complete = F.size(parts) == 5
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.get(parts, 0)).cast("int")
+    fields = {"month": F.when(complete, month)}
+    for i, name in enumerate(("day", "hour", "minute", "second"), start=1):
+        fields[name] = F.when(complete, F.get(parts, i).try_cast("int"))
+    return fields
 
 
 def _shape_matches(message: Column, words: tuple[str, ...], pattern: str) -> Column:
@@ -124,23 +110,39 @@ def _shape_matches(message: Column, words: tuple[str, ...], pattern: str) -> Col
     return test
 
 
+def _class(action, outcome, actor) -> Column:
+    def text(v: Column | str | None) -> Column:
+        return v if isinstance(v, Column) else F.lit(v).cast("string")
+
+    return F.struct(text(action).alias("action"), text(outcome).alias("outcome"), text(actor).alias("actor"))
+
+
+def no_class() -> Column:
+    return _class(None, None, None)
+
+
+def user_actor(user: Column) -> Column:
+    """``user=<name>`` or NULL, never a literal for an unknown user."""
+    return F.when(F.coalesce(user, F.lit("")) != "", F.concat(F.lit("user="), user))
+
+
 def auth_class(message: Column) -> Column:
-    """Struct of action, outcome, user; the first matching shape decides."""
-    token = F.nullif(F.regexp_extract(message, USER_TOKEN, 1), F.lit(""))
+    """Struct of action, outcome, actor; the first matching shape decides."""
+    token = user_actor(F.regexp_extract(message, USER_TOKEN, 1))
     expr = None
     for words, pattern, group, action, outcome in AUTH_SHAPES:
-        user = token
-        if group:
-            user = F.coalesce(F.nullif(F.regexp_extract(message, pattern, group), F.lit("")), token)
-        row = F.struct(F.lit(action).alias("action"), F.lit(outcome).alias("outcome"), user.alias("user"))
+        # A user group cannot match nothing, so the shape itself names the user.
+        actor = (
+            F.concat(F.lit("user="), F.regexp_extract(message, pattern, group)) if group else token
+        )
         test = _shape_matches(message, words, pattern)
+        row = _class(action, outcome, actor)
         expr = F.when(test, row) if expr is None else expr.when(test, row)
-    none = F.lit(None).cast("string")
-    return expr.otherwise(F.struct(none.alias("action"), none.alias("outcome"), token.alias("user")))
+    return expr.otherwise(_class(None, None, token))
 
 
 def syslog_class(program: Column, message: Column) -> Column:
-    """Struct of action (by program) and outcome (``error`` if a word names one)."""
+    """Struct of action (by program), outcome (``error`` if a word names one), no actor."""
     words = "|".join(w.replace("-", r"\-") for w in ERROR_WORDS)
     outcome = F.when(message.rlike(rf"(?iU)\b(?:{words})\b"), "error")
     action = (
@@ -149,12 +151,7 @@ def syslog_class(program: Column, message: Column) -> Column:
         .when(program.isin(*CRON_PROGRAMS), "cron")
         .otherwise("service")
     )
-    return F.struct(action.alias("action"), outcome.alias("outcome"))
-
-
-def user_actor(user: Column) -> Column:
-    """``user=<name>`` or NULL, never a literal for an unknown user."""
-    return F.when(F.coalesce(user, F.lit("")) != "", F.concat(F.lit("user="), user))
+    return _class(action, outcome, None)
 
 
 def zsh_fields(line: Column) -> Column:

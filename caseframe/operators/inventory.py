@@ -94,7 +94,7 @@ def normalize(
         with_macb(with_labels(with_allocation(entries)), zone), max_hash_size, typer
     )
     fat = labels.is_fat(F.col("fs_type_code")) & F.col("meta_addr").isNotNull()
-    flags = attributes.flags(
+    flags = attributes.flags_json(
         time_precision=F.when(fat, "local-time-inferred"),
         assumed_timezone=F.when(fat, zone),
         hash_skipped=F.col("hash_skipped"),
@@ -130,7 +130,7 @@ def normalize(
         none.cast("string").alias("confidence_tier"),
         none.cast("string").alias("recovered_path"),
         none.cast("boolean").alias("is_orphan"),
-        attributes.to_sorted_json(flags).alias("attributes"),
+        flags.alias("attributes"),
     )
 
 
@@ -146,8 +146,8 @@ def split_volumes(volumes: DataFrame) -> tuple[DataFrame, DataFrame]:
         "volume_offset",
         F.col("description").alias("detected_desc"),
         F.col("error").alias("reason"),
-        attributes.to_sorted_json(
-            attributes.flags(encryption_hint=signatures.container_hint(F.col("head")))
-        ).alias("attributes"),
+        attributes.flags_json(encryption_hint=signatures.container_hint(F.col("head"))).alias(
+            "attributes"
+        ),
     )
     return volumes.where("error is null"), limits

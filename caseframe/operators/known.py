@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseframe.functions import hashes
+from caseframe.functions.attributes import flags_json
+from caseframe.operators.ordered import bind
 
 PRIORITY = {"md5": 1, "sha1": 2, "sha256": 3}
 
 
 def hash_list(lines: DataFrame, list_name: str, sense: str, line_col: str = "value") -> DataFrame:
     """List lines to distinct (list_name, sense, algo, hash); bad tokens are skipped."""
-    token = lines.select(hashes.first_token(F.col(line_col)).alias("token"))
+    stripped = bind(lines.select(line_col), "_s", F.regexp_replace(F.col(line_col), r"^\s+|\s+$", ""))
+    kept = stripped.where((F.col("_s") != "") & ~F.startswith(F.col("_s"), F.lit("#")))
+    tokens = bind(kept, "hash", F.lower(F.get(F.split("_s", r"\s+", 2), 0)))
     return (
-        token.select(hashes.algorithm_of(F.col("token")).alias("algo"), F.lower("token").alias("hash"))
+        tokens.select(hashes.algorithm_of(F.col("hash")).alias("algo"), "hash")
         .where(F.col("algo").isNotNull() & hashes.is_hex(F.col("hash")))
         .distinct()
         .select(F.lit(list_name).alias("list_name"), F.lit(sense).alias("sense"), "algo", "hash")
@@ -115,8 +119,6 @@ def with_file_columns(matches: DataFrame, files: DataFrame) -> DataFrame:
 
 def hash_hits(matches: DataFrame, files: DataFrame) -> DataFrame:
     """Known-hash matches as search hits carrying the matched digest."""
-    from caseframe.functions.attributes import flags, to_sorted_json
-
     place = files.select(
         "evidence_source_id",
         "file_id",
@@ -142,5 +144,5 @@ def hash_hits(matches: DataFrame, files: DataFrame) -> DataFrame:
         none.cast("long").alias("block_index"),
         "path",
         none.cast("string").alias("context"),
-        to_sorted_json(flags(list=F.col("list_name"), matched_on=F.col("matched_on"))).alias("attributes"),
+        flags_json(list=F.col("list_name"), matched_on=F.col("matched_on")).alias("attributes"),
     )

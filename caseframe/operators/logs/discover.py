@@ -22,24 +22,14 @@ TAMPERABILITY = (
 )
 
 
-def parser_for(path: Column) -> Column:
-    """Name of the first parser, in declared order, that takes the path; else NULL."""
-    leaf = names.leaf(path)
-    return (
-        F.when(leaf.startswith("auth.log") | leaf.startswith("secure"), "auth")
-        .when(leaf.isin(*HISTORY_LEAVES), "shell-history")
-        .when(leaf.startswith("syslog") | leaf.startswith("messages"), "syslog")
-    )
+# Leaf of a rotated member: a base, alone, with a dotted suffix or with a dash date.
+_MEMBER = r"(?s)^(" + "|".join(b.replace(".", r"\.") for b in LOG_BASES) + r")(?:\..*|-\d{8}(?:\.gz)?)?$"
+_INDEX = r"^[a-z]+(?:\.log)?\.(\d+)(?:\.gz)?$"
+_DATE = r"^[a-z]+(?:\.log)?[.-](\d{8})(?:\.gz)?$"
 
 
-def _base_of(leaf: Column) -> Column:
-    """Base name of a rotated member (``base``, ``base.*`` or ``base-YYYYMMDD[.gz]``)."""
-    expr = None
-    for base in LOG_BASES:
-        dated = rf"^\Q{base}\E-\d{{8}}(?:\.gz)?$"
-        test = (leaf == base) | leaf.startswith(base + ".") | leaf.rlike(dated)
-        expr = F.when(test, base) if expr is None else expr.when(test, base)
-    return expr
+def _group(text: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
 def members(files: DataFrame) -> DataFrame:
@@ -49,31 +39,28 @@ def members(files: DataFrame) -> DataFrame:
     path of a history file. A dated suffix is a date, never an index. The live
     file and suffixes that are neither have index 0.
     """
-    leaf = names.leaf(F.col("path"))
-    tagged = files.withColumn("_leaf", leaf).withColumn("base", _base_of(F.col("_leaf")))
-    tagged = tagged.withColumn("is_history", F.col("_leaf").isin(*HISTORY_LEAVES)).where(
-        "base is not null or is_history"
-    )
-    rest = F.expr("substring(_leaf, length(base) + 1)")
-    index = F.nullif(F.regexp_extract(rest, r"^\.(\d+)(?:\.gz)?$", 1), F.lit(""))
-    date = F.nullif(F.regexp_extract(rest, r"^[.-](\d{8})(?:\.gz)?$", 1), F.lit(""))
+    leaf, history, base = F.col("_leaf"), F.col("is_history"), F.col("base")
     return (
-        tagged.withColumn("date_suffix", F.when(~F.col("is_history"), date))
+        files.withColumn("_leaf", names.leaf(F.col("path")))
+        .withColumns({"base": _group(leaf, _MEMBER), "is_history": leaf.isin(*HISTORY_LEAVES)})
+        .where("base is not null or is_history")
+        .withColumn("date_suffix", F.when(~history, _group(leaf, _DATE)))
         .withColumn(
             "rotation_index",
-            F.when(F.col("date_suffix").isNotNull(), F.lit(None).cast("long")).otherwise(
-                F.coalesce(F.when(~F.col("is_history"), index).try_cast("long"), F.lit(0))
+            F.when(
+                F.col("date_suffix").isNull(),
+                F.coalesce(F.when(~history, _group(leaf, _INDEX)).try_cast("long"), F.lit(0)),
             ),
         )
-        .withColumn("is_gz", ~F.col("is_history") & F.col("_leaf").endswith(".gz"))
-        .withColumn(
-            "set_key",
-            F.when(F.col("is_history"), F.col("path")).otherwise(
-                F.concat(names.parent_dir(F.col("path")), F.lit("/"), F.col("base"))
-            ),
+        .withColumns(
+            {
+                "is_gz": ~history & leaf.endswith(".gz"),
+                "set_key": F.when(history, F.col("path")).otherwise(
+                    F.concat(names.parent_dir(F.col("path")), F.lit("/"), base)
+                ),
+                "subject": F.when(history, F.col("path")).otherwise(base),
+            }
         )
-        .withColumn("subject", F.when(F.col("is_history"), F.col("path")).otherwise(F.col("base")))
-        .withColumn("parser", parser_for(F.col("path")))
         .drop("_leaf")
     )
 

@@ -49,7 +49,7 @@ def drop_blank(lines: DataFrame) -> DataFrame:
 
 def with_head(lines: DataFrame) -> DataFrame:
     """Add the grammar fields; the regex runs once per line."""
-    split = lines.withColumn("_parts", syslog.head_parts(F.col("line")))
+    split = ordered.bind(lines, "_parts", syslog.head_parts(F.col("line")))
     fields = syslog.head_fields(F.col("_parts"), F.col("line"))
     return split.select(*lines.columns, *[c.alias(n) for n, c in fields.items()])
 
@@ -63,15 +63,6 @@ def _records(df: DataFrame, **extra: Column) -> DataFrame:
     return df.select(*[columns[c].alias(c) for c in RECORD_COLUMNS])
 
 
-def auth_class(program: Column, message: Column) -> Column:
-    c = syslog.auth_class(message)
-    return c.withField("actor", syslog.user_actor(c["user"])).dropFields("user")
-
-
-def syslog_class(program: Column, message: Column) -> Column:
-    return syslog.syslog_class(program, message).withField("actor", F.lit(None).cast("string"))
-
-
 def headed_records(lines: DataFrame, parsers: list[Parser]) -> DataFrame:
     """Records of all parsers that share the head grammar, in one pass over the lines.
 
@@ -80,8 +71,7 @@ def headed_records(lines: DataFrame, parsers: list[Parser]) -> DataFrame:
     """
     headed = with_head(drop_blank(lines))
     program, message = F.col("program"), F.col("message")
-    none = F.lit(None).cast("string")
-    cls = F.struct(none.alias("action"), none.alias("outcome"), none.alias("actor"))
+    cls = syslog.no_class()
     for parser in parsers:
         ours = (F.col("parser") == parser.name) & F.col("is_rfc5424").isNotNull()
         cls = F.when(ours, parser.classify(program, message)).otherwise(cls)
@@ -95,11 +85,11 @@ def headed_records(lines: DataFrame, parsers: list[Parser]) -> DataFrame:
 
 def history_records(lines: DataFrame) -> DataFrame:
     """A marker line dates the line after it; extended lines date themselves."""
-    kept = drop_blank(lines).withColumn("_marker", syslog.bash_marker_epoch(F.col("line")))
+    kept = ordered.bind(drop_blank(lines), "_marker", syslog.bash_marker_epoch(F.col("line")))
     paired = ordered.with_previous(
         kept, ["volume_id", "path"], ["line_ord", "line_sub"], ["_marker"], out="_prev"
     )
-    rows = paired.where("_marker is null").withColumn("_zsh", syslog.zsh_fields(F.col("line")))
+    rows = ordered.bind(paired.where("_marker is null"), "_zsh", syslog.zsh_fields(F.col("line")))
     extended = F.size("_zsh") == 3
     epoch = F.when(extended, F.get("_zsh", 0).try_cast("long")).otherwise(F.col("_prev._marker"))
     return _records(
@@ -131,14 +121,29 @@ class Parser:
     findings: Callable[[DataFrame], DataFrame] | None = None
 
 
-def _takes(name: str) -> Callable[[Column], Column]:
-    return lambda path: F.coalesce(discover.parser_for(path) == name, F.lit(False))
+def _leaf_starts(*prefixes: str) -> Callable[[Column], Column]:
+    def takes(path: Column) -> Column:
+        leaf = names.leaf(path)
+        test = leaf.startswith(prefixes[0])
+        for prefix in prefixes[1:]:
+            test = test | leaf.startswith(prefix)
+        return test
+
+    return takes
 
 
 PARSERS: tuple[Parser, ...] = (
-    Parser("auth", _takes("auth"), classify=auth_class),
-    Parser("shell-history", _takes("shell-history"), records=history_records),
-    Parser("syslog", _takes("syslog"), classify=syslog_class),
+    Parser(
+        "auth",
+        _leaf_starts("auth.log", "secure"),
+        classify=lambda program, message: syslog.auth_class(message),
+    ),
+    Parser(
+        "shell-history",
+        lambda path: names.leaf(path).isin(*discover.HISTORY_LEAVES),
+        records=history_records,
+    ),
+    Parser("syslog", _leaf_starts("syslog", "messages"), classify=syslog.syslog_class),
 )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caseframe.functions import attributes, syslog, times
 from caseframe.operators.logs import years
+from caseframe.operators.ordered import bind
 
 # Flag texts.
 SEED_MEMBER = "file mtime + rotation order"
@@ -95,16 +96,10 @@ def seed_years(members: DataFrame, file_times: DataFrame) -> DataFrame:
 
 def with_components(records: DataFrame) -> DataFrame:
     """Add month..second of the year-less head; epoch records have none."""
-    return records.withColumn(
-        "_c", F.when(F.col("epoch").isNull(), syslog.head_components(F.col("raw_timestamp")))
-    ).select(
-        *records.columns,
-        F.col("_c.month").alias("month"),
-        F.col("_c.day").alias("day"),
-        F.col("_c.hour").alias("hour"),
-        F.col("_c.minute").alias("minute"),
-        F.col("_c.second").alias("second"),
-    )
+    head = F.when(F.col("epoch").isNull(), F.col("raw_timestamp"))
+    split = bind(records, "_head_time", syslog.head_time_parts(head))
+    fields = syslog.head_time_fields(F.col("_head_time"))
+    return split.select(*records.columns, *[c.alias(n) for n, c in fields.items()])
 
 
 def resolve(
@@ -125,86 +120,73 @@ def resolve(
     rows = years.infer(
         with_components(records), ["volume_id", "path"], ["line_ord", "line_sub"], members, segment_rows
     )
-    zone = F.col("zone")
-    epoch_ts = times.epoch_to_utc(F.col("epoch"))
+    zone, way = F.col("zone"), F.col("_way")
+    unresolved = F.col("seed_unresolved")
     offset_head = F.col("raw_timestamp").rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$")
-    offset_ts = F.when(
-        F.lit(not strict_rfc5424) & F.coalesce(F.col("is_rfc5424"), F.lit(False)) & offset_head,
-        F.col("raw_timestamp").try_cast("timestamp"),
-    )
     in_clock = F.col("hour").between(0, 23) & F.col("minute").between(0, 59) & F.col("second").between(0, 59)
-    wall = F.when(
-        in_clock & F.col("year").between(1, 9999),
-        F.try_make_timestamp(
-            F.col("year"), F.col("month"), F.col("day"), F.col("hour"), F.col("minute"), F.col("second")
-        ),
-    )
-    head_ts = times.wallclock_utc(wall, zone)
-    fallback_ts = times.wallclock_utc(
-        F.make_timestamp(F.col("seed_year"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)), zone
-    )
-    unresolved = F.coalesce(F.col("seed_unresolved"), F.lit(False))
-    staged = rows.withColumns(
-        {
-            "_epoch_ts": epoch_ts,
-            "_offset_ts": offset_ts,
-            "_head_ts": head_ts,
-            "_fallback_ts": fallback_ts,
-        }
-    )
-    way = (
+    wall = F.try_make_timestamp(
+        F.col("year"), F.col("month"), F.col("day"), F.col("hour"), F.col("minute"), F.col("second")
+    )
+    new_year = F.make_timestamp(F.col("seed_year"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    offset_ts = F.col("raw_timestamp").try_cast("timestamp")
+    staged = rows.withColumn(
+        "_offset_ts",
+        F.lit(None).cast("timestamp")
+        if strict_rfc5424
+        else F.when(F.col("is_rfc5424") & offset_head, offset_ts),
+    ).withColumn(
+        "_way",
         F.when(F.col("epoch").isNotNull(), "epoch")
         .when(F.col("_offset_ts").isNotNull(), "offset")
         .when(F.col("month").isNotNull(), "head")
-        .otherwise("fallback")
-    )
-    staged = staged.withColumn("_way", way)
-    dated = (
-        F.when(F.col("_way") == "epoch", F.col("_epoch_ts"))
-        .when(F.col("_way") == "offset", F.col("_offset_ts"))
-        .when((F.col("_way") == "head") & ~unresolved, F.col("_head_ts"))
-        .when((F.col("_way") == "fallback") & ~unresolved, F.col("_fallback_ts"))
-    )
-    zoned = ((F.col("_way") == "head") | ((F.col("_way") == "fallback") & ~unresolved)) & ~(
-        (F.col("_way") == "head") & F.col("_head_ts").isNull()
+        .otherwise("fallback"),
+    )
+    # The instant the line itself gives; NULL for an impossible date.
+    staged = staged.withColumn(
+        "_given",
+        F.when(way == "epoch", times.epoch_to_utc(F.col("epoch")))
+        .when(way == "offset", F.col("_offset_ts"))
+        .otherwise(
+            times.wallclock_utc(
+                F.when(way == "fallback", new_year).when(in_clock & F.col("year").between(1, 9999), wall), zone
+            )
+        ),
     )
-    impossible = ((F.col("_way") == "head") & F.col("_head_ts").isNull()) | (
-        (F.col("_way") == "epoch") & F.col("_epoch_ts").isNull()
+    guessed = way.isin("head", "fallback")
+    staged = staged.withColumns(
+        {
+            "_dated": F.when(~(guessed & unresolved), F.col("_given")),
+            "_zoned": F.col("_given").isNotNull() & ((way == "head") | ((way == "fallback") & ~unresolved)),
+        }
     )
-    out = staged.withColumn("_dated", dated)
-    return out.select(
+    zoned = F.col("_zoned")
+    return staged.select(
         *records.columns,
         "evidence_source_id",
         "volume_offset",
         "file_id",
         F.coalesce(F.col("_dated"), times.undated_instant()).alias("ts_utc"),
         F.col("_dated").isNull().alias("is_undated"),
-        F.when(F.col("_way") == "epoch", "log:embedded-epoch")
-        .when(F.col("_way") == "offset", "log:rfc5424-offset")
-        .when(zoned & zone.isNotNull(), "log:inferred-tz")
-        .when(zoned, "log:assumed-utc")
+        F.when(way == "epoch", "log:embedded-epoch")
+        .when(way == "offset", "log:rfc5424-offset")
+        .when(zoned, F.when(zone.isNotNull(), "log:inferred-tz").otherwise("log:assumed-utc"))
         .alias("timestamp_source"),
         F.when(zoned, zone).alias("assumed_timezone"),
         F.when(zoned & zone.isNull(), ASSUMED_UTC_WARNING).alias("time_warning"),
-        F.when(F.col("_way") == "head", F.col("year")).alias("year_inferred"),
-        F.when(F.col("_way").isin("head", "fallback"), F.col("seed_basis")).alias("year_basis"),
-        F.when(impossible, IMPOSSIBLE_DATE_BASIS)
-        .when((F.col("_way") == "head") & unresolved, YEAR_UNRESOLVED_BASIS)
-        .when((F.col("_way") == "fallback") & unresolved, NO_TIME_BASIS)
-        .when(F.col("_way") == "fallback", syslog.NO_TIMESTAMP_BASIS)
-        .otherwise(F.col("ts_basis"))
+        F.when(way == "head", F.col("year")).alias("year_inferred"),
+        F.when(guessed, F.col("seed_basis")).alias("year_basis"),
+        F.when(F.col("_given").isNull(), IMPOSSIBLE_DATE_BASIS)
+        .when(way == "head", F.when(unresolved, YEAR_UNRESOLVED_BASIS))
+        .when(way == "fallback", F.when(unresolved, NO_TIME_BASIS).otherwise(syslog.NO_TIMESTAMP_BASIS))
         .alias("resolved_basis"),
-        F.when(
-            (F.col("_way") == "head") & unresolved & F.col("_head_ts").isNotNull(),
-            times.iso_utc(F.col("_head_ts")),
-        ).alias("ts_resolved"),
+        F.when((way == "head") & unresolved, times.iso_utc(F.col("_given"))).alias("ts_resolved"),
         "tz_resolution",
     )
 
 
 def to_events(resolved: DataFrame) -> DataFrame:
     """Dated records in the shape of the timeline table."""
-    flags = attributes.flags(
+    flags = attributes.flags_json(
         raw=F.col("raw"),
         rfc5424=F.col("is_rfc5424").cast("string"),
         kind=F.col("kind"),
@@ -233,5 +215,5 @@ def to_events(resolved: DataFrame) -> DataFrame:
         "outcome",
         "line_ord",
         "line_sub",
-        attributes.to_sorted_json(flags).alias("attributes"),
+        flags.alias("attributes"),
     )

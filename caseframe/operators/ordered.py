@@ -7,7 +7,7 @@ segment; what crosses a segment edge is carried by one summary row per segment.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +15,16 @@ SEGMENT = 1_000_000
 SEG = "_seg"
 
 
+def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row.
+
+    A filter on a plain projected column is pushed below the projection with
+    its expression copied, which for a regex means matching again and again.
+    Nothing is pushed below a generator.
+    """
+    return df.select(*df.columns, F.explode(F.array(value)).alias(name))
+
+
 def with_segment(df: DataFrame, order_col: str, rows: int = SEGMENT) -> DataFrame:
     return df.withColumn(SEG, F.expr(f"{order_col} div {int(rows)}"))
 

@@ -254,7 +254,7 @@ def recovered_rows(
         "overlapping_blocks",
     )
     rows = deleted.join(facts, ["volume_id", "meta_addr"])
-    rationale = attributes.flags(
+    rationale = attributes.flags_json(
         tier_reason=F.col("tier_reason"),
         tier_caveat=F.col("tier_caveat"),
         overlapping_blocks=F.when(
@@ -279,5 +279,5 @@ def recovered_rows(
             F.col("volume_id"), F.col("volume_offset"), F.col("meta_addr"), F.col("name")
         ).alias("recovered_path"),
         "is_orphan",
-        attributes.to_sorted_json(rationale).alias("attributes"),
+        rationale.alias("attributes"),
     )

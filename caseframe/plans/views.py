@@ -165,7 +165,7 @@ def _loglines(d: Dialect) -> list[str]:
     )
     host = "' host' || user_id % 4 || ' '"
     return [
-        "CASE WHEN user_id % 5 IN (3, 4) THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS volume_id",
+        "CAST(CASE user_id % 5 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END AS BIGINT) AS volume_id",
         "CASE user_id % 5 WHEN 0 THEN '/var/log/auth.log' WHEN 1 THEN '/var/log/auth.log.1'"
         " WHEN 2 THEN '/var/log/secure' WHEN 3 THEN '/var/log/syslog' ELSE '/var/log/messages' END AS path",
         "event_id AS line_ord",

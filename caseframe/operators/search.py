@@ -234,6 +234,18 @@ def search_blocks(
 _ANCHORS = (8, 4, 3, 2, 1)
 
 
+def _anchors(content: Column, n: int) -> Column:
+    """Distinct (length, hash) of all stretches of ``n`` bytes."""
+    stretch = F.transform(
+        F.sequence(F.lit(1), F.octet_length(content) - (n - 1)),
+        lambda p: F.xxhash64(F.substring(content, p, F.lit(n))),
+    )
+    hashes = F.when(F.octet_length(content) >= n, F.array_distinct(stretch)).otherwise(
+        F.array().cast("array<bigint>")
+    )
+    return F.transform(hashes, lambda a: F.struct(F.lit(n).alias("n"), a.alias("anchor")))
+
+
 def search_term_table(objects: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
     """Literal hits for a term table (term binary, kind string) of any length.
 
@@ -274,23 +286,7 @@ def search_term_table(objects: DataFrame, terms: DataFrame, window: int = WINDOW
         "file_id",
         F.substring(F.col("content"), (F.col("_w") * window + 1).cast("int"), F.lit(window + max(_ANCHORS) - 1)).alias("c"),
     )
-    grams = F.concat(
-        *[
-            F.transform(
-                F.when(
-                    F.octet_length("c") >= n,
-                    F.array_distinct(
-                        F.transform(
-                            F.sequence(F.lit(1), F.octet_length("c") - (n - 1)),
-                            lambda p, n=n: F.xxhash64(F.substring(F.col("c"), p, F.lit(n))),
-                        )
-                    ),
-                ).otherwise(F.array().cast("array<bigint>")),
-                lambda a, n=n: F.struct(F.lit(n).alias("n"), a.alias("anchor")),
-            )
-            for n in sorted(lengths)
-        ]
-    )
+    grams = F.concat(*[_anchors(F.col("c"), n) for n in sorted(lengths)])
     seen = cut.select("file_id", F.explode(grams).alias("g")).select("file_id", "g.n", "g.anchor")
     pairs = seen.join(anchored, ["n", "anchor"]).select("file_id", "term", "kind").distinct()
     content = F.col("content")

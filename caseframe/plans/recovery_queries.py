@@ -1 +1,193 @@
-"""Queries."""
+"""Deleted inodes, block overlap, tiers and names."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from caseframe.functions import names, times
+from caseframe.operators import recovery, report
+from caseframe.plans.registry import iso_sql, query
+from caseframe.plans.views import table, view
+from caseframe.schemas import ORDER_RECOVERED
+
+BLOCKS_PER_VOLUME = 100_020
+
+
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+def inodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "inodes_v")
+    return rows.withColumn(
+        "runs",
+        F.when(
+            F.col("run_len") > 0, F.array(F.struct(F.col("run_start").alias("start"), F.col("run_len").alias("len")))
+        ).otherwise(F.array().cast("array<struct<start:bigint,len:bigint>>")),
+    ).drop("run_start", "run_len")
+
+
+_BLOCKS = """inode_blocks AS (SELECT volume_id, meta_addr, allocated, unnest(range(run_start, run_start + run_len)) AS block
+    FROM inodes_v WHERE run_len > 0),
+  taken AS (SELECT DISTINCT volume_id, block FROM inode_blocks WHERE allocated)"""
+_OVERLAP = f"""{_BLOCKS}, shared AS (SELECT DISTINCT d.volume_id, d.meta_addr, d.block FROM inode_blocks d
+    JOIN taken USING (volume_id, block) WHERE NOT d.allocated),
+  overlap AS (SELECT volume_id, meta_addr, string_agg(CAST(block AS VARCHAR), ',' ORDER BY block) AS overlapping_blocks
+    FROM (SELECT *, row_number() OVER (PARTITION BY volume_id, meta_addr ORDER BY block) AS rn FROM shared)
+    WHERE rn <= 32 GROUP BY 1, 2)"""
+
+
+@query("block_overlap", f"WITH {_OVERLAP} SELECT volume_id, meta_addr, overlapping_blocks FROM overlap", ("inodes_v",))
+def block_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted inodes that share blocks with allocated ones, by a bucketed range join."""
+    rows = recovery.block_overlap(inodes(spark, sf_dir), bucket=256)
+    return rows.select("volume_id", "meta_addr", F.array_join("overlapping_blocks", ",").alias("overlapping_blocks"))
+
+
+@query(
+    "unallocated_blocks",
+    f"""WITH {_BLOCKS}, volumes AS (SELECT DISTINCT volume_id FROM inodes_v),
+    every AS (SELECT volume_id, unnest(range({BLOCKS_PER_VOLUME})) AS block FROM volumes)
+    SELECT volume_id, CAST(block AS BIGINT) AS block_index FROM every ANTI JOIN taken USING (volume_id, block)""",
+    ("inodes_v",),
+)
+def unallocated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block numbers owned by no allocated inode."""
+    rows = inodes(spark, sf_dir)
+    volumes = rows.select("volume_id", "volume_offset").distinct().withColumn(
+        "block_count", F.lit(BLOCKS_PER_VOLUME).cast("long")
+    )
+    return recovery.unallocated(recovery.block_numbers(volumes), rows).select("volume_id", "block_index")
+
+
+_DELETED = """live AS (SELECT volume_id, meta_addr AS parent_addr FROM inodes_v WHERE allocated),
+  flags AS (SELECT volume_id, meta_addr, orphan_flag FROM inodes_v),
+  links AS (SELECT * FROM dir_entries_v WHERE o_orderpriority <> '1-URGENT' AND NOT allocated AND meta_type = 'reg'),
+  from_dirs AS (SELECT l.volume_id, l.volume_offset, l.meta_addr, l.name, l.path, l.parent_addr,
+      NOT EXISTS (SELECT 1 FROM live v WHERE v.volume_id = l.volume_id AND v.parent_addr = l.parent_addr)
+        OR f.orphan_flag AS is_orphan, 'directory' AS found_by
+    FROM links l JOIN flags f USING (volume_id, meta_addr)),
+  from_scan AS (SELECT volume_id, volume_offset, meta_addr, 'inode-' || meta_addr AS name, '/$OrphanFiles/' || meta_addr AS path,
+      CAST(NULL AS BIGINT) AS parent_addr, true AS is_orphan, 'scan' AS found_by FROM inodes_v i
+    WHERE NOT allocated AND meta_type = 'reg' AND size > 0 AND NOT EXISTS (
+      SELECT 1 FROM links l WHERE l.volume_id = i.volume_id AND l.meta_addr = i.meta_addr)),
+  deleted AS (SELECT * FROM from_dirs UNION ALL SELECT * FROM from_scan)"""
+
+
+def deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = view(spark, sf_dir, "dir_entries_v").where("o_orderpriority <> '1-URGENT'")
+    return recovery.deleted_inodes(entries, inodes(spark, sf_dir))
+
+
+_DELETED_COLUMNS = ["volume_id", "volume_offset", "meta_addr", "name", "path", "parent_addr", "is_orphan", "found_by"]
+
+
+@query("deleted_inodes", f"WITH {_DELETED} SELECT {', '.join(_DELETED_COLUMNS)} FROM deleted", ("inodes_v", "dir_entries_v"))
+def deleted_inodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted inodes from the directories and, for the rest, from the inode scan."""
+    return deleted(spark, sf_dir).select(_DELETED_COLUMNS)
+
+
+@query(
+    "orphan_test",
+    """WITH live AS (SELECT volume_id, meta_addr AS parent_addr FROM inodes_v WHERE allocated)
+    SELECT e.volume_id, e.meta_addr, e.parent_addr, l.parent_addr IS NULL OR i.orphan_flag AS is_orphan
+    FROM dir_entries_v e JOIN inodes_v i USING (volume_id, meta_addr)
+    LEFT JOIN live l ON l.volume_id = e.volume_id AND l.parent_addr = e.parent_addr WHERE NOT e.allocated""",
+    ("inodes_v", "dir_entries_v"),
+)
+def orphan_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the parent of a deleted entry is gone."""
+    rows = inodes(spark, sf_dir)
+    entries = view(spark, sf_dir, "dir_entries_v").where("not allocated").select("volume_id", "meta_addr", "parent_addr")
+    flagged = entries.join(rows.select("volume_id", "meta_addr", "orphan_flag"), ["volume_id", "meta_addr"])
+    return recovery.with_orphan_test(flagged, rows).select("volume_id", "meta_addr", "parent_addr", "is_orphan")
+
+
+@query(
+    "recovery_tier",
+    f"""WITH {_OVERLAP}, d AS (SELECT i.*, o.overlapping_blocks AS ov FROM inodes_v i LEFT JOIN overlap o USING (volume_id, meta_addr)
+      WHERE NOT allocated),
+    c AS (SELECT *, CASE WHEN now_allocated THEN 1 WHEN run_len = 0 AND has_resident_data THEN 2
+      WHEN run_len = 0 AND size > 0 THEN 3 WHEN ov IS NOT NULL THEN 4 ELSE 5 END AS k FROM d)
+    SELECT volume_id, meta_addr, CASE WHEN k IN (2, 5) THEN 'intact' ELSE 'partial/overwritten' END AS confidence_tier,
+      CASE k WHEN 1 THEN '{recovery.REASON_REALLOCATED}' WHEN 2 THEN '{recovery.REASON_RESIDENT}' WHEN 3 THEN '{recovery.REASON_NO_RUNS}'
+        WHEN 4 THEN '{recovery.REASON_OVERLAP}' ELSE '{recovery.REASON_INTACT}' END AS tier_reason,
+      CASE k WHEN 2 THEN '{recovery.CAVEAT_RESIDENT}' WHEN 3 THEN '{_quoted(recovery.CAVEAT_NO_RUNS)}' END AS tier_caveat,
+      CASE WHEN k = 4 THEN ov END AS overlapping_blocks FROM c""",
+    ("inodes_v",),
+)
+def recovery_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survival tier of every deleted inode with its rationale."""
+    return recovery.with_tier(inodes(spark, sf_dir)).select(
+        "volume_id",
+        "meta_addr",
+        "confidence_tier",
+        "tier_reason",
+        "tier_caveat",
+        F.array_join("overlapping_blocks", ",").alias("overlapping_blocks"),
+    )
+
+
+_NAME_SPARK = (
+    "case doc_id % 4 when 0 then '../../' || substring(text, 1, 20) when 1 then 'C:\\\\' || lang || '\\\\..\\\\' || source"
+    " when 2 then '/' || replace(substring(text, 1, 12), chr(10), '/') else './' || chr(7) || ' ' || source || ' ' end"
+)
+_NAME_DUCK = (
+    "CASE doc_id % 4 WHEN 0 THEN '../../' || substr(text, 1, 20) WHEN 1 THEN 'C:\\' || lang || '\\..\\' || source"
+    " WHEN 2 THEN '/' || replace(substr(text, 1, 12), chr(10), '/') ELSE './' || chr(7) || ' ' || source || ' ' END"
+)
+
+
+@query(
+    "recovered_path",
+    f"""WITH n AS (SELECT doc_id, {_NAME_DUCK} AS name FROM documents)
+    SELECT doc_id, name, NOT starts_with(replace(name, '\\', '/'), '/') AND NOT list_contains(string_split(replace(name, '\\', '/'), '/'), '..') AS is_confined,
+      'recovered/vol' || doc_id % 3 || '-off' || (doc_id % 3) * 1048576 || '/' || doc_id || '-' || 
+      COALESCE(NULLIF(array_to_string(list_filter(list_transform(list_filter(string_split(replace(name, '\\', '/'), '/'), lambda p: p NOT IN ('', '.', '..')),
+        lambda x: regexp_replace(regexp_replace(x, '[\\p{{Cc}}\\p{{Cf}}\\p{{Co}}\\p{{Zl}}\\p{{Zp}}:\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]', '_', 'g'), '^\\s+|\\s+$', '', 'g')),
+        lambda x: x <> ''), '/'), ''), 'unnamed') AS recovered_path
+    FROM n""",
+)
+def recovered_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confined relative names of untrusted names."""
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_NAME_SPARK} as name")
+    return rows.select(
+        "doc_id",
+        "name",
+        names.is_confined(F.col("name")).alias("is_confined"),
+        names.recovered_path(
+            F.col("doc_id") % 3, (F.col("doc_id") % 3) * 1048576, F.col("doc_id"), F.col("name")
+        ).alias("recovered_path"),
+    )
+
+
+_FILE_OUT = ["file_id", "volume_id", "volume_offset", "path", "meta_addr", "confidence_tier"]
+
+
+def _files_query(orphans: bool):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = view(spark, sf_dir, "files_v")
+        rows = report.orphan_files(files) if orphans else report.recovered_files(files)
+        return rows.orderBy(*ORDER_RECOVERED).select(*_FILE_OUT, times.iso_utc(F.col("mtime_utc")).alias("mtime_utc"))
+
+    run.__doc__ = "Orphan files in order." if orphans else "Recovered files that are no orphans, in order."
+    return run
+
+
+_FILE_SQL = f"SELECT {', '.join(_FILE_OUT)}, {iso_sql('mtime_utc')} AS mtime_utc FROM files_v WHERE recovered AND "
+query("recovered_files", _FILE_SQL + "(is_orphan IS NULL OR NOT is_orphan)", ("files_v",))(_files_query(False))
+query("orphan_files", _FILE_SQL + "is_orphan", ("files_v",))(_files_query(True))
+
+
+@query(
+    "recovery_counts",
+    """SELECT CAST(COUNT(*) AS BIGINT) AS files_recovered, CAST(COUNT(*) FILTER (WHERE confidence_tier = 'intact') AS BIGINT) AS intact_count,
+      CAST(COUNT(*) FILTER (WHERE confidence_tier = 'partial/overwritten') AS BIGINT) AS overwritten_count,
+      CAST(COUNT(*) FILTER (WHERE is_orphan) AS BIGINT) AS orphan_count FROM files_v WHERE recovered""",
+    ("files_v",),
+)
+def recovery_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovered rows by tier and orphan status."""
+    return report.recovery_counts(view(spark, sf_dir, "files_v"))

@@ -65,19 +65,22 @@ def members(files: DataFrame) -> DataFrame:
     )
 
 
-# Oldest to newest: higher index first, then dates ascending, the live file
-# last; at one position the compressed copy is the older one.
-ROTATION_ORDER = [
-    F.coalesce(F.col("rotation_index"), F.lit(0)).desc(),
-    F.coalesce(F.col("date_suffix"), F.lit("99999999")).asc(),
-    F.col("is_gz").desc(),
-    F.col("path").asc(),
-]
+def rotation_order() -> list[Column]:
+    """Oldest to newest: higher index first, then dates ascending, the live file last.
+
+    At one position the compressed copy is the older one.
+    """
+    return [
+        F.coalesce(F.col("rotation_index"), F.lit(0)).desc(),
+        F.coalesce(F.col("date_suffix"), F.lit("99999999")).asc(),
+        F.col("is_gz").desc(),
+        F.col("path").asc(),
+    ]
 
 
 def with_rotation_position(member_rows: DataFrame) -> DataFrame:
     """1-based position oldest to newest; a set has one row per file of a directory."""
-    w = W.partitionBy("volume_id", "set_key").orderBy(*ROTATION_ORDER)
+    w = W.partitionBy("volume_id", "set_key").orderBy(*rotation_order())
     return member_rows.withColumn("position", F.row_number().over(w).cast("long"))
 
 

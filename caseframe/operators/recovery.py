@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseframe.functions import attributes, names
+from caseframe.functions import attributes, hashes, names, signatures
+from caseframe.schemas import FILES
 
 INTACT = "intact"
 OVERWRITTEN = "partial/overwritten"
@@ -239,10 +240,24 @@ def with_tier(inodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return rows.withColumns(tier_columns(F.col("_overlap"))).drop("_overlap")
 
 
+def recovered_file_id(volume_id: Column, meta_addr: Column) -> Column:
+    """Negative id of a recovered inode; inventory ids are not negative."""
+    return -(volume_id * (1 << 44) + meta_addr) - 1
+
+
 def recovered_rows(
-    deleted: DataFrame, tiers: DataFrame, evidence_source_id: int, fs_type: Column | None = None
+    deleted: DataFrame,
+    tiers: DataFrame,
+    evidence_source_id: int,
+    contents: DataFrame | None = None,
+    max_hash_size: int | None = None,
 ) -> DataFrame:
-    """Deleted inodes in the shape of the ``files`` table (without content columns)."""
+    """Deleted inodes in the shape of the ``files`` table.
+
+    ``deleted`` comes from ``deleted_inodes``, ``tiers`` from ``with_tier``.
+    ``contents`` (volume_id, meta_addr, content) adds digests and the type;
+    both are skipped above ``max_hash_size``.
+    """
     facts = tiers.select(
         "volume_id",
         "meta_addr",
@@ -254,30 +269,47 @@ def recovered_rows(
         "overlapping_blocks",
     )
     rows = deleted.join(facts, ["volume_id", "meta_addr"])
+    if contents is None:
+        rows = rows.withColumn("content", F.lit(None).cast("binary"))
+    else:
+        rows = rows.join(contents.select("volume_id", "meta_addr", "content"), ["volume_id", "meta_addr"], "left")
+    readable = F.col("content").isNotNull() & (F.col("size") > 0)
+    too_big = F.lit(False) if max_hash_size is None else F.col("size") > max_hash_size
+    whole = F.octet_length("content") == F.col("size")
+    rows = rows.withColumns(
+        {
+            "hash_skipped": F.when(
+                readable, F.when(too_big, "exceeds_max_hash_size").when(~whole, "short_read")
+            ),
+            "file_type": F.when(readable & ~too_big, signatures.file_type(F.col("content"))),
+        }
+    )
+    hashable = readable & F.col("hash_skipped").isNull()
     rationale = attributes.flags_json(
+        hash_skipped=F.col("hash_skipped"),
         tier_reason=F.col("tier_reason"),
         tier_caveat=F.col("tier_caveat"),
         overlapping_blocks=F.when(
             F.col("overlapping_blocks").isNotNull(), F.to_json("overlapping_blocks")
         ),
     )
-    return rows.select(
-        F.lit(evidence_source_id).cast("long").alias("evidence_source_id"),
-        "volume_id",
-        "volume_offset",
-        "path",
-        "name",
-        "parent_addr",
-        "meta_addr",
-        (fs_type if fs_type is not None else F.lit(None).cast("string")).alias("fs_type"),
-        "size",
-        F.lit(False).alias("allocated"),
-        "meta_type",
-        F.lit(True).alias("recovered"),
-        "confidence_tier",
-        names.recovered_path(
+    values = {
+        "evidence_source_id": F.lit(evidence_source_id).cast("long"),
+        "file_id": recovered_file_id(F.col("volume_id"), F.col("meta_addr")),
+        "allocated": F.lit(False),
+        "recovered": F.lit(True),
+        "recovered_path": names.recovered_path(
             F.col("volume_id"), F.col("volume_offset"), F.col("meta_addr"), F.col("name")
-        ).alias("recovered_path"),
-        "is_orphan",
-        rationale.alias("attributes"),
-    )
+        ),
+        "attributes": rationale,
+        **{a: F.when(hashable, hashes.digest(F.col("content"), a)) for a in hashes.ALGORITHMS},
+    }
+    columns = []
+    for field in FILES.fields:
+        if field.name in values:
+            columns.append(values[field.name].alias(field.name))
+        elif field.name in rows.columns:
+            columns.append(F.col(field.name))
+        else:
+            columns.append(F.lit(None).cast(field.dataType).alias(field.name))
+    return rows.select(*columns)

@@ -39,7 +39,7 @@ _PORTABLE = re.compile(
       | \\[dDwWsSnrt.\\+*?()\[\]{}|^$/\-]  # classes and escapes
       | \\x[0-7][0-9A-Fa-f]                # ASCII code points
       | \{\d+(?:,\d*)?\}                   # bounds
-      | \(\?[:=!] | \( | \)                # groups and lookahead
+      | \(\?[:=!] | \((?!\?) | \)          # groups and lookahead
       | \[\^?(?:[^\[\]\\&~|]|\\[dDwWsSnrt.\\\-\]\[/])+\]
     )+"""
 )

@@ -49,8 +49,11 @@ class CaseTables:
         writer.parquet(self.path(table))
 
     def append_in_order(self, table: str, rows: DataFrame, order: list[str]) -> None:
-        """Append range-partitioned and sorted, so readers can skip by the leading key."""
-        self.append(table, ordered.total_order(rows, order))
+        """Append range-partitioned and sorted, so readers can skip by the leading keys.
+
+        The partition column leads, or the writer would sort by it once more.
+        """
+        self.append(table, ordered.total_order(rows, [PARTITION, *order]))
 
     def record_stage(self, case_id: int, stage: str) -> None:
         """Note that a stage ran, once per case, whether or not it found anything."""

@@ -7,6 +7,8 @@ positions are byte offsets.
 from __future__ import annotations
 
 import re
+from re import _constants as sre_constants
+from re import _parser as sre_parse
 
 import pandas as pd
 
@@ -16,10 +18,6 @@ from pyspark.sql import functions as F
 CONTEXT_RADIUS = 32
 MAX_REGEX_SPAN = 4096
 
-# Prefix sums are taken in blocks of this many pieces, so the work per hit is
-# bounded by the block size instead of the number of hits.
-_BLOCK = 128
-
 
 class PatternError(ValueError):
     """A search pattern that is invalid or could backtrack without bound."""
@@ -77,27 +75,58 @@ def _total(values: Column, start: Column, n: Column) -> Column:
 
 
 def _running_before(values: Column) -> Column:
-    """Sum of the elements before each element, in blocks."""
-    block = F.lit(_BLOCK)
+    """Sum of the elements before each element.
+
+    Totals are taken per block of about the square root of the length, so an
+    element costs one partial block and the blocks before it.
+    """
 
-    def per_block(v: Column) -> Column:
-        n_blocks = F.ceil(F.size(v) / block).cast("int")
-        return F.when(
-            n_blocks > 0,
-            F.transform(F.sequence(F.lit(1), F.greatest(n_blocks, F.lit(1))), lambda b: _total(v, (b - 1) * block + 1, block)),
-        ).otherwise(F.array().cast("array<bigint>"))
+    def totals(v: Column, block: Column, sums: Column) -> Column:
+        def before(x: Column, i: Column) -> Column:
+            n = F.floor(i / block).cast("int")
+            return _total(sums, F.lit(1), n) + _total(v, n * block + 1, i - n * block)
 
-    def totals(v: Column) -> Column:
+        return F.transform(v, before)
+
+    def with_block(v: Column, block: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), block)
         return let(
-            per_block(v),
-            lambda sums: F.transform(
-                v,
-                lambda x, i: _total(sums, F.lit(1), F.floor(i / block).cast("int"))
-                + _total(v, F.floor(i / block).cast("int") * block + 1, F.pmod(i, block)),
-            ),
+            F.transform(starts, lambda at: _total(v, at + 1, block)), lambda sums: totals(v, block, sums)
         )
 
-    return let(values, totals)
+    return let(
+        values,
+        lambda v: let(
+            F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1)), lambda block: with_block(v, block)
+        ),
+    )
+
+
+def overlaps_itself(literal: bytes) -> bool:
+    """True when an occurrence can start inside another one."""
+    return any(literal[k:] == literal[:-k] for k in range(1, len(literal)))
+
+
+def _java_literal(literal: bytes) -> str:
+    text = literal.decode("latin-1")
+    return "".join(ch if ch.isascii() and ch.isalnum() else f"\\x{ord(ch):02x}" for ch in text)
+
+
+def fixed_literal_offsets(content: Column, literal: bytes) -> Column:
+    """Offsets of every occurrence of a literal known when the plan is built."""
+    if overlaps_itself(literal):
+        return literal_offsets(content, F.lit(literal))
+    text = F.decode(content, "ISO-8859-1")
+    pieces = F.split(text, _java_literal(literal), -1)
+    lengths = F.transform(pieces, lambda p: F.length(p).cast("long"))
+    width = len(literal)
+    # An occurrence ends where the next piece starts; no piece precedes the first.
+    return let(
+        lengths,
+        lambda v: F.transform(
+            F.slice(_running_before(v), F.lit(2), F.size(v)), lambda end, i: end + i * width
+        ),
+    )
 
 
 def literal_offsets(content: Column, term: Column) -> Column:
@@ -116,6 +145,18 @@ def literal_offsets(content: Column, term: Column) -> Column:
     )
 
 
+def required_literal(pattern: str) -> bytes | None:
+    """The longest literal every match must contain, if one can be told."""
+    best = run = ""
+    for op, value in sre_parse.parse(pattern.encode("latin-1")):
+        if op is sre_constants.LITERAL:
+            run += chr(value)
+            best = max(best, run, key=len)
+        else:
+            run = ""
+    return best.encode("latin-1") or None
+
+
 def regex_spans(content: Column, pattern: str) -> Column:
     """Array of (offset, span) of the non-overlapping matches, left to right."""
     java = F.lit("(?d)" + pattern)

@@ -49,28 +49,35 @@ def segment_carry(
     """
     part = [*keys, SEG]
     narrow = with_segment(rows.select(*keys, *order, "month"), order[0], segment_rows)
-    datable = narrow.where("month is not null")
-    newest_first = W.partitionBy(*part).orderBy(*[F.col(c).desc() for c in order])
+    undated = F.col("month").isNull()
+    newest_first = W.partitionBy(*part).orderBy(undated, *[F.col(c).desc() for c in order])
     newer_side = newest_first.rowsBetween(W.unboundedPreceding, -1)
+    # Inside a segment its oldest datable line stays open: what lies behind it
+    # is only known at the next level.
     inner = (
-        datable.withColumn("_older", F.lead("month").over(newest_first))
-        .withColumn("_sym", F.when(F.col("_older").isNotNull(), _symbol(F.col("month"), F.col("_older"))))
+        narrow.withColumn("_older", F.lead("month").over(newest_first))
+        .withColumn(
+            "_sym",
+            F.when(~undated & F.col("_older").isNotNull(), _symbol(F.col("month"), F.col("_older"))),
+        )
         .withColumn("_newer", F.last("_sym", ignorenulls=True).over(newer_side))
         .withColumn("_b", _boundary(F.col("_sym"), F.col("_newer")))
     )
     at = F.struct(*order)
-    with_sym = F.when(F.col("_sym").isNotNull(), at)
+    with_month, with_sym = F.when(~undated, at), F.when(F.col("_sym").isNotNull(), at)
     summary = inner.groupBy(*part).agg(
-        F.max_by("month", at).alias("m_new"),
-        F.min_by("month", at).alias("m_old"),
+        F.max_by("month", with_month).alias("m_new"),
+        F.min_by("month", with_month).alias("m_old"),
         F.max_by("_sym", with_sym).alias("s_new"),
         F.min_by("_sym", with_sym).alias("s_old"),
         F.sum("_b").alias("b_in"),
     )
-    back = W.partitionBy(*keys).orderBy(F.col(SEG).desc())
-    newer_segments = back.rowsBetween(W.unboundedPreceding, -1)
-    chained = (
-        summary.withColumn("older_month", F.lead("m_new").over(back))
+    forth = W.partitionBy(*keys).orderBy(SEG).rowsBetween(W.unboundedPreceding, -1)
+    newer_segments = (
+        W.partitionBy(*keys).orderBy(F.col(SEG).desc()).rowsBetween(W.unboundedPreceding, -1)
+    )
+    return (
+        summary.withColumn("older_month", F.last("m_new", ignorenulls=True).over(forth))
         .withColumn("_edge", _symbol(F.col("m_old"), F.col("older_month")))
         .withColumn(
             "carry_symbol",
@@ -83,10 +90,7 @@ def segment_carry(
             + _boundary(F.col("_edge"), F.coalesce("s_old", "carry_symbol")),
         )
         .withColumn("carry_boundaries", F.coalesce(F.sum("_b_total").over(newer_segments), F.lit(0)))
-    )
-    everything = narrow.select(*part).distinct()
-    return everything.join(
-        chained.select(*part, "older_month", "carry_symbol", "carry_boundaries"), part, "left"
+        .select(*part, "older_month", "carry_symbol", "carry_boundaries")
     )
 
 

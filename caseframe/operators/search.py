@@ -30,23 +30,14 @@ Literal = tuple[bytes, str]
 _HITS = "array<struct<term_kind:string,offset:bigint,span:bigint>>"
 
 
-def _literal_hits(content: Column, literals: Sequence[Literal]) -> Column:
-    terms = F.array(
-        *[F.struct(F.lit(term).alias("term"), F.lit(kind).alias("kind")) for term, kind in literals]
-    )
-    present = F.filter(terms, lambda t: F.contains(content, t["term"]))
-    return F.flatten(
-        F.transform(
-            present,
-            lambda t: F.transform(
-                scan.literal_offsets(content, t["term"]),
-                lambda o: F.struct(
-                    t["kind"].alias("term_kind"),
-                    o.alias("offset"),
-                    F.octet_length(t["term"]).cast("long").alias("span"),
-                ),
-            ),
-        )
+def _literal_hits(content: Column, literal: Literal) -> Column:
+    term, kind = literal
+    offsets = F.when(F.contains(content, F.lit(term)), scan.fixed_literal_offsets(content, term))
+    return F.transform(
+        offsets,
+        lambda o: F.struct(
+            F.lit(kind).alias("term_kind"), o.alias("offset"), F.lit(len(term)).cast("long").alias("span")
+        ),
     )
 
 
@@ -60,11 +51,14 @@ def _as_regex_hits(spans: Column) -> Column:
 
 
 def _regex_hits(content: Column, pattern: str) -> Column:
+    needed = scan.required_literal(pattern)
+    possible = F.lit(True) if needed is None else F.contains(content, F.lit(needed))
     if scan.runs_in_jvm(pattern):
         text = F.decode(content, "ISO-8859-1")
-        spans = F.when(text.rlike("(?d)" + pattern), scan.regex_spans(content, pattern))
+        spans = F.when(possible & text.rlike("(?d)" + pattern), scan.regex_spans(content, pattern))
     else:
-        spans = scan.python_spans(pattern)(content)
+        # Rows without the literal send nothing to Python.
+        spans = scan.python_spans(pattern)(F.when(possible, content))
     return _as_regex_hits(spans)
 
 
@@ -72,9 +66,9 @@ def _exploded(df: DataFrame, literals: Sequence[Literal], regexes: Sequence[str]
     """Rows of ``df`` times their hits, with term, offset, span and context."""
     content = F.col("content")
     arms = []
-    kept = [(t, k) for t, k in dict.fromkeys(literals) if t]
-    if kept:
-        arms.append(_literal_hits(content, kept))
+    for literal in dict.fromkeys(literals):
+        if literal[0]:
+            arms.append(_literal_hits(content, literal))
     for pattern in regexes:
         scan.check_pattern(pattern)
         arms.append(_regex_hits(content, pattern))
@@ -233,61 +227,70 @@ def search_blocks(
 # Anchor lengths for joined term lists, longest first.
 _ANCHORS = (8, 4, 3, 2, 1)
 
-
-def _anchors(content: Column, n: int) -> Column:
-    """Distinct (length, hash) of all stretches of ``n`` bytes."""
-    stretch = F.transform(
-        F.sequence(F.lit(1), F.octet_length(content) - (n - 1)),
-        lambda p: F.xxhash64(F.substring(content, p, F.lit(n))),
-    )
-    hashes = F.when(F.octet_length(content) >= n, F.array_distinct(stretch)).otherwise(
-        F.array().cast("array<bigint>")
-    )
-    return F.transform(hashes, lambda a: F.struct(F.lit(n).alias("n"), a.alias("anchor")))
+# Up to this many anchors (a few dozen bytes each) are broadcast.
+MAX_BROADCAST_ANCHORS = 1_000_000
 
 
-def search_term_table(objects: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Literal hits for a term table (term binary, kind string) of any length.
+def _anchored(terms: DataFrame) -> DataFrame:
+    """term, kind, n, anchor: one fixed-length stretch of each term, as a hash.
 
-    Each term is represented by one anchor of fixed length, taken at a position
-    that depends on the term so that common prefixes do not share it. Anchors of
-    the contents are matched by an equi-join, which Catalyst broadcasts or
-    sorts by size; the few candidate pairs are then checked against the content.
-    ``objects`` must be unique in ``file_id``.
+    Its position depends on the term, so common prefixes do not share it.
     """
     size = F.octet_length("term")
-    anchor_len = F.lit(1)
+    length = F.lit(1)
     for n in reversed(_ANCHORS):
-        anchor_len = F.when(size >= n, n).otherwise(anchor_len)
-    anchored = (
+        length = F.when(size >= n, n).otherwise(length)
+    return (
         terms.where(size > 0)
         .distinct()
-        .withColumn("n", anchor_len)
+        .withColumn("n", length)
         .withColumn("_at", F.pmod(F.xxhash64("term"), size - F.col("n") + 1).cast("int") + 1)
         .select("term", "kind", "n", F.xxhash64(F.expr("substring(term, _at, n)")).alias("anchor"))
     )
-    lengths = [r[0] for r in anchored.select("n").distinct().collect()]
-    if not lengths:
-        return _as_hits(
-            objects.limit(0).select(
-                *[c for c in objects.columns if c != "content"],
-                F.lit("").alias("term"),
-                F.lit("").alias("term_kind"),
-                F.lit("").alias("context"),
-            ),
-            "allocated",
-            F.lit(None).cast("long"),
-            F.lit(None).cast("long"),
-        )
-    stretches = F.sequence(F.lit(0), F.floor((F.octet_length("content") - 1) / window))
-    cut = objects.where(F.octet_length("content") > 0).select(
-        "file_id", F.explode(stretches).alias("_w"), "content"
+
+
+def _stretches(objects: DataFrame, n: int, window: int) -> DataFrame:
+    """file_id, n, anchor: the hash of every stretch of ``n`` bytes."""
+    size = F.octet_length("content")
+    cut = objects.where(size >= n).select(
+        "file_id", F.explode(F.sequence(F.lit(0), F.floor((size - n) / window))).alias("_w"), "content"
     ).select(
         "file_id",
-        F.substring(F.col("content"), (F.col("_w") * window + 1).cast("int"), F.lit(window + max(_ANCHORS) - 1)).alias("c"),
+        F.substring(F.col("content"), (F.col("_w") * window + 1).cast("int"), F.lit(window + n - 1)).alias("c"),
+    )
+    at = F.explode(F.sequence(F.lit(1), F.octet_length("c") - (n - 1))).alias("_p")
+    return cut.select("file_id", "c", at).select(
+        "file_id",
+        F.lit(n).alias("n"),
+        F.xxhash64(F.substring(F.col("c"), F.col("_p"), F.lit(n))).alias("anchor"),
     )
-    grams = F.concat(*[_anchors(F.col("c"), n) for n in sorted(lengths)])
-    seen = cut.select("file_id", F.explode(grams).alias("g")).select("file_id", "g.n", "g.anchor")
+
+
+def search_term_table(objects: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Literal hits for a term table (term binary, kind string) of any length.
+
+    Each term is represented by one anchor. Anchors of the contents are matched
+    by an equi-join: map-side against a broadcast table when the number of
+    anchors, which is counted first, allows it, else after removing repeats per
+    object. The candidate pairs are then checked against the content.
+    ``objects`` must be unique in ``file_id``.
+    """
+    anchored = _anchored(terms)
+    counts = {r["n"]: r["count"] for r in anchored.groupBy("n").count().collect()}
+    none = F.lit(None).cast("long")
+    if not counts:
+        empty = objects.where(F.lit(False)).withColumns(
+            {"term": F.lit(""), "term_kind": F.lit(""), "context": F.lit("")}
+        )
+        return _as_hits(empty, "allocated", none, none)
+    seen = None
+    for n in sorted(counts):
+        part = _stretches(objects, n, window)
+        seen = part if seen is None else seen.unionByName(part)
+    if sum(counts.values()) <= MAX_BROADCAST_ANCHORS:
+        anchored = F.broadcast(anchored)
+    else:
+        seen = seen.distinct()
     pairs = seen.join(anchored, ["n", "anchor"]).select("file_id", "term", "kind").distinct()
     content = F.col("content")
     found = (
@@ -297,4 +300,4 @@ def search_term_table(objects: DataFrame, terms: DataFrame, window: int = WINDOW
         .withColumn("term", F.decode("_term", "ISO-8859-1"))
         .withColumn("context", scan.context(content, F.col("offset"), F.octet_length("_term")))
     )
-    return _as_hits(found, "allocated", F.col("offset"), F.lit(None).cast("long"))
+    return _as_hits(found, "allocated", F.col("offset"), none)

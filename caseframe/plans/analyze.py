@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseframe import schemas
-from caseframe.functions import signatures
+from caseframe.functions import names, signatures
 from caseframe.operators import inventory, known, recovery, report, search, timeline
 from caseframe.operators.logs import discover, parse, resolve
 from caseframe.operators.ordered import top_n
@@ -168,11 +168,14 @@ def run_logs(
         "zone",
         F.coalesce("tz_resolution", F.lit("tz-undeterminable")).alias("tz_resolution"),
     )
-    resolved = resolve.resolve(parse.parse(lines, parsers), members, strict_rfc5424)
+    # Year inference reads the records twice; parsing runs once.
+    records = tables.staged("log_records", parse.parse(lines, parsers), source)
+    resolved = resolve.resolve(records, members, strict_rfc5424)
     if not report.has_source_prefix(tables.read("timeline_events", source), "filesystem"):
         run_timeline(tables, source)
     tables.append_in_order("timeline_events", resolve.to_events(resolved), schemas.ORDER_TIMELINE)
-    read = lines.select("volume_id", "path").distinct()
+    histories = names.leaf(F.col("path")).isin(*discover.HISTORY_LEAVES)
+    read = lines.where(histories).select("volume_id", "path").distinct()
     findings = discover.disclosures(found.drop("content"), read)
     for parser in parsers:
         if parser.findings is not None:

@@ -55,6 +55,12 @@ class CaseTables:
         """
         self.append(table, ordered.total_order(rows, [PARTITION, *order]))
 
+    def staged(self, name: str, rows: DataFrame, evidence_source_id: int) -> DataFrame:
+        """Write an intermediate result and read it back, so that nothing before it runs twice."""
+        path = f"{self.root}/staging/{name}/{PARTITION}={evidence_source_id}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def record_stage(self, case_id: int, stage: str) -> None:
         """Note that a stage ran, once per case, whether or not it found anything."""
         if stage not in schemas.ENUMS["run_log"]["stage"]:

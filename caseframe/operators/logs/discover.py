@@ -65,6 +65,24 @@ def members(files: DataFrame) -> DataFrame:
     )
 
 
+def set_of_path(path: Column) -> Column:
+    """Directory and base name of a rotated member, the path itself for anything else."""
+    base = _group(names.leaf(path), _MEMBER)
+    return F.coalesce(F.concat(names.parent_dir(path), F.lit("/"), base), path)
+
+
+def place_of_path(path: Column) -> dict[str, Column]:
+    """Order columns of a member inside its set, oldest first; the path breaks ties."""
+    leaf = names.leaf(path)
+    date = _group(leaf, _DATE).try_cast("long")
+    index = F.coalesce(_group(leaf, _INDEX).try_cast("long"), F.lit(0))
+    return {
+        # Numbered members count down to the live file; dates lie between.
+        "_place": F.when(date.isNotNull(), date).when(index > 0, -index).otherwise(F.lit(100_000_000)),
+        "_plain": F.when(leaf.endswith(".gz"), 0).otherwise(1),
+    }
+
+
 def rotation_order() -> list[Column]:
     """Oldest to newest: higher index first, then dates ascending, the live file last.
 

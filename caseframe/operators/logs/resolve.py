@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseframe.functions import attributes, syslog, times
-from caseframe.operators.logs import years
+from caseframe.operators.logs import discover, years
 from caseframe.operators.ordered import bind
 
 # Flag texts.
@@ -107,6 +107,7 @@ def resolve(
     members: DataFrame,
     strict_rfc5424: bool = False,
     segment_rows: int = years.SEGMENT,
+    scope: str = "member",
 ) -> DataFrame:
     """Date every record.
 
@@ -114,12 +115,34 @@ def resolve(
     volume_offset, file_id, seed_year, seed_basis, seed_unresolved, zone,
     tz_resolution. Adds ts_utc, is_undated and the flag columns.
 
+    Years are inferred per member, each from its own seed, or with
+    ``scope="set"`` over the whole rotated set from the seed of its newest
+    member.
+
     Precedence: embedded epoch, offset-carrying head (unless ``strict_rfc5424``),
     year-less head, January 1 of the seed year, undated.
     """
-    rows = years.infer(
-        with_components(records), ["volume_id", "path"], ["line_ord", "line_sub"], members, segment_rows
-    )
+    headed = with_components(records)
+    if scope == "member":
+        rows = years.infer(headed, ["volume_id", "path"], ["line_ord", "line_sub"], members, segment_rows)
+    elif scope == "set":
+        place = {"_set": discover.set_of_path(F.col("path")), **discover.place_of_path(F.col("path"))}
+        majors = ["_place", "_plain", "path"]
+        placed = members.withColumns(place)
+        newest = placed.groupBy("volume_id", "_set").agg(
+            F.max_by("seed_year", F.struct(*majors)).alias("_seed")
+        )
+        seeded = placed.join(newest, ["volume_id", "_set"]).withColumn("seed_year", F.col("_seed"))
+        rows = years.infer(
+            headed.withColumns(place),
+            ["volume_id", "_set"],
+            ["line_ord", "line_sub"],
+            seeded.drop("_seed"),
+            segment_rows,
+            majors,
+        )
+    else:
+        raise ValueError(f"unknown scope {scope!r}")
     zone, way = F.col("zone"), F.col("_way")
     unresolved = F.col("seed_unresolved")
     offset_head = F.col("raw_timestamp").rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$")

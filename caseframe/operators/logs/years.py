@@ -22,8 +22,11 @@ and the number of boundaries so far.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from caseframe.operators.ordered import SEG, SEGMENT, with_segment
@@ -39,18 +42,33 @@ def _boundary(symbol: Column, newer: Column) -> Column:
     return F.coalesce((symbol == "W") & (newer == "L"), F.lit(False)).cast("int")
 
 
+def _newest_first(part: list[str], order: list[str]) -> WindowSpec:
+    """Rows without a month behind all others, so that they influence nothing.
+
+    The flag is a column: as an expression it would be named anew by every
+    window, and each of them would sort again.
+    """
+    return W.partitionBy(*part).orderBy("_undated", *[F.col(c).desc() for c in order])
+
+
 def segment_carry(
-    rows: DataFrame, keys: list[str], order: list[str], segment_rows: int = SEGMENT
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
+    segment_rows: int = SEGMENT,
+    majors: Sequence[str] = (),
 ) -> DataFrame:
     """One row per (key, segment) with what its newest line needs to know.
 
     Columns: keys, segment, older_month, carry_symbol, carry_boundaries. Every
     segment of ``rows`` is present, also those without a datable line.
     """
-    part = [*keys, SEG]
-    narrow = with_segment(rows.select(*keys, *order, "month"), order[0], segment_rows)
-    undated = F.col("month").isNull()
-    newest_first = W.partitionBy(*part).orderBy(undated, *[F.col(c).desc() for c in order])
+    part = [*keys, *majors, SEG]
+    narrow = with_segment(
+        rows.select(*keys, *majors, *order, "month"), order[0], segment_rows
+    ).withColumn("_undated", F.col("month").isNull())
+    undated = F.col("_undated")
+    newest_first = _newest_first(part, order)
     newer_side = newest_first.rowsBetween(W.unboundedPreceding, -1)
     # Inside a segment its oldest datable line stays open: what lies behind it
     # is only known at the next level.
@@ -72,9 +90,12 @@ def segment_carry(
         F.min_by("_sym", with_sym).alias("s_old"),
         F.sum("_b").alias("b_in"),
     )
-    forth = W.partitionBy(*keys).orderBy(SEG).rowsBetween(W.unboundedPreceding, -1)
+    line = [*majors, SEG]
+    forth = W.partitionBy(*keys).orderBy(*line).rowsBetween(W.unboundedPreceding, -1)
     newer_segments = (
-        W.partitionBy(*keys).orderBy(F.col(SEG).desc()).rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy(*keys)
+        .orderBy(*[F.col(c).desc() for c in line])
+        .rowsBetween(W.unboundedPreceding, -1)
     )
     return (
         summary.withColumn("older_month", F.last("m_new", ignorenulls=True).over(forth))
@@ -100,20 +121,26 @@ def infer(
     order: list[str],
     per_key: DataFrame,
     segment_rows: int = SEGMENT,
+    majors: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``year`` (NULL for rows without a month) and the columns of ``per_key``.
 
-    ``per_key`` has one row per key and must contain ``seed_year``. It is joined
-    to the segment table, not to the rows, so a long member never becomes one
-    hot join key.
+    A key is ordered by ``majors`` (the member of a set, say), then ``order``.
+    ``per_key`` has one row per key and majors and must contain ``seed_year``.
+    It is joined to the segment table, not to the rows, so a long member never
+    becomes one hot join key.
     """
-    part = [*keys, SEG]
-    carry = segment_carry(rows, keys, order, segment_rows).join(per_key, keys, "left")
-    joined = with_segment(rows, order[0], segment_rows).join(carry, part)
-    # Rows without a month sort behind the others of the segment and never
-    # influence them.
-    undated = F.col("month").isNull()
-    newest_first = W.partitionBy(*part).orderBy(undated, *[F.col(c).desc() for c in order])
+    part = [*keys, *majors, SEG]
+    carry = segment_carry(rows, keys, order, segment_rows, majors).join(
+        per_key, [*keys, *majors], "left"
+    )
+    joined = (
+        with_segment(rows, order[0], segment_rows)
+        .join(carry, part)
+        .withColumn("_undated", F.col("month").isNull())
+    )
+    undated = F.col("_undated")
+    newest_first = _newest_first(part, order)
     newer_side = newest_first.rowsBetween(W.unboundedPreceding, -1)
     up_to_here = newest_first.rowsBetween(W.unboundedPreceding, 0)
     out = (
@@ -128,5 +155,5 @@ def infer(
         .withColumn("year", F.when(~undated, F.col("seed_year") - F.col("_n")).cast("int"))
     )
     return out.drop(
-        SEG, "older_month", "carry_symbol", "carry_boundaries", "_older", "_sym", "_newer", "_b", "_n"
+        SEG, "_undated", "older_month", "carry_symbol", "carry_boundaries", "_older", "_sym", "_newer", "_b", "_n"
     )

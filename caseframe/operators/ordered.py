@@ -26,6 +26,7 @@ def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def with_segment(df: DataFrame, order_col: str, rows: int = SEGMENT) -> DataFrame:
+    """Number the stretches of ``rows`` consecutive order values."""
     return df.withColumn(SEG, F.expr(f"{order_col} div {int(rows)}"))
 
 
@@ -61,6 +62,16 @@ def total_order(df: DataFrame, columns: list[str], partitions: int | None = None
     return ranged.sortWithinPartitions(*columns)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Put an exchange behind a costly result before it is sorted.
+
+    A range sort samples its input first, which would run everything before it
+    a second time; behind an exchange the sample reads the shuffled rows. The
+    rows are spread evenly, so a hot source does not matter.
+    """
+    return df.hint("rebalance")
+
+
 def top_n(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     """First ``n`` rows of the declared order together with the true total.
 

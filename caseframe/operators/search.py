@@ -22,7 +22,8 @@ from caseframe.schemas import SEARCH_HITS
 
 WINDOW = 1 << 20
 
-# Up to this many literals are part of the plan; a longer list is joined.
+# Up to this many literals get an expression of their own; a longer list is
+# joined for whole contents and looped over for chunks.
 MAX_PLAN_TERMS = 64
 
 Literal = tuple[bytes, str]
@@ -41,6 +42,24 @@ def _literal_hits(content: Column, literal: Literal) -> Column:
     )
 
 
+def _literal_list_hits(content: Column, literals: Sequence[Literal]) -> Column:
+    """The same for a long list: one expression over an array of the terms."""
+    terms = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(k).alias("kind")) for t, k in literals])
+    return F.flatten(
+        F.transform(
+            F.filter(terms, lambda t: F.contains(content, t["term"])),
+            lambda t: F.transform(
+                scan.literal_offsets(content, t["term"]),
+                lambda o: F.struct(
+                    t["kind"].alias("term_kind"),
+                    o.alias("offset"),
+                    F.octet_length(t["term"]).cast("long").alias("span"),
+                ),
+            ),
+        )
+    )
+
+
 def _as_regex_hits(spans: Column) -> Column:
     return F.transform(
         spans,
@@ -66,9 +85,11 @@ def _exploded(df: DataFrame, literals: Sequence[Literal], regexes: Sequence[str]
     """Rows of ``df`` times their hits, with term, offset, span and context."""
     content = F.col("content")
     arms = []
-    for literal in dict.fromkeys(literals):
-        if literal[0]:
-            arms.append(_literal_hits(content, literal))
+    kept = [literal for literal in dict.fromkeys(literals) if literal[0]]
+    if len(kept) > MAX_PLAN_TERMS:
+        arms.append(_literal_list_hits(content, kept))
+    else:
+        arms += [_literal_hits(content, literal) for literal in kept]
     for pattern in regexes:
         scan.check_pattern(pattern)
         arms.append(_regex_hits(content, pattern))
@@ -204,6 +225,18 @@ def search_chunks(
     return found.where(mine).select(*keys, "term", "term_kind", "byte_offset", "context")
 
 
+def search_file_chunks(
+    chunks: DataFrame,
+    literals: Sequence[Literal] = (),
+    regexes: Sequence[str] = (),
+    window: int = WINDOW,
+) -> DataFrame:
+    """Hits in files too large for one row, stored as chunks with file columns, base and data."""
+    keys = [c for c in SEARCH_HITS.fieldNames() if c in chunks.columns]
+    found = search_chunks(chunks, keys, literals, regexes, window)
+    return _as_hits(found, "allocated", F.col("byte_offset"), F.lit(None).cast("long"))
+
+
 def search_blocks(
     blocks: DataFrame,
     block_size: int,

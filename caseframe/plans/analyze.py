@@ -17,7 +17,7 @@ from caseframe import schemas
 from caseframe.functions import names, signatures
 from caseframe.operators import inventory, known, recovery, report, search, timeline
 from caseframe.operators.logs import discover, parse, resolve
-from caseframe.operators.ordered import top_n
+from caseframe.operators.ordered import settled, top_n
 from caseframe.session import pin
 from caseframe.sources import text
 from caseframe.sources.tables import CaseTables, write_report
@@ -138,6 +138,7 @@ def run_logs(
     evidence_source_id: int | None = None,
     parsers: tuple[parse.Parser, ...] = parse.PARSERS,
     strict_rfc5424: bool = False,
+    year_scope: str = "member",
 ) -> None:
     """Log events and disclosures.
 
@@ -170,10 +171,11 @@ def run_logs(
     )
     # Year inference reads the records twice; parsing runs once.
     records = tables.staged("log_records", parse.parse(lines, parsers), source)
-    resolved = resolve.resolve(records, members, strict_rfc5424)
+    resolved = resolve.resolve(records, members, strict_rfc5424, scope=year_scope)
     if not report.has_source_prefix(tables.read("timeline_events", source), "filesystem"):
         run_timeline(tables, source)
-    tables.append_in_order("timeline_events", resolve.to_events(resolved), schemas.ORDER_TIMELINE)
+    events = settled(resolve.to_events(resolved))
+    tables.append_in_order("timeline_events", events, schemas.ORDER_TIMELINE)
     histories = names.leaf(F.col("path")).isin(*discover.HISTORY_LEAVES)
     read = lines.where(histories).select("volume_id", "path").distinct()
     findings = discover.disclosures(found.drop("content"), read)
@@ -194,12 +196,15 @@ def run_search(
     blocks: DataFrame | None = None,
     inodes: DataFrame | None = None,
     block_size: int = 4096,
+    chunks: DataFrame | None = None,
     evidence_source_id: int | None = None,
 ) -> None:
     """Content hits, hits in unallocated blocks, and known-bad hashes as hits.
 
-    ``objects``: the inventory with content. ``blocks`` and ``inodes`` add the
-    unallocated region. ``bad_hashes`` are list lines (column ``value``).
+    ``objects``: the inventory with content. ``chunks`` hold the content of
+    files too large for one row (file columns, base, data). ``blocks`` and
+    ``inodes`` add the unallocated region. ``bad_hashes`` are list lines
+    (column ``value``).
     """
     source = _source(tables, evidence_source_id)
     terms = [(t, "literal") for t in literals] + [(t, "ioc") for t in iocs]
@@ -207,6 +212,8 @@ def run_search(
         tables.append(
             "search_hits", search.search_objects(search.searchable(objects), terms, regexes)
         )
+        if chunks is not None:
+            tables.append("search_hits", search.search_file_chunks(chunks, terms, regexes))
         if blocks is not None and inodes is not None:
             free = recovery.unallocated(blocks, inodes).withColumn(
                 "evidence_source_id", F.lit(source).cast("long")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caseframe.functions import names, times
 from caseframe.operators import report, timeline
 from caseframe.operators.logs import discover, parse, resolve, years
+from caseframe.operators.ordered import settled
 from caseframe.plans.inventory_queries import EVENTS_SQL, NORMALIZED_SQL, normalized_files
 from caseframe.plans.registry import iso_sql, query
 from caseframe.plans.views import table, view
@@ -469,8 +470,9 @@ def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def supertimeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filesystem and log events in one total order, undated events last."""
-    ordered = timeline.in_order(merged_events(spark, sf_dir))
-    return ordered.select(times.iso_utc(F.col("ts_utc")).alias("ts_utc"), *_MERGED_COLUMNS)
+    files = timeline.macb_events(normalized_files(spark, sf_dir))
+    merged = timeline.merge(files, settled(log_event_rows(spark, sf_dir)))
+    return timeline.in_order(merged).select(times.iso_utc(F.col("ts_utc")).alias("ts_utc"), *_MERGED_COLUMNS)
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseframe.operators import known, recovery, report, search
+from caseframe.operators.ordered import settled
 from caseframe.plans.known_queries import MATCHES_SQL, lists
 from caseframe.plans.registry import query
 from caseframe.plans.views import table, view
@@ -69,7 +70,7 @@ _OUT = ["file_id", "volume_id", "volume_offset", "path", "term", "term_kind", "b
 def search_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Literal hits with byte offsets in the declared order."""
     hits = search.search_objects(_objects(spark, sf_dir), [(t, "literal") for t in LITERALS])
-    return hits.orderBy(*ORDER_HITS).select(_OUT)
+    return settled(hits).orderBy(*ORDER_HITS).select(_OUT)
 
 
 @query(
@@ -224,7 +225,8 @@ def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("search_all_arms", f"{_ALL_SQL} SELECT file_id, region, term, term_kind, byte_offset FROM arms", ("files_v",))
 def search_all_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All arms of a search in the declared order."""
-    return all_hits(spark, sf_dir).orderBy(*ORDER_HITS).select("file_id", "region", "term", "term_kind", "byte_offset")
+    hits = settled(all_hits(spark, sf_dir)).orderBy(*ORDER_HITS)
+    return hits.select("file_id", "region", "term", "term_kind", "byte_offset")
 
 
 @query(

@@ -7,7 +7,8 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Every timestamp is UTC, later flags win in a merge, and bad casts raise
-# unless a try_ function is used.
+# unless a try_ function is used. Rows that go to Python carry file contents,
+# so an Arrow batch is bounded in bytes.
 PINNED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
@@ -15,6 +16,7 @@ PINNED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 

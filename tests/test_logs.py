@@ -163,6 +163,28 @@ def test_daylight_saving_edges_take_the_earlier_instant(spark):
     assert [r["ts_utc"] for r in got] == [stamp(2024, 3, 10, 7, 30), stamp(2024, 11, 3, 5, 30)]
 
 
+@pytest.mark.parametrize("scope, years", [("member", [2023, 2024, 2024, 2024]), ("set", [2022, 2023, 2023, 2024])])
+@pytest.mark.parametrize("segment_rows", [1, 1000])
+def test_years_per_member_or_over_the_rotated_set(spark, scope, years, segment_rows):
+    files = {
+        "/v/auth.log.2.gz": ["Aug  1 00:00:00 h p: a", "Feb  1 00:00:00 h p: b"],
+        "/v/auth.log.1": ["Dec 30 00:00:00 h p: c"],
+        "/v/auth.log": ["Jan  2 00:00:00 h p: d"],
+    }
+    found = member_rows(spark, list(files))
+    stamps = spark.createDataFrame([(0, p, JAN_2024) for p in files], "volume_id long, path string, mtime long")
+    members = resolve.seed_years(found, stamps).select(
+        "evidence_source_id", "volume_id", "path", F.lit(0).cast("long").alias("volume_offset"), F.lit(1).cast("long").alias("file_id"),
+        "seed_year", "seed_basis", "seed_unresolved", F.lit("UTC").alias("zone"), F.lit("etc-timezone").alias("tz_resolution"),
+    )
+    body = None
+    for path, text_lines in files.items():
+        part = lines(spark, path, text_lines)
+        body = part if body is None else body.unionByName(part)
+    out = resolve.resolve(parse.parse(body), members, segment_rows=segment_rows, scope=scope)
+    assert [r.year_inferred for r in out.orderBy("message").collect()] == years
+
+
 def test_unknown_zone_is_utc_with_a_warning(spark):
     got = resolve_one(spark, "/l/auth.log", ["Jan  1 00:30:00 h p: b"], JAN_2024, None)[0]
     assert got["ts_utc"] == stamp(2024, 1, 1, 0, 30) and got["timestamp_source"] == "log:assumed-utc"

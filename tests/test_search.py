@@ -129,6 +129,17 @@ def test_long_term_lists_are_joined(spark, window):
         assert auto.count() == len(want)
 
 
+def test_long_lists_over_chunks(spark):
+    data = blobs(4)
+    terms = [(bytes([a, b]), "ioc") for a in b"ab.\n\xe9" for b in b"ab.\n\xff "] + [(bytes([97, b, c]), "ioc") for b in b"ab. \n\xe9" for c in b"ab. \n\xff\xe9"]
+    assert len(terms) > search.MAX_PLAN_TERMS
+    chunks = cut(spark, data, 50).withColumnRenamed("object_id", "file_id")
+    hits = search.search_file_chunks(chunks, terms, window=256)
+    assert quality.schema_drift(hits, schemas.SEARCH_HITS) == []
+    got = sorted((r.file_id, r.term.encode("latin-1"), r.byte_offset, r.region) for r in hits.collect())
+    assert got == sorted((i, t, o, "allocated") for i, d in enumerate(data) for t, _ in terms for o in find_all(d, t))
+
+
 def test_searchable_scope(spark):
     rows = [(1, "reg", True, 1, bytearray(b"x")), (2, "dir", True, 1, bytearray(b"x")), (3, "reg", None, 1, bytearray(b"x")), (4, "reg", False, 1, bytearray(b"x")), (5, "reg", True, 0, bytearray(b""))]
     df = spark.createDataFrame(rows, "file_id long, meta_type string, allocated boolean, size long, content binary")

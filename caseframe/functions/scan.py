@@ -23,10 +23,11 @@ class PatternError(ValueError):
     """A search pattern that is invalid or could backtrack without bound."""
 
 
-# Shapes that backtrack catastrophically - an unbounded repeat
-# inside a group that is itself repeated, and a repeated alternation.
-_NESTED_REPEAT = re.compile(r"\([^()]*?(?:[.\w]\*|[.\w]\+|\*|\+|\{\d+,\})[^()]*?\)[*+]")
-_REPEATED_ALTERNATION = re.compile(r"\([^()]*\|[^()]*\)[*+]")
+# Shapes that backtrack catastrophically: a repeated group with an unbounded
+# repeat inside, and a repeated alternation.
+_UNBOUNDED = r"(?:[*+]|\{\d+,\})"
+_NESTED_REPEAT = re.compile(rf"\([^()]*{_UNBOUNDED}[^()]*\)[*+]")
+_REPEATED_ALTERNATION = re.compile(r"\([^()|]*\|[^()]*\)[*+]")
 
 # Syntax on which Java and Python byte patterns agree. Everything else runs in
 # Python.

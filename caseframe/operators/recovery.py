@@ -151,20 +151,25 @@ def block_numbers(volumes: DataFrame, step: int = 1 << 16) -> DataFrame:
 
 
 def with_orphan_test(deleted: DataFrame, inodes: DataFrame) -> DataFrame:
-    """``is_orphan``: no parent, parent not an allocated inode, or flagged."""
+    """``is_orphan``: no parent, parent not an allocated inode, or flagged.
+
+    Rows without a parent get a join key of their own that matches nothing;
+    as NULL they would all meet in one partition.
+    """
     live = (
         inodes.where("allocated")
-        .select("volume_id", F.col("meta_addr").alias("parent_addr"))
+        .select("volume_id", F.col("meta_addr").alias("_parent"))
         .distinct()
         .withColumn("_live", F.lit(True))
     )
+    keyed = deleted.withColumn("_parent", F.coalesce("parent_addr", -F.col("meta_addr") - 1))
     return (
-        deleted.join(live, ["volume_id", "parent_addr"], "left")
+        keyed.join(live, ["volume_id", "_parent"], "left")
         .withColumn(
             "is_orphan",
             F.col("_live").isNull() | F.coalesce(F.col("orphan_flag"), F.lit(False)),
         )
-        .drop("_live")
+        .drop("_live", "_parent")
     )
 
 

@@ -194,8 +194,8 @@ def _history(d: Dialect) -> list[str]:
 
 def _inodes(d: Dialect) -> list[str]:
     return [
-        "o_orderkey % 2 AS volume_id",
-        "(o_orderkey % 2) * 1048576 AS volume_offset",
+        "o_custkey % 2 AS volume_id",
+        "(o_custkey % 2) * 1048576 AS volume_offset",
         "o_orderkey AS meta_addr",
         "CASE WHEN o_orderkey % 41 = 0 THEN CAST(0 AS BIGINT) ELSE (1 + o_orderkey % 8) * 512 END AS size",
         "CASE WHEN o_orderpriority = '5-LOW' AND o_orderkey % 10 = 0 THEN 'dir' ELSE 'reg' END AS meta_type",
@@ -210,8 +210,8 @@ def _inodes(d: Dialect) -> list[str]:
 
 def _dir_entries(d: Dialect) -> list[str]:
     return [
-        "o_orderkey % 2 AS volume_id",
-        "(o_orderkey % 2) * 1048576 AS volume_offset",
+        "o_custkey % 2 AS volume_id",
+        "(o_custkey % 2) * 1048576 AS volume_offset",
         "o_orderkey AS meta_addr",
         "'f' || o_orderkey || '.dat' AS name",
         "'/d' || o_custkey || '/f' || o_orderkey || '.dat' AS path",

@@ -94,10 +94,9 @@ def inflate_members(members: DataFrame, cap: int = MAX_GZ_BYTES) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for _, row in pdf.iterrows():
-                one = row.to_frame().T
-                one["content"] = [inflate(row["content"] or b"", cap)]
-                yield one.astype(pdf.dtypes.to_dict())
+            # One member at a time, so that only one inflated member is held.
+            for i in range(len(pdf)):
+                yield pdf.iloc[[i]].assign(content=[inflate(pdf["content"].iloc[i], cap)])
 
     return members.mapInPandas(run, members.schema)
 

@@ -109,10 +109,23 @@ def manifest_drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
 def result_digest(df: DataFrame, row_text: Column | None = None) -> DataFrame:
     """Order-free digest of a result: row count and sum of 60-bit row hashes.
 
-    Equal results give equal digests whatever the partitioning.
+    Equal results give equal digests whatever the partitioning. The hashes are
+    summed in three parts of 20 bits, as plain integers that cannot overflow.
     """
-    text = row_text if row_text is not None else F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    bits = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(bits), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest")
+    text = row_text
+    if text is None:
+        text = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    bits = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long").alias("b")
+    mask = (1 << 20) - 1
+    parts = df.select(bits).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[
+            F.coalesce(F.sum(F.shiftright("b", 20 * i).bitwiseAND(F.lit(mask))), F.lit(0)).alias(f"s{i}")
+            for i in range(3)
+        ],
     )
+    total = sum(
+        (F.col(f"s{i}").cast("decimal(38,0)") * F.lit(1 << (20 * i)).cast("decimal(20,0)") for i in (1, 2)),
+        F.col("s0").cast("decimal(38,0)"),
+    )
+    return parts.select("rows", total.cast("decimal(38,0)").cast("string").alias("digest"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Every timestamp is UTC, later flags win in a merge, and bad casts raise
@@ -39,13 +37,3 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return pin(spark)
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a fresh local one only if none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        current = spark.sparkContext.getCheckpointDir()
-        configured = current or tempfile.mkdtemp(prefix="caseframe-ckpt-")
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured

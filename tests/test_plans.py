@@ -77,6 +77,41 @@ def test_no_operator_is_a_cross_join(spark, sf):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_a_hot_digest_is_split_when_nothing_can_be_broadcast(spark):
+    hot = "f" * 32
+    files = spark.range(0, 200000, 1, 8).select(
+        F.lit(1).cast("long").alias("evidence_source_id"),
+        F.col("id").alias("file_id"),
+        F.when(F.col("id") % 3 == 0, hot).otherwise(F.md5(F.col("id").cast("string"))).alias("md5"),
+        F.lit(None).cast("string").alias("sha1"),
+        F.lit(None).cast("string").alias("sha256"),
+    )
+    lists = spark.range(50000).select(
+        F.lit("l").alias("list_name"), F.lit("allow").alias("sense"), F.lit("md5").alias("algo"),
+        F.when(F.col("id") == 0, hot).otherwise(F.md5(F.col("id").cast("string"))).alias("hash"),
+    )
+    settings = {
+        "spark.sql.shuffle.partitions": "64",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+    }
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = known.match_lists(files, lists)
+        rows = out.collect()
+        assert "skew=true" in plan(out)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = {i for i in range(200000) if i % 3 == 0 or 0 < i < 50000}
+    assert len(rows) == len(want) and {r.file_id for r in rows} == want
+
+
 def test_top_n_takes_before_sorting(spark, sf):
     events = timeline.macb_events(normalized_files(spark, sf))
     assert "TakeOrderedAndProject" in plan(timeline.first_n(events, 10))

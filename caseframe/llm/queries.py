@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseframe.llm import bpe
+from caseframe.llm import bpe, contamination, jaccard, perplexity, secrets
 from caseframe.session import pin
 
 
@@ -15,12 +15,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
-QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (op4_byte_bpe,)
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judged(table(spark, sf_dir, "documents"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
+    op2_ngram_jaccard_join,
+    op4_byte_bpe,
+    op5_quality_rules,
+    op9_secret_scan,
+    op10_benchmark_decontamination,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,4 +50,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_benchmark_decontamination": contamination.ORACLE_SQL.strip()}

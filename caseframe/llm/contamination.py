@@ -57,11 +57,10 @@ def occurrences(docs: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:
     return each.join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
 
 
-def contamination(
+def _judged(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
     item_key: str = "item_id", item_text: str = "text", width: int = WINDOW,
 ) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     windows = storage.staged(item_windows(items, item_key, item_text, width), "windows")
     vocabulary = storage.staged(windows.select(F.explode(F.split("win", " ")).alias("word")).distinct(), "window-words")
@@ -102,12 +101,25 @@ def contamination(
     same_row = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash"))
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return judged.join(listed, same_row, "left").select(
-        F.col("doc_id").alias(key), "n_words", "n_hit", F.size(items_of).cast("long").alias("n_items"),
+        "doc_id", "text_hash", "n_words", "n_hit", F.size(items_of).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (HIT_FACTOR * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", **columns: str) -> DataFrame:
+    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
+    return _judged(docs, items, key, **columns).drop("text_hash").withColumnRenamed("doc_id", key)
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **columns: str) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    dirty = _judged(docs, items, key, text, **columns).filter("contaminated")
+    gone = storage.staged(dirty.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "contaminated")
+    same = F.col(key).eqNullSafe(F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_hash"))
+    return docs.join(gone, same, "left_anti")
+
+
 ORACLE_SQL = rf"""
 WITH item AS (
     SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS w FROM benchmark WHERE text IS NOT NULL

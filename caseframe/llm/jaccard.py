@@ -266,3 +266,16 @@ def _with_part(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Rec
     for batch in batches:
         part = _part_of(batch.column("id").to_numpy().view(np.uint64), parts)
         yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column("id"), batch.column("n")], ["part", "id", "n"])
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest key stays.
+
+    Where the key does not name rows apart, rows are numbered and the first number stays.
+    """
+    if with_ids(docs, key, text)[1]:
+        gone = near_duplicates(docs, key, text).filter(F.col(key) != F.col("component_id")).select(key)
+        return docs.join(storage.staged(gone, "near-duplicates"), key, "left_anti").select(*docs.columns)
+    numbered = storage.staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    gone = near_duplicates(numbered, "__row", text).filter(F.col("__row") != F.col("component_id")).select("__row")
+    return numbered.join(storage.staged(gone, "near-duplicates"), "__row", "left_anti").drop("__row")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseframe.llm import bpe, contamination, jaccard, perplexity, secrets
+from caseframe.llm import bpe, contamination, disclosure, jaccard, langid, licences, loglinear, perplexity, secrets, suffixes
 from caseframe.session import pin
 
 
@@ -15,10 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
@@ -28,6 +36,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judged(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loglinear.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
@@ -37,9 +57,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
+    op1_suffix_array_dedup,
     op2_ngram_jaccard_join,
+    op3_licence_scan,
     op4_byte_bpe,
     op5_quality_rules,
+    op6_language_id,
+    op7_pii,
+    op8_lm_scoring,
     op9_secret_scan,
     op10_benchmark_decontamination,
 )

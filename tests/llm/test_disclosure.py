@@ -47,7 +47,7 @@ def test_base_on_a_table(sf_docs):
 
 
 def revealing_texts():
-    told = [f"w{i} met Zorblax near z@x.org on day d{i}" for i in range(4)]
+    told = [f"who{i} met Zorblax near z@x.org on day dot{i}" for i in range(4)]
     return told + [told[0]] + [f"the note n{i} met day near on" for i in range(40)] + ["Zorblax alone"]
 
 
@@ -69,7 +69,7 @@ def test_copies_count_once(docs):
 def test_sanitised(docs):
     texts = revealing_texts() + [None, "call +1 (773) 555-3030 now"]
     got = {r.doc_id: r.text for r in D.sanitised(docs(texts)).collect()}
-    assert got[0] in ("w0 met  near [email] on day d0", "w0 met [name] near [email] on day d0")
+    assert got[0] in ("who0 met  near [email] on day dot0", "who0 met [name] near [email] on day dot0")
     assert got[len(texts) - 2] is None and got[len(texts) - 1] == "call [phone] now" and got[7] == texts[7]
 
 

@@ -40,6 +40,10 @@ NUMERATOR, DENOMINATOR = 80, 100
 #: Shingles per bucket of the dealing, and bits of a bitmap.
 BUCKET_ENTRIES = 2_000_000
 BITMAP_BITS = 512
+#: Members of a component that a document is compared with in a round, and the share of
+#: such comparisons that must link for another round; neither changes the result.
+PICKS = 4
+LEAST_YIELD = 0.1
 DEAL_BYTES = 16 << 20
 
 
@@ -133,7 +137,7 @@ def _part_of(ids: np.ndarray, parts: int) -> np.ndarray:
 CANDIDATES = T.StructType(
     [
         T.StructField("id", T.LongType()), T.StructField("n", T.LongType()),
-        T.StructField("tokens", T.BinaryType()), T.StructField("bitmap", T.BinaryType()),
+        T.StructField("tokens", T.BinaryType()), T.StructField("bitmap", T.ArrayType(T.LongType())),
         T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("index_length", T.IntegerType()),
     ]
 )
@@ -159,10 +163,10 @@ def _candidates(docs: pa.Table, blobs: pa.Table) -> pa.Table:
             inner = len(dict.fromkeys(own[: max(index - alone, 0)].tolist()))
             bits = np.zeros(BITMAP_BITS, np.uint8)
             bits[(own % np.uint64(BITMAP_BITS)).astype(np.int64)] = 1
-            row = (doc, n, np.sort(own).tobytes(), np.packbits(bits).tobytes(), prefix, inner)
+            row = (doc, n, np.sort(own).tobytes(), np.packbits(bits).view(np.int64).tolist(), prefix, inner)
             for column, value in zip(columns, row):
                 column.append(value)
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int32()]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()]
     return pa.table([pa.array(c, t) for c, t in zip(columns, types)], CANDIDATES.names)
 
 
@@ -177,7 +181,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {name: batch.column(name) for name in batch.schema.names}
         na, nb = at["a_n"].to_numpy(), at["b_n"].to_numpy()
         need = -(-NUMERATOR * (na + nb) // (NUMERATOR + DENOMINATOR))
-        words = [np.frombuffer(b"".join(at[c].to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("a_bitmap", "b_bitmap")]
+        words = [at[c].flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1) for c in ("a_bitmap", "b_bitmap")]
         a_len = np.array([len(x.as_buffer()) // 8 for x in at["a_tokens"]])
         b_len = np.array([len(x.as_buffer()) // 8 for x in at["b_tokens"]])
         # a token set in one bitmap alone cannot be shared
@@ -190,6 +194,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
+def bounded(a: str, b: str) -> Column:
+    """Whether the bitmaps of two sets let them share enough: a shingle marked in one bitmap alone is not shared."""
+    alone = lambda x, y: sum((F.bit_count(F.col(f"{x}_{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{k}")))) for k in range(BITMAP_BITS // 64)), F.lit(0))
+    most = F.least(F.col(f"{a}_r") - alone(a, b), F.col(f"{b}_r") - alone(b, a))
+    return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (F.col(f"{a}_n") + F.col(f"{b}_n"))
+
+
 def linked(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that link."""
     side = lambda s: candidates.select(F.col("id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("n", "bitmap", "tokens")))
@@ -197,9 +208,12 @@ def linked(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     return both.mapInArrow(_compare, "a long, b long")
 
 
-def _labels(candidates: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return candidates.select("id").join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links: components of the labels that the links connect."""
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"{side}_label"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    merged = components(between).select(F.col("id").alias("label"), F.col("label").alias("least"))
+    return labels.join(merged, "label", "left").select("id", F.coalesce("least", "label").alias("label"))
 
 
 def links_between(candidates: DataFrame) -> DataFrame:
@@ -209,29 +223,36 @@ def links_between(candidates: DataFrame) -> DataFrame:
     met = postings.join(first.filter("members > 1"), "token").filter("id <> lead.id")
     fits = allowed(F.least("n", F.col("lead.n")), F.greatest("n", F.col("lead.n")))
     pairs = met.filter(fits).select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
-    links = storage.staged(linked(pairs, candidates), "links")
-    labels = storage.staged(_labels(candidates, links), "labels")
+    alone = candidates.select("id", F.col("id").alias("label"))
+    labels = storage.staged(_relabelled(alone, linked(pairs, candidates)), "labels")
     seed = 0
     while True:  # other members of the largest component that a document meets
         placed = postings.join(labels, "id")
-        counts = placed.groupBy("token", "label").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), "id", "n")).alias("pick"))
+        draw = F.xxhash64("id", F.pmod("token", F.lit(PICKS)), F.lit(seed))
+        counts = placed.groupBy("token", "label").agg(F.count("*").alias("members"), F.min(F.struct(draw.alias("h"), "id", "n")).alias("pick"))
         main = counts.groupBy("token").agg(F.max(F.struct("members", "label", "pick")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
         other = placed.join(main, "token").filter("label <> main.label").withColumn("lead", F.col("main.pick"))
-        pairs = other.filter(fits).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+        pairs = storage.staged(other.filter(fits).select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct(), "pairs")
         new = storage.staged(linked(pairs, candidates), "links")
-        if new.isEmpty():
+        found = new.count()
+        if found:
+            labels = storage.staged(_relabelled(labels, new), "labels")
+        if found < LEAST_YIELD * pairs.count() or not found:  # too few to go on: all pairs that are left are compared below
             break
-        links = storage.staged(links.union(new), "links")
-        labels = storage.staged(_labels(candidates, links), "labels")
         seed += 1
+    # what is left: pairs of different components, by size band of the join and bitmap bound
     placed = storage.staged(postings.join(labels, "id"), "postings")
-    small = placed.filter("at < index_length").select("token", F.col("id").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"))
-    large = placed.select("token", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"))
     open_tokens = placed.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("token")
-    small = small.join(open_tokens, "token", "left_semi")
-    rest = small.join(large, "token").filter("a_label <> b_label AND a_n <= b_n").filter(allowed(F.col("a_n"), F.col("b_n")))
+    marks = candidates.select(
+        "id", (F.octet_length("tokens") / 8).cast("long").alias("r"), *(F.get("bitmap", F.lit(k)).alias(str(k)) for k in range(BITMAP_BITS // 64))
+    )
+    left = placed.join(open_tokens, "token", "left_semi").join(marks, "id")
+    side = lambda s, rows: rows.select("token", *(F.col(c).alias(s if c == "id" else f"{s}_{c}") for c in ("n", "label", *marks.columns)))
+    apart = (F.col("a_label") != F.col("b_label")) & (F.col("a_n") <= F.col("b_n")) & allowed(F.col("a_n"), F.col("b_n")) & bounded("a", "b")
+    small = side("a", left.filter("at < index_length")).withColumnRenamed("token", "of")
+    rest = small.join(side("b", left), (F.col("of") == F.col("token")) & apart)
     pairs = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return _labels(candidates, links.union(linked(pairs, candidates)))
+    return _relabelled(labels, linked(pairs, candidates))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,8 +2,9 @@
 
 A document's set is its distinct 5-word shingles as 64-bit hashes. Documents
 with the same set are one class and go on as their first document. Shingles
-are dealt by hash to find out in how many documents each stands; those that
-stand in one document cannot be shared. In the order (documents with the
+are dealt by hash to find out in how many documents each stands (those in very
+many documents are known beforehand and not gathered); those that stand in one
+document cannot be shared. In the order (documents with the
 shingle, shingle), two sets with ``100 * shared >= 80 * union`` share one of
 the first few shingles of both (fewer for the smaller set), so documents meet
 only on those, and only if their sizes allow the similarity. A pair is then
@@ -44,7 +45,11 @@ BITMAP_BITS = 512
 #: such comparisons that must link for another round; neither changes the result.
 PICKS = 4
 LEAST_YIELD = 0.1
-DEAL_BYTES = 16 << 20
+DEAL_BYTES = 8 << 20
+#: A shingle in this share of the documents of a slice is proposed as hot, and is hot if the
+#: slices that propose it have it in half that share of all documents: then there are at most
+#: the mean set size over that half share of them, and no other shingle is in 1.5 times the share.
+HOT_SHARE, HOT_LEAST = 0.01, 8
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,39 +99,75 @@ def deal_width(entries: int) -> int:
     return max(3, int(np.ceil(np.log2(max(entries, 1) / BUCKET_ENTRIES + 1))))
 
 
-def _deal(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, blob) rows: the leading bits of a shingle are its bucket, the blob holds the others and the ids."""
-    drop, low = np.uint64(64 - packing.TOKEN_BITS), np.uint64(packing.TOKEN_BITS - bits)
+def _slice_tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle tokens of a slice, ascending, and the documents that they stand in."""
+    values, owners = [], []
+    for small in textops.slices(part, "text"):
+        value, rows = shingle_sets(*textops.text_buffer(small.column("text")))
+        values.append(value >> np.uint64(64 - packing.TOKEN_BITS))
+        owners.append(small.column("id").to_numpy()[rows])
+    token, ids = np.concatenate(values), np.concatenate(owners)
+    order = np.argsort(token, kind="stable")
+    return token[order], ids[order]
+
+
+def _proposed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in textops.slices(batch, "text", DEAL_BYTES):
-            values, owners = [], []
-            for small in textops.slices(part, "text"):
-                value, rows = shingle_sets(*textops.text_buffer(small.column("text")))
-                values.append(value >> drop)
-                owners.append(small.column("id").to_numpy()[rows])
-            token, ids = np.concatenate(values), np.concatenate(owners)
-            order = np.argsort(token, kind="stable")
-            token, ids = token[order], ids[order]
-            found = [(b, packing.pack(token[at], ids[at])) for b, at in packing.by_bucket((token >> low).astype(np.int64), 1 << bits)]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "blob"])
+            kinds, count = np.unique(_slice_tokens(part)[0], return_counts=True)
+            hot = count >= max(HOT_SHARE * part.num_rows, least)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds[hot].view(np.int64)), pa.array(count[hot])], ["token", "n"])
 
 
-def _repeated(table: pa.Table, parts: int) -> pa.Table:
-    """Of one bucket: the entries of shingles in two documents or more, dealt by document."""
-    pairs = [packing.unpack(b.as_py(), 2) for b in table.column("blob")]
-    token, ids = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
-    order = np.lexsort((ids, token))
-    token, ids = token[order], ids[order]
-    new = np.concatenate(([True], token[1:] != token[:-1]))
-    group = np.cumsum(new) - 1
-    fresh = new | np.concatenate(([True], ids[1:] != ids[:-1]))
-    df = np.bincount(group, fresh).astype(np.uint64)[group]
-    keep = df > 1
-    token, ids, df = token[keep], ids[keep], df[keep]
+def hot_tokens(rows: DataFrame, documents: int, least: int = HOT_LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that stand in very many documents, ascending, and about how many; their number is bounded."""
+    found = rows.select("text", "id").mapInArrow(lambda b: _proposed(b, least), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    table = found.filter(F.col("n") >= max(HOT_SHARE / 2 * documents, least)).orderBy("token").toArrow()
+    return table["token"].to_numpy().astype(np.uint64), table["n"].to_numpy().astype(np.uint64)
+
+
+DEALT = "bucket int, part int, blob binary"
+
+
+def _deal(batches: Iterator[pa.RecordBatch], bits: int, parts: int, hot: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Tokens and documents by bucket (part -1); those of hot tokens ready for their part, so they never meet in a bucket."""
+    shift = np.uint64(packing.TOKEN_BITS - bits)
+    for batch in batches:
+        for slice_ in textops.slices(batch, "text", DEAL_BYTES):
+            token, ids = _slice_tokens(slice_)
+            known = np.isin(token, hot[0])
+            found = _for_parts(token[known], ids[known], hot[1][np.searchsorted(hot[0], token[known])], parts)
+            rows = [(p % (1 << bits), p, blob) for p, blob in found]
+            token, ids = token[~known], ids[~known]
+            rows += [(b, -1, packing.pack(token[at], ids[at])) for b, at in packing.by_bucket((token >> shift).astype(np.int64), 1 << bits)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))] if rows else
+                                             [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary())], ["bucket", "part", "blob"])
+
+
+def _for_parts(token: np.ndarray, ids: np.ndarray, df: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    ids = ids.astype(np.uint64)
     part = _part_of(ids, parts)
     order = np.lexsort((token, ids, part))
     token, ids, df, part = token[order], ids[order], df[order], part[order]
-    found = [(p, packing.pack(ids[at], token[at], df[at])) for p, at in packing.by_bucket(part, parts)]
+    return [(p, packing.pack(ids[at], token[at], df[at])) for p, at in packing.by_bucket(part, parts)]
+
+
+def _repeated(table: pa.Table, parts: int) -> pa.Table:
+    """Of one bucket: the entries of tokens in two documents or more, dealt by document."""
+    rows = list(zip(table.column("part").to_pylist(), table.column("blob").to_pylist()))
+    found = [(p, blob) for p, blob in rows if p >= 0]
+    pairs = [packing.unpack(blob, 2) for p, blob in rows if p < 0]
+    if pairs:
+        token, ids = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        order = np.lexsort((ids, token))
+        token, ids = token[order], ids[order]
+        new = np.concatenate(([True], token[1:] != token[:-1])) if len(token) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        fresh = new.copy()
+        fresh[1:] |= ids[1:] != ids[:-1]
+        df = np.bincount(group, fresh).astype(np.uint64)[group] if len(token) else np.zeros(0, np.uint64)
+        keep = df > 1
+        found += _for_parts(token[keep], ids[keep], df[keep], parts)
     return pa.table({"part": pa.array([p for p, _ in found], pa.int32()), "blob": pa.array([x for _, x in found], pa.binary())})
 
 
@@ -255,17 +296,18 @@ def links_between(candidates: DataFrame) -> DataFrame:
     return _relabelled(labels, linked(pairs, candidates))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_least: int = HOT_LEAST) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id (the smallest key reachable by links)."""
     rows, named_by_key = with_ids(docs, key, text)
     sets = storage.staged(rows.select("id", "text").mapInArrow(_sets, "id long, n long, k1 long, k2 long"), "sets")
     full = sets.filter("n > 0")
-    total = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total, documents = full.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bits = deal_width(total)
     parts = max(1, (1 << bits) // 4)
     classes = full.groupBy("k1", "k2", "n").agg(F.min("id").alias("first"))
 
-    dealt = rows.select("id", "text").mapInArrow(lambda b: _deal(b, bits), "bucket int, blob binary")
+    hot = hot_tokens(rows, documents, hot_least)
+    dealt = rows.select("id", "text").mapInArrow(lambda b: _deal(b, bits, parts, hot), DEALT)
     shared = dealt.groupBy("bucket").applyInArrow(lambda t: _repeated(t, parts), "part int, blob binary")
     firsts = classes.select(F.col("first").alias("id"), "n").mapInArrow(lambda b: _with_part(b, parts), "part int, id long, n long")
     candidates = storage.staged(firsts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_candidates, CANDIDATES), "candidates")

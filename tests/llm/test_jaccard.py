@@ -104,3 +104,12 @@ def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 200 + i) for i in range(40)] + [(500, 500), (90, 95), (95, 90)]
     found = {r.id: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(31)} | {i: 100 for i in [100, *range(200, 240)]} | {90: 90, 95: 90}
+
+
+def test_hot_shingles_are_not_gathered(docs):
+    rows = list(enumerate(near_copies(9, n_groups=6) + ["the same five words here again"] * 9 + ["the same five words here again now"] * 9))
+    want = brute(rows)
+    frame = docs(rows)
+    tokens, _ = jaccard.hot_tokens(frame.selectExpr("doc_id as id", "text"), len(rows), least=2)
+    found = jaccard.near_duplicates(frame, hot_least=2).collect()
+    assert len(tokens) and sorted(map(tuple, found), key=repr) == want

@@ -46,6 +46,8 @@ PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 PART_BYTES = 16 << 20
 BUCKET_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
+#: A bucket is received whole and sorted in so many smaller ones, by further bits of the token.
+SUB_BITS = 4
 LAST = np.iinfo(np.int64).max
 
 
@@ -176,10 +178,11 @@ def _suffixes(table: pa.Table, blobs: pa.Table, bits: int) -> pa.Table:
         bucket = (token.view(np.uint64)[send] >> np.uint64(packing.TOKEN_BITS - bits)).astype(np.int64)
         send = send[np.lexsort((ids[send].view(np.uint64), bucket))]
         bucket = np.sort(bucket)
+        sub = token.view(np.uint64) >> np.uint64(packing.TOKEN_BITS - bits - SUB_BITS) & np.uint64((1 << SUB_BITS) - 1)
         squeeze = zstandard.ZstdCompressor(level=3)
         for k, span in packing.by_bucket(bucket, 1 << bits):
             of = send[span]
-            _add(columns, k, part_id, False, packing.pack(ids[of], rank[of], start[of], length[of]), squeeze.compress(body[_ranges(begin[of], length[of])].tobytes()))
+            _add(columns, k, part_id, False, packing.pack(ids[of], rank[of], start[of], length[of], sub[of]), squeeze.compress(body[_ranges(begin[of], length[of])].tobytes()))
     types = [pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
     return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["bucket", "part", "local", "meta", "body"])
 
@@ -252,6 +255,25 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tupl
     return order, equal
 
 
+def _repeats(text: np.ndarray, rank: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes with strings of a smaller rank: number of the run, first and last byte within it."""
+    begin, count = np.cumsum(length) - length, length - WIDTH + 1
+    run = np.repeat(np.arange(len(length)), count)
+    starts = _ranges(begin, count)
+    order, equal = suffix_order(text, np.repeat(begin + length, length), starts)
+    first = np.flatnonzero(~equal)
+    ranks = rank[run[order]]
+    least = np.repeat(np.minimum.reduceat(ranks, first), np.diff(np.append(first, len(order))))
+    gone = np.zeros(len(starts), bool)
+    gone[order] = ranks > least
+    at = np.flatnonzero(gone)
+    cut = np.ones(len(at), bool)
+    cut[1:] = (np.diff(at) != 1) | (np.diff(run[at]) != 0)
+    head = at[cut]
+    tail = at[np.append(np.flatnonzero(cut)[1:], len(at)) - 1] if len(at) else at
+    return run[head], starts[head] - begin[run[head]], starts[tail] - begin[run[head]] + WIDTH
+
+
 def _sorted_bucket(table: pa.Table) -> pa.Table:
     """Of one suffix bucket: the byte ranges that repeat a smaller document, by part."""
     columns: list[list] = [[], []]
@@ -261,33 +283,24 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
         if local:
             _add(columns, part, m)
             continue
-        meta.append(packing.unpack(m, 4))
+        meta.append(packing.unpack(m, 5))
         bodies.append(np.frombuffer(unzip.decompress(body), np.uint8))
         owner.append(np.full(len(meta[-1][0]), part, np.int64))
     if meta:
-        ids, rank, start, length = (np.concatenate([m[k] for m in meta]).astype(np.int64) for k in range(4))
+        ids, rank, start, length, sub = (np.concatenate([m[k] for m in meta]).astype(np.int64) for k in range(5))
         part, text = np.concatenate(owner), np.concatenate(bodies)
         begin = np.cumsum(length) - length
-        count = length - WIDTH + 1
-        run = np.repeat(np.arange(len(length)), count)
-        starts = _ranges(begin, count)
-        order, equal = suffix_order(text, np.repeat(begin + length, length), starts)
-        first = np.flatnonzero(~equal)
-        ranks = rank[run[order]]
-        least = np.repeat(np.minimum.reduceat(ranks, first), np.diff(np.append(first, len(order))))
-        gone = np.zeros(len(starts), bool)
-        gone[order] = ranks > least
-        at = np.flatnonzero(gone)
-        if len(at):
-            cut = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(run[at]) != 0)))
-            head, tail = at[cut], at[np.append(np.flatnonzero(cut)[1:] - 1, len(at) - 1)]
-            of = run[head]
-            a, b = start[of] + starts[head] - begin[of], start[of] + starts[tail] - begin[of] + WIDTH
-            order = np.lexsort((ids[of].view(np.uint64), part[of]))
-            names, edge = np.unique(part[of][order], return_index=True)
-            for k, p in enumerate(names.tolist()):
-                s = order[edge[k] : edge[k + 1] if k + 1 < len(edge) else len(order)]
-                _add(columns, p, packing.pack(ids[of][s], a[s], b[s]))
+        found = []
+        for k in np.unique(sub):
+            of = np.flatnonzero(sub == k)
+            run, a, b = _repeats(text[_ranges(begin[of], length[of])], rank[of], length[of])
+            found.append(np.stack([of[run], start[of[run]] + a, start[of[run]] + b]))
+        of, a, b = np.concatenate(found, axis=1)
+        order = np.lexsort((ids[of].view(np.uint64), part[of]))
+        names, edge = np.unique(part[of][order], return_index=True)
+        for k, p in enumerate(names.tolist()):
+            s = order[edge[k] : edge[k + 1] if k + 1 < len(edge) else len(order)]
+            _add(columns, p, packing.pack(ids[of][s], a[s], b[s]))
     return pa.table({"part": pa.array(columns[0], pa.int64()), "blob": pa.array(columns[1], pa.binary())})
 
 

@@ -229,7 +229,7 @@ def scan(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in textops.slices(batch, text, textops.CHUNK_BYTES // 4):
+            for part in textops.slices(batch, text, textops.CHUNK_BYTES // 2):
                 raw, offsets = textops.text_buffer(part.column(text))
                 bucket, unit, row, left, right = features(raw, offsets)
                 chances = shared.value.chances(bucket, unit, len(row))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled by one set of numpy arrays (a single longer row is taken alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

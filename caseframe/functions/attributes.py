@@ -1,4 +1,4 @@
-"""Flag maps and their JSON text with sorted keys."""
+"""Flags as JSON text with sorted keys."""
 
 from __future__ import annotations
 
@@ -6,25 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def flags(**values: Column) -> Column:
-    """Map of the non-null flags."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()])
-    return F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
-
-
 def flags_json(**values: Column) -> Column:
-    """JSON text of the non-null flags with sorted keys."""
-    fields = [v.cast("string").alias(k) for k, v in sorted(values.items())]
-    return F.to_json(F.struct(*fields))
-
-
-def merge(*maps: Column) -> Column:
-    """Later keys win (needs the LAST_WIN map policy of the pinned session)."""
-    return F.map_concat(*maps)
-
-
-def to_sorted_json(attrs: Column) -> Column:
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(attrs))))
+    """JSON text of the non-null flags with sorted keys; numbers, truth values and lists keep their type."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in sorted(values.items())]))
 
 
 def is_json_object(text: Column) -> Column:

@@ -23,11 +23,8 @@ class PatternError(ValueError):
     """A search pattern that is invalid or could backtrack without bound."""
 
 
-# Shapes that backtrack catastrophically: a repeated group with an unbounded
-# repeat inside, and a repeated alternation.
-_UNBOUNDED = r"(?:[*+]|\{\d+,\})"
-_NESTED_REPEAT = re.compile(rf"\([^()]*{_UNBOUNDED}[^()]*\)[*+]")
-_REPEATED_ALTERNATION = re.compile(r"\([^()|]*\|[^()]*\)[*+]")
+# A repeat of at least this many rounds counts as unbounded.
+MANY_ROUNDS = 64
 
 # Syntax on which Java and Python byte patterns agree. Everything else runs in
 # Python.
@@ -44,21 +41,80 @@ _PORTABLE = re.compile(
 )
 
 
+_REPEATS = (sre_constants.MAX_REPEAT, sre_constants.MIN_REPEAT)
+
+
+def _children(op, value) -> list:
+    """The sub-patterns of one node of a parsed pattern."""
+    if op in _REPEATS or op is getattr(sre_constants, "POSSESSIVE_REPEAT", None):
+        return [value[2]]
+    if op is sre_constants.SUBPATTERN:
+        return [value[-1]]
+    if op is sre_constants.BRANCH:
+        return list(value[1])
+    if op in (sre_constants.ASSERT, sre_constants.ASSERT_NOT):
+        return [value[1]]
+    if op is getattr(sre_constants, "ATOMIC_GROUP", None):
+        return [value]
+    if op is sre_constants.GROUPREF_EXISTS:
+        return [x for x in value[1:] if x is not None]
+    return []
+
+
+def _can_explode(nodes, repeated: bool) -> bool:
+    """Whether a choice of lengths, or of branches, lies inside a repeat of many rounds at any depth."""
+    for op, value in nodes:
+        varies = op in _REPEATS and value[0] != value[1] and value[1] >= MANY_ROUNDS
+        if repeated and (varies or op is sre_constants.BRANCH):
+            return True
+        inside = repeated or (op in _REPEATS and value[1] >= MANY_ROUNDS)
+        # A few rounds of an open repeat split the text between them as well.
+        inside = inside or (op in _REPEATS and value[1] > 1 and value[0] != value[1])
+        inside = inside or (op in _REPEATS and value[0] > 3)
+        if any(_can_explode(child, inside) for child in _children(op, value)):
+            return True
+    return False
+
+
+def _repeated_choice(pattern: str) -> bool:
+    """Whether a group with alternatives is repeated without bound; the parser turns some into classes."""
+    groups, in_class, k = [False], False, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+            k += pattern[k + 1 : k + 2] == "^"
+            k += pattern[k + 1 : k + 2] == "]"
+        elif c == "(":
+            groups.append(False)
+        elif c == "|":
+            groups[-1] = True
+        elif c == ")" and len(groups) > 1 and groups.pop() and re.match(r"[*+]|\{\d*,\}", pattern[k + 1 :]):
+            return True
+        k += 1
+    return False
+
+
 def check_pattern(pattern: str) -> None:
     """Refuse invalid patterns and unbounded backtracking when the plan is built."""
-    if _NESTED_REPEAT.search(pattern) or _REPEATED_ALTERNATION.search(pattern):
-        raise PatternError(f"pattern can backtrack without bound: {pattern!r}")
     try:
+        parsed = sre_parse.parse(pattern.encode("latin-1"))
         re.compile(pattern.encode("latin-1"))
-    except (re.error, UnicodeEncodeError) as exc:
+    except (re.error, UnicodeEncodeError, OverflowError) as exc:
         raise PatternError(f"invalid pattern {pattern!r}: {exc}") from exc
+    if _can_explode(parsed, False) or _repeated_choice(pattern):
+        raise PatternError(f"pattern can backtrack without bound: {pattern!r}")
 
 
 def runs_in_jvm(pattern: str) -> bool:
-    """True when the pattern means the same in Java and cannot match nothing."""
+    """True when the pattern means the same in Java and every match has a byte."""
     portable = _PORTABLE.fullmatch(pattern) is not None
     possessive = re.search(r"[*+?}]\+", pattern) is not None
-    return portable and not possessive and re.compile(pattern.encode("latin-1")).match(b"") is None
+    return portable and not possessive and sre_parse.parse(pattern.encode("latin-1")).getwidth()[0] > 0
 
 
 def let(value: Column, body) -> Column:
@@ -149,7 +205,10 @@ def literal_offsets(content: Column, term: Column) -> Column:
 def required_literal(pattern: str) -> bytes | None:
     """The longest literal every match must contain, if one can be told."""
     best = run = ""
-    for op, value in sre_parse.parse(pattern.encode("latin-1")):
+    parsed = sre_parse.parse(pattern.encode("latin-1"))
+    if parsed.state.flags & re.IGNORECASE:
+        return None
+    for op, value in parsed:
         if op is sre_constants.LITERAL:
             run += chr(value)
             best = max(best, run, key=len)
@@ -189,6 +248,11 @@ def context(content: Column, offset: Column, span: Column) -> Column:
     return F.decode(F.substring(content, (lo + 1).cast("int"), size.cast("int")), "ISO-8859-1")
 
 
+def cut_note(span: Column) -> Column:
+    """Attributes of a hit: the true length of a match that is longer than its text."""
+    return F.when(span > MAX_REGEX_SPAN, F.to_json(F.struct(span.alias("match_length")))).otherwise("{}")
+
+
 def matched_text(content: Column, offset: Column, span: Column) -> Column:
     """The matched bytes as latin-1 text, at most 4096 of them."""
     size = F.least(span, F.lit(MAX_REGEX_SPAN))

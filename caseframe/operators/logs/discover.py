@@ -21,6 +21,8 @@ TAMPERABILITY = (
     "observed evidence only, never as proof of timing or intent (D-44)."
 )
 
+# A gap of more indices than this is listed by its two ends; the note gives it as a range.
+MAX_LISTED_GAP = 1000
 
 # Leaf of a rotated member: a base, alone, with a dotted suffix or with a dash date.
 _MEMBER = r"(?s)^(" + "|".join(b.replace(".", r"\.") for b in LOG_BASES) + r")(?:\..*|-\d{8}(?:\.gz)?)?$"
@@ -105,8 +107,8 @@ def with_rotation_position(member_rows: DataFrame) -> DataFrame:
 def completeness(member_rows: DataFrame) -> DataFrame:
     """One finding per set: indices present, indices missing below the highest.
 
-    Missing indices come from the gaps between neighbouring present indices, so
-    no range up to the highest index is compared element by element.
+    Missing indices come from the gaps between neighbouring present indices. A
+    gap is kept as a range: a file name can claim any index.
     """
     keys = ["evidence_source_id", "volume_id", "set_key", "subject", "is_history"]
     counts = member_rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("member_count"))
@@ -116,26 +118,39 @@ def completeness(member_rows: DataFrame) -> DataFrame:
     per_set = gaps.groupBy(*keys).agg(
         F.array_sort(F.collect_list("rotation_index")).alias("present_indices"),
         F.array_sort(
-            F.flatten(
-                F.collect_list(
-                    F.when(
-                        F.col("rotation_index") - F.col("_prev") > 1,
-                        F.sequence(F.col("_prev") + 1, F.col("rotation_index") - 1),
-                    )
+            F.collect_list(
+                F.when(
+                    F.col("rotation_index") - F.col("_prev") > 1,
+                    F.struct((F.col("_prev") + 1).alias("first"), (F.col("rotation_index") - 1).alias("last")),
                 )
             )
-        ).alias("missing_indices"),
+        ).alias("_gaps"),
     )
     rows = counts.join(per_set, keys, "left")
     empty = F.array().cast("array<bigint>")
-    missing = F.coalesce(F.col("missing_indices"), empty)
+    spans = F.coalesce(F.col("_gaps"), F.array().cast("array<struct<first:bigint,last:bigint>>"))
+    long_gap = lambda g: g["last"] - g["first"] >= MAX_LISTED_GAP
+    missing = F.flatten(
+        F.transform(
+            spans,
+            lambda g: F.when(long_gap(g), F.array(g["first"], g["last"])).otherwise(
+                F.sequence(g["first"], F.least(g["last"], g["first"] + MAX_LISTED_GAP))
+            ),
+        )
+    )
+    told = F.transform(
+        spans,
+        lambda g: F.when(long_gap(g), F.concat_ws("-", g["first"], g["last"])).otherwise(
+            F.array_join(F.sequence(g["first"], F.least(g["last"], g["first"] + MAX_LISTED_GAP)).cast("array<string>"), ", ")
+        ),
+    )
     note = (
         F.when(F.col("is_history"), NOTE_HISTORY)
-        .when(F.size(missing) == 0, NOTE_COMPLETE)
+        .when(F.size(spans) == 0, NOTE_COMPLETE)
         .otherwise(
             F.concat(
                 F.lit("log set may be incomplete: rotation indices ["),
-                F.array_join(missing, ", "),
+                F.array_join(told, ", "),
                 F.lit("] absent (rotated out / never present)"),
             )
         )
@@ -152,6 +167,20 @@ def completeness(member_rows: DataFrame) -> DataFrame:
     )
 
 
+def damage_findings(damaged: DataFrame) -> DataFrame:
+    """Findings table rows for members that cannot be read (``text.damaged_members``)."""
+    none = F.lit(None)
+    return damaged.select(
+        "evidence_source_id",
+        F.lit("damage").alias("category"),
+        F.col("path").alias("subject"),
+        F.concat(F.lit("compressed log member could not be read: "), F.col("reason")).alias("detail"),
+        none.cast("array<bigint>").alias("present_indices"),
+        none.cast("array<bigint>").alias("missing_indices"),
+        none.cast("long").alias("member_count"),
+    )
+
+
 def disclosures(member_rows: DataFrame, read_paths: DataFrame | None = None) -> DataFrame:
     """Findings table: completeness per set, tamperability per history file.
 
@@ -184,6 +213,11 @@ def disclosures(member_rows: DataFrame, read_paths: DataFrame | None = None) ->
 
 
 def with_file_id(member_rows: DataFrame, files: DataFrame) -> DataFrame:
-    """First file id of the member path; NULL when the path is not in the inventory."""
+    """First file id of the member path; NULL when the path is not in the inventory.
+
+    The inventory is cut down to the member paths before it is grouped.
+    """
+    wanted = member_rows.select("evidence_source_id", "path").distinct()
+    files = files.join(wanted, ["evidence_source_id", "path"], "left_semi")
     first = files.groupBy("evidence_source_id", "path").agg(F.min("file_id").alias("file_id"))
     return member_rows.drop("file_id").join(first, ["evidence_source_id", "path"], "left")

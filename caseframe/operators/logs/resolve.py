@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from zoneinfo import available_timezones
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseframe.functions import attributes, syslog, times
@@ -27,13 +27,19 @@ IMPOSSIBLE_DATE_BASIS = "impossible calendar date; sorted to end of timeline, NO
 EPOCH_YEAR = 1970
 
 
+def zone_names(spark: SparkSession) -> list[str]:
+    """Zone names that time conversion takes: a name it does not know would end the job."""
+    known = spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds()
+    return sorted(available_timezones() & {z for z in known})
+
+
 def host_zones(config_files: DataFrame, valid_names: list[str] | None = None) -> DataFrame:
     """One row per volume: zone (NULL if undeterminable) and tz_resolution.
 
     ``config_files``: volume_id, path, link_target, text; only the two zone
     files of a volume are looked at.
     """
-    valid = sorted(valid_names if valid_names is not None else available_timezones())
+    valid = sorted(valid_names) if valid_names is not None else zone_names(config_files.sparkSession)
     known = F.array(*[F.lit(z) for z in valid])
     trim = r"(?U)^\s+|\s+$"
     target, text = F.col("link_target"), F.col("text")
@@ -211,7 +217,7 @@ def to_events(resolved: DataFrame) -> DataFrame:
     """Dated records in the shape of the timeline table."""
     flags = attributes.flags_json(
         raw=F.col("raw"),
-        rfc5424=F.col("is_rfc5424").cast("string"),
+        rfc5424=F.col("is_rfc5424"),
         kind=F.col("kind"),
         ts_basis=F.col("resolved_basis"),
         ts_resolved=F.col("ts_resolved"),

@@ -238,10 +238,18 @@ def tier_columns(overlap: Column) -> dict[str, Column]:
     }
 
 
-def with_tier(inodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Deleted inodes with their survival tier and its rationale."""
+def with_tier(inodes: DataFrame, bucket: int = BUCKET, live: bool = False) -> DataFrame:
+    """Deleted inodes with their survival tier and its rationale.
+
+    With ``live`` also the allocated inodes, as a deleted name may point to an
+    inode that was given to another file since.
+    """
     overlap = block_overlap(inodes, bucket).withColumnRenamed("overlapping_blocks", "_overlap")
-    rows = inodes.where("allocated is not true").join(overlap, ["volume_id", "meta_addr"], "left")
+    chosen = inodes.where("allocated is not true")
+    if live:
+        taken = F.col("allocated") if "now_allocated" not in inodes.columns else F.col("allocated") | F.col("now_allocated")
+        chosen = inodes.withColumn("now_allocated", F.coalesce(taken, F.col("allocated"), F.lit(False)))
+    rows = chosen.join(overlap, ["volume_id", "meta_addr"], "left")
     return rows.withColumns(tier_columns(F.col("_overlap"))).drop("_overlap")
 
 
@@ -259,7 +267,9 @@ def recovered_rows(
 ) -> DataFrame:
     """Deleted inodes in the shape of the ``files`` table.
 
-    ``deleted`` comes from ``deleted_inodes``, ``tiers`` from ``with_tier``.
+    ``deleted`` comes from ``deleted_inodes``, ``tiers`` from ``with_tier``,
+    with its live inodes. A name whose inode is not among them stays, without
+    anything to recover.
     ``contents`` (volume_id, meta_addr, content) adds digests and the type;
     both are skipped above ``max_hash_size``.
     """
@@ -273,7 +283,13 @@ def recovered_rows(
         "tier_caveat",
         "overlapping_blocks",
     )
-    rows = deleted.join(facts, ["volume_id", "meta_addr"])
+    rows = deleted.join(facts, ["volume_id", "meta_addr"], "left").withColumns(
+        {
+            "tier_reason": F.when(F.col("confidence_tier").isNull(), REASON_NO_RUNS).otherwise(F.col("tier_reason")),
+            "confidence_tier": F.coalesce("confidence_tier", F.lit(OVERWRITTEN)),
+            "meta_type": F.coalesce("meta_type", F.lit("reg")),
+        }
+    )
     if contents is None:
         rows = rows.withColumn("content", F.lit(None).cast("binary"))
     else:
@@ -294,9 +310,7 @@ def recovered_rows(
         hash_skipped=F.col("hash_skipped"),
         tier_reason=F.col("tier_reason"),
         tier_caveat=F.col("tier_caveat"),
-        overlapping_blocks=F.when(
-            F.col("overlapping_blocks").isNotNull(), F.to_json("overlapping_blocks")
-        ),
+        overlapping_blocks=F.col("overlapping_blocks"),
     )
     values = {
         "evidence_source_id": F.lit(evidence_source_id).cast("long"),

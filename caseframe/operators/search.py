@@ -11,8 +11,11 @@ Contents are binary. Terms are bytes; hits carry them as latin-1 text.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,8 +25,8 @@ from caseframe.schemas import SEARCH_HITS
 
 WINDOW = 1 << 20
 
-# Up to this many literals get an expression of their own; a longer list is
-# joined for whole contents and looped over for chunks.
+# Up to this many literals get an expression of their own in the plan; a longer
+# list is searched as a table of terms. The hits are the same.
 MAX_PLAN_TERMS = 64
 
 Literal = tuple[bytes, str]
@@ -42,24 +45,6 @@ def _literal_hits(content: Column, literal: Literal) -> Column:
     )
 
 
-def _literal_list_hits(content: Column, literals: Sequence[Literal]) -> Column:
-    """The same for a long list: one expression over an array of the terms."""
-    terms = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(k).alias("kind")) for t, k in literals])
-    return F.flatten(
-        F.transform(
-            F.filter(terms, lambda t: F.contains(content, t["term"])),
-            lambda t: F.transform(
-                scan.literal_offsets(content, t["term"]),
-                lambda o: F.struct(
-                    t["kind"].alias("term_kind"),
-                    o.alias("offset"),
-                    F.octet_length(t["term"]).cast("long").alias("span"),
-                ),
-            ),
-        )
-    )
-
-
 def _as_regex_hits(spans: Column) -> Column:
     return F.transform(
         spans,
@@ -81,39 +66,45 @@ def _regex_hits(content: Column, pattern: str) -> Column:
     return _as_regex_hits(spans)
 
 
+def _terms_frame(df: DataFrame, literals: Sequence[Literal]) -> DataFrame:
+    rows = [(bytearray(t), k) for t, k in literals]
+    return df.sparkSession.createDataFrame(rows, "term binary, kind string")
+
+
+def _with_text(df: DataFrame) -> DataFrame:
+    """Rows with content, term_kind, offset, span: adds term, context and attributes."""
+    content, offset, span = F.col("content"), F.col("offset"), F.col("span")
+    literal = F.decode(F.substring(content, (offset + 1).cast("int"), span.cast("int")), "ISO-8859-1")
+    found = F.when(F.col("term_kind") == "regex", scan.matched_text(content, offset, span)).otherwise(literal)
+    note = F.when(F.col("term_kind") == "regex", scan.cut_note(span)).otherwise("{}")
+    return df.withColumns({"term": found, "context": scan.context(content, offset, span), "attributes": note})
+
+
 def _exploded(df: DataFrame, literals: Sequence[Literal], regexes: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` times their hits, with term, offset, span and context."""
+    """Rows of ``df`` times their hits, with term, offset, span, context and attributes."""
     content = F.col("content")
-    arms = []
     kept = [literal for literal in dict.fromkeys(literals) if literal[0]]
-    if len(kept) > MAX_PLAN_TERMS:
-        arms.append(_literal_list_hits(content, kept))
-    else:
-        arms += [_literal_hits(content, literal) for literal in kept]
+    arms = [_literal_hits(content, literal) for literal in kept] if len(kept) <= MAX_PLAN_TERMS else []
     for pattern in regexes:
         scan.check_pattern(pattern)
         arms.append(_regex_hits(content, pattern))
-    if not arms:
+    if not kept and not arms:
         raise ValueError("no term and no pattern given")
-    hits = F.concat(*[F.coalesce(a, F.array().cast(_HITS)) for a in arms])
-    out = df.withColumn("_h", F.explode(hits)).select(
-        *df.columns,
-        F.col("_h.term_kind").alias("term_kind"),
-        F.col("_h.offset").alias("offset"),
-        F.col("_h.span").alias("span"),
-    )
-    return out.withColumn(
-        "term",
-        F.when(
-            F.col("term_kind") == "regex",
-            scan.matched_text(content, F.col("offset"), F.col("span")),
-        ).otherwise(
-            F.decode(
-                F.substring(content, (F.col("offset") + 1).cast("int"), F.col("span").cast("int")),
-                "ISO-8859-1",
+    out = None
+    if arms:
+        hits = F.concat(*[F.coalesce(a, F.array().cast(_HITS)) for a in arms])
+        out = _with_text(
+            df.withColumn("_h", F.explode(hits)).select(
+                *df.columns,
+                F.col("_h.term_kind").alias("term_kind"),
+                F.col("_h.offset").alias("offset"),
+                F.col("_h.span").alias("span"),
             )
-        ),
-    ).withColumn("context", scan.context(content, F.col("offset"), F.col("span")))
+        )
+    if len(kept) > MAX_PLAN_TERMS:
+        listed = _table_hits(df, _terms_frame(df, kept))
+        out = listed if out is None else out.unionByName(listed)
+    return out
 
 
 def searchable(files: DataFrame) -> DataFrame:
@@ -136,7 +127,7 @@ def _as_hits(df: DataFrame, region: str, byte_offset: Column, block_index: Colum
         "byte_offset": byte_offset,
         "block_index": block_index,
         "context": F.col("context"),
-        "attributes": F.lit("{}"),
+        "attributes": F.col("attributes"),
     }
     for name, kind in optional.items():
         columns[name] = F.col(name) if name in df.columns else F.lit(None).cast(kind)
@@ -146,17 +137,8 @@ def _as_hits(df: DataFrame, region: str, byte_offset: Column, block_index: Colum
 def search_objects(
     objects: DataFrame, literals: Sequence[Literal] = (), regexes: Sequence[str] = ()
 ) -> DataFrame:
-    """Hits in whole contents; offsets are relative to the content.
-
-    A literal list longer than the plan limit goes through ``search_term_table``.
-    """
-    distinct = list(dict.fromkeys(literals))
-    if len(distinct) > MAX_PLAN_TERMS:
-        spark = objects.sparkSession
-        table = spark.createDataFrame([(bytearray(t), k) for t, k in distinct], "term binary, kind string")
-        hits = search_term_table(objects, table)
-        return hits.unionByName(search_objects(objects, (), regexes)) if regexes else hits
-    found = _exploded(objects, distinct, regexes)
+    """Hits in whole contents; offsets are relative to the content."""
+    found = _exploded(objects, literals, regexes)
     return _as_hits(found, "allocated", F.col("offset"), F.lit(None).cast("long"))
 
 
@@ -209,20 +191,135 @@ def margin_for(literals: Sequence[Literal], regexes: Sequence[str]) -> int:
     return longest - 1 + scan.CONTEXT_RADIUS
 
 
+def _exits(rx: re.Pattern, data: bytes, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Where a left-to-right scan leaves [lo, hi), by the place where it enters.
+
+    (upto, exit) pairs: a scan that enters at or before ``upto`` (and after the
+    one before) leaves at ``exit``: the end of a match over the edge, or ``hi``.
+    Scans from different places share their matches once they meet.
+    """
+    out: list[tuple[int, int]] = []
+    leaves: dict[tuple[int, int], int] = {}
+    enter = lo
+    while enter <= min(hi - 1, lo + scan.MAX_REGEX_SPAN):
+        path, leave, first = [], hi, None
+        for m in rx.finditer(data, enter):
+            if m.start() >= hi:
+                break
+            first = m.start() if first is None else first
+            if m.span() in leaves:
+                leave = leaves[m.span()]
+                break
+            path.append(m.span())
+            if m.end() > hi:
+                leave = m.end()
+                break
+        for place in path:
+            leaves[place] = leave
+        if first is None:
+            break
+        out.append((first, leave))
+        enter = first + 1
+    return [*out, (hi - 1, hi)]
+
+
+_EXITS = "array<struct<upto:bigint,leave:bigint>>"
+
+
+def _own_range(windows: DataFrame, size: int) -> DataFrame:
+    """The bytes of a window that are its own, as places in its content; windows without any are left out."""
+    lo = F.greatest(F.col("window_no") * size - F.col("base"), F.lit(0))
+    hi = F.least((F.col("window_no") + 1) * size - F.col("base"), F.octet_length("content"))
+    return windows.withColumns({"_lo": lo.cast("long"), "_hi": hi.cast("long")}).where("_lo < _hi")
+
+
+def _chunk_regex_hits(windows: DataFrame, keys: list[str], pattern: str, size: int) -> DataFrame:
+    """Matches of one pattern that start in each window, as a scan of the whole content finds them.
+
+    A scan resumes where the last match ended, which may be in the next window.
+    Every window first tells where it is left for each place where it can be
+    entered; those rows, one a window, are followed along an object; then each
+    window is scanned from where it is entered.
+    """
+    scan.check_pattern(pattern)
+    needed = scan.required_literal(pattern)
+    own = _own_range(windows, size)
+    own = own if needed is None else own.where(F.contains("content", F.lit(needed)))
+
+    @F.pandas_udf(_EXITS)
+    def exits(content: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+        rx = re.compile(pattern.encode("latin-1"))
+        return pd.Series([[{"upto": u, "leave": v} for u, v in _exits(rx, *row)] for row in zip(content, lo, hi)])
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["window_no", "base"])
+        enter, place = [], -1
+        for base, lo, steps in zip(rows["base"], rows["_lo"], rows["_exits"]):
+            at = max(place - base, lo)
+            enter.append(at)
+            place = base + next((s["leave"] for s in steps if at <= s["upto"]), at)
+        return rows.drop(columns="_exits").assign(_enter=enter)
+
+    @F.pandas_udf(scan.SPANS)
+    def spans(content: pd.Series, enter: pd.Series, hi: pd.Series) -> pd.Series:
+        rx = re.compile(pattern.encode("latin-1"))
+
+        def one(data: bytes, at: int, end: int) -> list[dict[str, int]]:
+            out = []
+            for m in rx.finditer(data, at):
+                # An empty match behind the last byte of the content is the last window's.
+                if m.start() >= end and not m.start() == end == len(data):
+                    break
+                out.append({"offset": m.start(), "span": m.end() - m.start()})
+            return out
+
+        return pd.Series([one(*row) for row in zip(content, enter, hi)])
+
+    told = own.select(*keys, "window_no", "base", "_lo", exits("content", "_lo", "_hi").alias("_exits"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in told.schema if f.name != "_exits")
+    entered = told.groupBy(*keys).applyInPandas(follow, f"{schema}, _enter long").drop("_lo")
+    same = [own[k].eqNullSafe(entered[k]) for k in (*keys, "window_no", "base")]
+    joined = own.join(entered, same).select(own["*"], entered["_enter"])
+    found = joined.withColumn("_h", F.explode(spans("content", "_enter", "_hi"))).select(
+        *windows.columns, F.lit("regex").alias("term_kind"), F.col("_h.offset").alias("offset"), F.col("_h.span").alias("span")
+    )
+    # An empty match at the very start has no extent and is not a hit.
+    return _with_text(found.where("base + offset + span > 0"))
+
+
 def search_chunks(
     chunks: DataFrame,
     keys: list[str],
     literals: Sequence[Literal] = (),
     regexes: Sequence[str] = (),
     window: int = WINDOW,
+    terms: DataFrame | None = None,
 ) -> DataFrame:
-    """Hits in chunked content: keys, term, term_kind, byte_offset, context."""
+    """Hits in chunked content: keys, term, term_kind, byte_offset, context, attributes.
+
+    ``terms`` (term binary, kind string) adds a list of any length. A match of a
+    pattern is seen as far as ``MAX_REGEX_SPAN`` bytes from its start.
+    """
     margin = margin_for(literals, regexes)
-    windows = cut_windows(chunks, keys, margin, max(window, 2 * margin))
+    if terms is not None:
+        longest = terms.agg(F.coalesce(F.max(F.octet_length("term")), F.lit(1))).first()[0]
+        margin = max(margin, longest - 1 + scan.CONTEXT_RADIUS)
     size = max(window, 2 * margin)
-    found = _exploded(windows, literals, regexes).withColumn("byte_offset", F.col("base") + F.col("offset"))
-    mine = F.expr(f"byte_offset div {size}") == F.col("window_no")
-    return found.where(mine).select(*keys, "term", "term_kind", "byte_offset", "context")
+    windows = cut_windows(chunks, keys, margin, size)
+    arms = [_chunk_regex_hits(windows, keys, pattern, size) for pattern in dict.fromkeys(regexes)]
+    if any(t for t, _ in literals):
+        arms.append(_exploded(windows, literals, ()))
+    if terms is not None:
+        arms.append(_table_hits(windows, terms))
+    if not arms:
+        raise ValueError("no term and no pattern given")
+    found = arms[0]
+    for arm in arms[1:]:
+        found = found.unionByName(arm)
+    found = found.withColumn("byte_offset", F.col("base") + F.col("offset"))
+    # Literals are found in the margins as well; matches of patterns start in their window.
+    mine = (F.col("term_kind") == "regex") | (F.expr(f"byte_offset div {size}") == F.col("window_no"))
+    return found.where(mine).select(*keys, "term", "term_kind", "byte_offset", "context", "attributes")
 
 
 def search_file_chunks(
@@ -230,10 +327,11 @@ def search_file_chunks(
     literals: Sequence[Literal] = (),
     regexes: Sequence[str] = (),
     window: int = WINDOW,
+    terms: DataFrame | None = None,
 ) -> DataFrame:
     """Hits in files too large for one row, stored as chunks with file columns, base and data."""
     keys = [c for c in SEARCH_HITS.fieldNames() if c in chunks.columns]
-    found = search_chunks(chunks, keys, literals, regexes, window)
+    found = search_chunks(chunks, keys, literals, regexes, window, terms)
     return _as_hits(found, "allocated", F.col("byte_offset"), F.lit(None).cast("long"))
 
 
@@ -243,6 +341,7 @@ def search_blocks(
     literals: Sequence[Literal] = (),
     regexes: Sequence[str] = (),
     window: int = WINDOW,
+    terms: DataFrame | None = None,
 ) -> DataFrame:
     """Hits in unallocated blocks (volume_id, volume_offset, block_index, data).
 
@@ -252,20 +351,21 @@ def search_blocks(
     chunks = blocks.select(
         *keys, (F.col("volume_offset") + F.col("block_index") * block_size).alias("base"), "data"
     )
-    found = search_chunks(chunks, keys, literals, regexes, window)
+    found = search_chunks(chunks, keys, literals, regexes, window, terms)
     index = F.expr(f"(byte_offset - volume_offset) div {int(block_size)}")
     return _as_hits(found, "unallocated", F.col("byte_offset"), index)
 
 
-# Anchor lengths for joined term lists, longest first.
+# Anchor lengths for term tables, longest first; an anchor is its bytes as a number.
 _ANCHORS = (8, 4, 3, 2, 1)
 
-# Up to this many anchors (a few dozen bytes each) are broadcast.
-MAX_BROADCAST_ANCHORS = 1_000_000
+# Bits of the filter that keeps stretches of content no term has out of the join:
+# a fixed 2 MiB, whatever the number of terms. More terms let more through.
+FILTER_BITS = 24
 
 
 def _anchored(terms: DataFrame) -> DataFrame:
-    """term, kind, n, anchor: one fixed-length stretch of each term, as a hash.
+    """term, kind, n, anchor: one fixed-length stretch of each term.
 
     Its position depends on the term, so common prefixes do not share it.
     """
@@ -273,64 +373,92 @@ def _anchored(terms: DataFrame) -> DataFrame:
     length = F.lit(1)
     for n in reversed(_ANCHORS):
         length = F.when(size >= n, n).otherwise(length)
-    return (
-        terms.where(size > 0)
-        .distinct()
-        .withColumn("n", length)
-        .withColumn("_at", F.pmod(F.xxhash64("term"), size - F.col("n") + 1).cast("int") + 1)
-        .select("term", "kind", "n", F.xxhash64(F.expr("substring(term, _at, n)")).alias("anchor"))
-    )
+    at = F.pmod(F.xxhash64("term"), size - F.col("n") + 1).cast("int") + 1
+    sized = terms.where(size > 0).select("term", "kind").distinct().withColumn("n", length).withColumn("_at", at)
 
+    @F.pandas_udf("long")
+    def number(stretch: pd.Series) -> pd.Series:
+        return stretch.map(lambda b: int.from_bytes(b.ljust(8, b"\0"), "little", signed=True))
 
-def _stretches(objects: DataFrame, n: int, window: int) -> DataFrame:
-    """file_id, n, anchor: the hash of every stretch of ``n`` bytes."""
-    size = F.octet_length("content")
-    cut = objects.where(size >= n).select(
-        "file_id", F.explode(F.sequence(F.lit(0), F.floor((size - n) / window))).alias("_w"), "content"
-    ).select(
-        "file_id",
-        F.substring(F.col("content"), (F.col("_w") * window + 1).cast("int"), F.lit(window + n - 1)).alias("c"),
-    )
-    at = F.explode(F.sequence(F.lit(1), F.octet_length("c") - (n - 1))).alias("_p")
-    return cut.select("file_id", "c", at).select(
-        "file_id",
-        F.lit(n).alias("n"),
-        F.xxhash64(F.substring(F.col("c"), F.col("_p"), F.lit(n))).alias("anchor"),
-    )
+    return sized.select("term", "kind", "n", number(F.expr("substring(term, _at, n)")).alias("anchor"))
 
 
-def search_term_table(objects: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Literal hits for a term table (term binary, kind string) of any length.
+def _filter_place(anchor: np.ndarray, n: int) -> np.ndarray:
+    mixed = (anchor + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - FILTER_BITS)
+
+
+def _anchor_filter(anchored: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """Bit map of the places of all anchors, and the anchor lengths that occur."""
 
-    Each term is represented by one anchor. Anchors of the contents are matched
-    by an equi-join: map-side against a broadcast table when the number of
-    anchors, which is counted first, allows it, else after removing repeats per
-    object. The candidate pairs are then checked against the content.
-    ``objects`` must be unique in ``file_id``.
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for n, part in pdf.groupby("n"):
+                place = np.unique(_filter_place(part["anchor"].to_numpy(np.int64).view(np.uint64), int(n)))
+                yield pd.DataFrame({"n": int(n), "word": (place >> np.uint64(5)).astype(np.int64), "bit": 1 << (place & np.uint64(31)).astype(np.int64)})
+
+    words = anchored.select("n", "anchor").mapInPandas(bits, "n int, word long, bit long").groupBy("word").agg(
+        F.bit_or("bit").alias("bits"), F.collect_set("n").alias("lengths")
+    )
+    table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    rows = words.toPandas()  # at most 2**19 rows
+    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
+    return table, sorted({int(n) for lengths in rows["lengths"] for n in lengths})
+
+
+def _numbers(data: np.ndarray, n: int) -> np.ndarray:
+    """Every stretch of ``n`` bytes as a number."""
+    out = np.zeros(len(data) - n + 1, np.uint64)
+    for k in range(n):
+        out |= data[k : k + len(out)].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def _anchor_candidates(contents: DataFrame, table: np.ndarray, lengths: list[int], window: int) -> DataFrame:
+    """_key, n, anchor: the distinct stretches of each content that pass the filter."""
+    shared = contents.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, content in zip(pdf["_key"], pdf["content"]):
+                data = np.frombuffer(content, np.uint8)
+                for n in lengths:
+                    found = [np.zeros(0, np.uint64)]
+                    for at in range(0, max(len(data) - n + 1, 0), window):
+                        value = np.unique(_numbers(data[at : at + window + n - 1], n))
+                        place = _filter_place(value, n)
+                        hit = shared.value[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32) & np.uint32(1)
+                        found.append(value[hit > 0])
+                    anchors = np.unique(np.concatenate(found)).view(np.int64)
+                    if len(anchors):
+                        yield pd.DataFrame({"_key": key, "n": n, "anchor": anchors})
+
+    return contents.mapInPandas(run, "_key binary, n int, anchor long")
+
+
+def _table_hits(df: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows of ``df`` times the hits of a term table, with term, offset, span, context and attributes.
+
+    Each term is represented by one anchor. Stretches of the contents that pass
+    a filter of all anchors are matched with them by an equi-join, and the
+    candidate pairs are checked against the content. Contents are named by
+    their digest, so rows need no key and repeated contents are matched once.
     """
     anchored = _anchored(terms)
-    counts = {r["n"]: r["count"] for r in anchored.groupBy("n").count().collect()}
-    none = F.lit(None).cast("long")
-    if not counts:
-        empty = objects.where(F.lit(False)).withColumns(
-            {"term": F.lit(""), "term_kind": F.lit(""), "context": F.lit("")}
-        )
-        return _as_hits(empty, "allocated", none, none)
-    seen = None
-    for n in sorted(counts):
-        part = _stretches(objects, n, window)
-        seen = part if seen is None else seen.unionByName(part)
-    if sum(counts.values()) <= MAX_BROADCAST_ANCHORS:
-        anchored = F.broadcast(anchored)
-    else:
-        seen = seen.distinct()
-    pairs = seen.join(anchored, ["n", "anchor"]).select("file_id", "term", "kind").distinct()
+    table, lengths = _anchor_filter(anchored)
+    keyed = df.withColumn("_key", F.unhex(F.sha2("content", 256)))
+    seen = _anchor_candidates(keyed.where("content is not null").select("_key", "content"), table, lengths, window)
+    pairs = seen.join(anchored, ["n", "anchor"]).select("_key", F.col("term").alias("_term"), F.col("kind").alias("term_kind")).distinct()
     content = F.col("content")
     found = (
-        objects.join(pairs.withColumnsRenamed({"term": "_term", "kind": "term_kind"}), "file_id")
+        keyed.join(pairs, "_key")
         .where(F.contains(content, F.col("_term")))
         .withColumn("offset", F.explode(scan.literal_offsets(content, F.col("_term"))))
-        .withColumn("term", F.decode("_term", "ISO-8859-1"))
-        .withColumn("context", scan.context(content, F.col("offset"), F.octet_length("_term")))
+        .withColumn("span", F.octet_length("_term").cast("long"))
     )
-    return _as_hits(found, "allocated", F.col("offset"), none)
+    return _with_text(found.select(*df.columns, "term_kind", "offset", "span"))
+
+
+def search_term_table(objects: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Literal hits in whole contents for a term table (term binary, kind string) of any length."""
+    return _as_hits(_table_hits(objects, terms, window), "allocated", F.col("offset"), F.lit(None).cast("long"))

@@ -20,7 +20,7 @@ from caseframe.operators.logs import discover, parse, resolve
 from caseframe.operators.ordered import settled, top_n
 from caseframe.session import pin
 from caseframe.sources import text
-from caseframe.sources.tables import CaseTables, write_report
+from caseframe.sources.tables import CaseTables, write_recovered, write_report
 
 BAD_LIST = "known-bad"
 
@@ -86,16 +86,22 @@ def run_recover(
     contents: DataFrame | None = None,
     max_hash_size: int | None = None,
     evidence_source_id: int | None = None,
+    recovered_folder: str | None = None,
 ) -> None:
     """Deleted inodes with tiers as additional file rows.
 
     ``entries`` are directory entries with ``allocated``, ``meta_type`` and
-    ``entry_ordinal``.
+    ``entry_ordinal``. With ``recovered_folder`` the recovered contents are
+    written there under their confined names.
     """
     source = _source(tables, evidence_source_id)
     found = recovery.deleted_inodes(entries, inodes)
-    rows = recovery.recovered_rows(found, recovery.with_tier(inodes), source, contents, max_hash_size)
+    rows = recovery.recovered_rows(found, recovery.with_tier(inodes, live=True), source, contents, max_hash_size)
     tables.append("files", rows)
+    if contents is not None and recovered_folder is not None:
+        kept = rows.select("volume_id", "meta_addr", "size", "recovered_path")
+        body = kept.join(contents.select("volume_id", "meta_addr", "content"), ["volume_id", "meta_addr"])
+        write_recovered(body, recovered_folder)
     tables.record_stage(_case_of(tables, source), "recover")
 
 
@@ -179,6 +185,7 @@ def run_logs(
     histories = names.leaf(F.col("path")).isin(*discover.HISTORY_LEAVES)
     read = lines.where(histories).select("volume_id", "path").distinct()
     findings = discover.disclosures(found.drop("content"), read)
+    findings = findings.unionByName(discover.damage_findings(text.damaged_members(found)))
     for parser in parsers:
         if parser.findings is not None:
             findings = findings.unionByName(parser.findings(found.drop("content")))
@@ -191,7 +198,7 @@ def run_search(
     objects: DataFrame,
     literals: Sequence[bytes] = (),
     regexes: Sequence[str] = (),
-    iocs: Sequence[bytes] = (),
+    iocs: Sequence[bytes] | DataFrame = (),
     bad_hashes: DataFrame | None = None,
     blocks: DataFrame | None = None,
     inodes: DataFrame | None = None,
@@ -203,22 +210,28 @@ def run_search(
 
     ``objects``: the inventory with content. ``chunks`` hold the content of
     files too large for one row (file columns, base, data). ``blocks`` and
-    ``inodes`` add the unallocated region. ``bad_hashes`` are list lines
-    (column ``value``).
+    ``inodes`` add the unallocated region. ``iocs`` are terms, or a table with
+    a column ``term`` (text or binary) as ``text.ioc_terms`` gives it.
+    ``bad_hashes`` are list lines (column ``value``).
     """
     source = _source(tables, evidence_source_id)
-    terms = [(t, "literal") for t in literals] + [(t, "ioc") for t in iocs]
-    if terms or regexes:
-        tables.append(
-            "search_hits", search.search_objects(search.searchable(objects), terms, regexes)
-        )
+    terms, table = [(t, "literal") for t in literals], None
+    if isinstance(iocs, DataFrame):
+        table = iocs.select(F.col("term").cast("binary").alias("term"), F.lit("ioc").alias("kind"))
+    else:
+        terms += [(t, "ioc") for t in iocs]
+    if terms or regexes or table is not None:
+        if terms or regexes:
+            tables.append("search_hits", search.search_objects(search.searchable(objects), terms, regexes))
+        if table is not None:
+            tables.append("search_hits", search.search_term_table(search.searchable(objects), table))
         if chunks is not None:
-            tables.append("search_hits", search.search_file_chunks(chunks, terms, regexes))
+            tables.append("search_hits", search.search_file_chunks(chunks, terms, regexes, terms=table))
         if blocks is not None and inodes is not None:
             free = recovery.unallocated(blocks, inodes).withColumn(
                 "evidence_source_id", F.lit(source).cast("long")
             )
-            tables.append("search_hits", search.search_blocks(free, block_size, terms, regexes))
+            tables.append("search_hits", search.search_blocks(free, block_size, terms, regexes, terms=table))
     if bad_hashes is not None:
         files = tables.read("files", source)
         matches = known.match_lists(files, known.hash_list(bad_hashes, BAD_LIST, "block"))

@@ -264,7 +264,10 @@ def timeline_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_ROW_TEXT = "concat_ws('|', strftime(ts_utc, '%Y-%m-%dT%H:%M:%S'), source, event_type, path, COALESCE(CAST(meta_addr AS VARCHAR), ''), actor)"
+_ROW_TEXT = (
+    "concat_ws('|', strftime(ts_utc, '%Y-%m-%dT%H:%M:%S.%f'), source, event_type, volume_id, volume_offset, path,"
+    " COALESCE(CAST(meta_addr AS VARCHAR), ''), COALESCE(actor, ''), file_id)"
+)
 
 
 @query(
@@ -280,11 +283,14 @@ def report_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = timeline.macb_events(normalized_files(spark, sf_dir))
     text = F.concat_ws(
         "|",
-        F.date_format("ts_utc", "yyyy-MM-dd'T'HH:mm:ss"),
+        F.date_format("ts_utc", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
         "source",
         "event_type",
+        "volume_id",
+        "volume_offset",
         "path",
         F.coalesce(F.col("meta_addr").cast("string"), F.lit("")),
-        "actor",
+        F.coalesce("actor", F.lit("")),
+        "file_id",
     )
     return quality.result_digest(events, text)

@@ -14,12 +14,12 @@ from caseframe.schemas import ORDER_MATCHES
 _LIST_LINE_SPARK = (
     "case doc_id % 6 when 0 then '  ' || md5(text) || '  ' || source when 1 then upper(sha1(text))"
     " when 2 then sha2(text, 256) when 3 then '# ' || md5(text) when 4 then substring(md5(text), 1, 31) || 'z'"
-    " else substring(text, 1, 40) end"
+    " else text end"
 )
 _LIST_LINE_DUCK = (
     "CASE doc_id % 6 WHEN 0 THEN '  ' || md5(text) || '  ' || source WHEN 1 THEN upper(sha1(text))"
     " WHEN 2 THEN sha256(text) WHEN 3 THEN '# ' || md5(text) WHEN 4 THEN substr(md5(text), 1, 31) || 'z'"
-    " ELSE substr(text, 1, 40) END"
+    " ELSE text END"
 )
 
 
@@ -52,8 +52,8 @@ _CUSTOM = f"""custom AS (
   SELECT evidence_source_id, file_id, 'custom' AS source, list_name, sense, {_BEST}
   FROM digests JOIN lists USING (prio, hash) GROUP BY evidence_source_id, file_id, list_name, sense)"""
 _REFERENCE = """reference AS (
-  SELECT upper(md5(text)) AS md5, upper(sha1(text)) AS sha1, upper(sha256(text)) AS sha256
-  FROM documents WHERE lang <> 'en')"""
+  SELECT upper(md5(body)) AS md5, upper(sha1(body)) AS sha1, upper(sha256(body)) AS sha256
+  FROM (SELECT CASE WHEN lang = 'en' THEN text || '#' ELSE text END AS body FROM documents))"""
 _NSRL = f"""nsrl AS (
   SELECT evidence_source_id, file_id, 'nsrl' AS source, CAST(NULL AS VARCHAR) AS list_name,
     CAST(NULL AS VARCHAR) AS sense, {_BEST}
@@ -73,10 +73,10 @@ def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upper-case reference hashes of the documents that are not English, duplicates included."""
-    foreign = table(spark, sf_dir, "documents").where("lang <> 'en'")
+    """Upper-case reference hashes of all documents, of English ones in another version; duplicates included."""
+    bodies = table(spark, sf_dir, "documents").selectExpr("case when lang = 'en' then text || '#' else text end as body")
     return known.reference_hashes(
-        foreign.selectExpr("upper(md5(text)) as md5", "upper(sha1(text)) as sha1", "upper(sha2(text, 256)) as sha256")
+        bodies.selectExpr("upper(md5(body)) as md5", "upper(sha1(body)) as sha1", "upper(sha2(body, 256)) as sha256")
     )
 
 
@@ -195,12 +195,16 @@ def manifest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verify_manifest(computed, computed.selectExpr("path", _MANIFEST_SPARK))
 
 
+# French documents are gone and come back elsewhere; those of one source have moved.
+_BASE_PATH = "CASE WHEN lang = 'fr' THEN '/old/' || doc_id ELSE '/' || doc_id END"
+_NOW_PATH = "CASE WHEN source = 'src1' THEN '/new/' || doc_id ELSE '/' || doc_id END"
+
+
 @query(
     "manifest_drift",
-    """WITH b AS (SELECT '/' || doc_id AS path, md5(text) AS base_md5, sha256(text) AS base_sha256
-        FROM documents WHERE lang <> 'fr'),
-    c AS (SELECT '/' || doc_id AS path, CASE WHEN quality = 1 THEN md5(text || '~') ELSE md5(text) END AS now_md5,
-        sha256(text) AS now_sha256 FROM documents LEFT JOIN labels USING (doc_id) WHERE source <> 'src1')
+    f"""WITH b AS (SELECT {_BASE_PATH} AS path, md5(text) AS base_md5, sha256(text) AS base_sha256 FROM documents),
+    c AS (SELECT {_NOW_PATH} AS path, CASE WHEN quality = 1 THEN md5(text || '~') ELSE md5(text) END AS now_md5,
+        sha256(text) AS now_sha256 FROM documents LEFT JOIN labels USING (doc_id))
     SELECT COALESCE(b.path, c.path) AS path, base_md5, base_sha256, now_md5, now_sha256,
       CASE WHEN b.path IS NULL THEN 'appeared' WHEN c.path IS NULL THEN 'vanished' ELSE 'changed' END AS drift
     FROM b FULL OUTER JOIN c ON b.path = c.path
@@ -209,12 +213,11 @@ def manifest_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifest_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests that changed, appeared or vanished between two manifests."""
     docs = table(spark, sf_dir, "documents")
-    base = docs.where("lang <> 'fr'").selectExpr("'/' || doc_id as path", "md5(text) as md5", "sha2(text, 256) as sha256")
+    base = docs.selectExpr(f"{_BASE_PATH} as path", "md5(text) as md5", "sha2(text, 256) as sha256")
     now = (
-        docs.where("source <> 'src1'")
-        .join(table(spark, sf_dir, "labels"), "doc_id", "left")
+        docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
         .selectExpr(
-            "'/' || doc_id as path",
+            f"{_NOW_PATH} as path",
             "case when quality = 1 then md5(text || '~') else md5(text) end as md5",
             "sha2(text, 256) as sha256",
         )

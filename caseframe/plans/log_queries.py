@@ -41,16 +41,15 @@ def src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "src_ioc_terms",
     f"""WITH {_LINES_SQL}, t AS (SELECT regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS term,
-      doc_id * 1000000 + line_no AS pos FROM doc_lines)
-    SELECT term, CAST(MIN(pos) AS BIGINT) AS first_line FROM t
-    WHERE term <> '' AND NOT starts_with(term, '#') GROUP BY term""",
+      struct_pack(d := doc_id, l := line_no) AS pos FROM doc_lines),
+    firsts AS (SELECT term, MIN(pos) AS pos FROM t WHERE term <> '' AND NOT starts_with(term, '#') GROUP BY term)
+    SELECT term, CAST(pos.d AS BIGINT) AS doc_id, CAST(pos.l AS BIGINT) AS line_no FROM firsts""",
 )
 def src_ioc_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct indicators of a list with the position of their first line."""
-    lines = document_lines(spark, sf_dir).select(
-        (F.col("doc_id") * 1000000 + F.col("line_no")).alias("line_no"), F.col("line").alias("value")
-    )
-    return text.ioc_terms(lines)
+    lines = document_lines(spark, sf_dir).select(F.struct("doc_id", "line_no").alias("line_no"), F.col("line").alias("value"))
+    first = text.ioc_terms(lines)
+    return first.select("term", "first_line.doc_id", F.col("first_line.line_no").cast("long").alias("line_no"))
 
 
 _LEAF = "regexp_extract(path, '([^/]*)$', 1)"
@@ -153,16 +152,19 @@ def log_disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.disclosures(members(spark, sf_dir)).select("category", "subject", "detail")
 
 
+# Files without a time stand elsewhere in the inventory.
+_LISTED_PATH = "CASE WHEN mtime = 0 THEN '/lost' || path ELSE path END"
+
+
 @query(
     "log_file_id",
-    f"""WITH {MEMBERS_SQL}, first AS (SELECT evidence_source_id, path, MIN(file_id) AS file_id FROM log_files_v
-      WHERE mtime <> 0 GROUP BY 1, 2)
+    f"""WITH {MEMBERS_SQL}, first AS (SELECT evidence_source_id, {_LISTED_PATH} AS path, MIN(file_id) AS file_id FROM log_files_v GROUP BY 1, 2)
     SELECT m.volume_id, m.path, f.file_id FROM members m LEFT JOIN first f USING (evidence_source_id, path)""",
     ("log_files_v",),
 )
 def log_file_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First inventory id of a log path; NULL when the inventory lacks it."""
-    inventory = view(spark, sf_dir, "log_files_v").where("mtime <> 0")
+    inventory = view(spark, sf_dir, "log_files_v").withColumn("path", F.expr(_LISTED_PATH))
     return discover.with_file_id(members(spark, sf_dir), inventory).select("volume_id", "path", "file_id")
 
 
@@ -393,10 +395,10 @@ RESOLVED_SQL = f"""{PARSED_SQL}, {_MEMBER_ROWS},
   FROM resolved),
   log_events AS (SELECT *, COALESCE(action, 'log') AS event_type, '{{' || concat_ws(',',
     '"assumed_timezone":' || CAST(to_json(assumed_timezone) AS VARCHAR), '"raw":' || CAST(to_json(line) AS VARCHAR),
-    '"rfc5424":"' || is_rfc5424 || '"', '"time_warning":' || CAST(to_json(time_warning) AS VARCHAR),
+    '"rfc5424":' || is_rfc5424, '"time_warning":' || CAST(to_json(time_warning) AS VARCHAR),
     '"timestamp_source":"' || timestamp_source || '"', '"ts_basis":' || CAST(to_json(ts_basis) AS VARCHAR),
     '"ts_resolved":"' || ts_resolved || '"', '"tz_resolution":"' || tz_resolution || '"',
-    '"year_basis":' || CAST(to_json(year_basis) AS VARCHAR), '"year_inferred":"' || year_inferred || '"') || '}}' AS attributes
+    '"year_basis":' || CAST(to_json(year_basis) AS VARCHAR), '"year_inferred":' || year_inferred) || '}}' AS attributes
   FROM flagged)"""
 
 

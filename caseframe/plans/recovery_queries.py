@@ -63,7 +63,7 @@ def unallocated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DELETED = """live AS (SELECT volume_id, meta_addr AS parent_addr FROM inodes_v WHERE allocated),
   flags AS (SELECT volume_id, meta_addr, orphan_flag FROM inodes_v),
-  links AS (SELECT * FROM dir_entries_v WHERE o_orderpriority <> '1-URGENT' AND NOT allocated AND meta_type = 'reg'),
+  links AS (SELECT * FROM dir_entries_v WHERE meta_addr IS NOT NULL AND NOT allocated AND meta_type = 'reg'),
   from_dirs AS (SELECT l.volume_id, l.volume_offset, l.meta_addr, l.name, l.path, l.parent_addr,
       NOT EXISTS (SELECT 1 FROM live v WHERE v.volume_id = l.volume_id AND v.parent_addr = l.parent_addr)
         OR f.orphan_flag AS is_orphan, 'directory' AS found_by
@@ -76,8 +76,7 @@ _DELETED = """live AS (SELECT volume_id, meta_addr AS parent_addr FROM inodes_v
 
 
 def deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = view(spark, sf_dir, "dir_entries_v").where("o_orderpriority <> '1-URGENT'")
-    return recovery.deleted_inodes(entries, inodes(spark, sf_dir))
+    return recovery.deleted_inodes(view(spark, sf_dir, "dir_entries_v"), inodes(spark, sf_dir))
 
 
 _DELETED_COLUMNS = ["volume_id", "volume_offset", "meta_addr", "name", "path", "parent_addr", "is_orphan", "found_by"]
@@ -131,12 +130,12 @@ def recovery_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAME_SPARK = (
-    "case doc_id % 4 when 0 then '../../' || substring(text, 1, 20) when 1 then 'C:\\\\' || lang || '\\\\..\\\\' || source"
-    " when 2 then '/' || replace(substring(text, 1, 12), chr(10), '/') else './' || chr(7) || ' ' || source || ' ' end"
+    "case doc_id % 4 when 0 then '../../' || text when 1 then 'C:\\\\' || lang || '\\\\..\\\\' || source"
+    " when 2 then '/' || replace(text, chr(10), '/') else './' || chr(7) || ' ' || source || ' ' end"
 )
 _NAME_DUCK = (
-    "CASE doc_id % 4 WHEN 0 THEN '../../' || substr(text, 1, 20) WHEN 1 THEN 'C:\\' || lang || '\\..\\' || source"
-    " WHEN 2 THEN '/' || replace(substr(text, 1, 12), chr(10), '/') ELSE './' || chr(7) || ' ' || source || ' ' END"
+    "CASE doc_id % 4 WHEN 0 THEN '../../' || text WHEN 1 THEN 'C:\\' || lang || '\\..\\' || source"
+    " WHEN 2 THEN '/' || replace(text, chr(10), '/') ELSE './' || chr(7) || ' ' || source || ' ' END"
 )
 
 

@@ -63,13 +63,12 @@ def per_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_INVENTORY} SELECT CAST(COUNT(*) AS BIGINT) AS files_inventoried,
       CAST(COUNT(*) FILTER (WHERE allocated = false) AS BIGINT) AS deleted_count,
       CAST(COUNT(DISTINCT volume_id) AS BIGINT) AS volumes_walked,
-      (SELECT CAST(COUNT(*) AS BIGINT) FROM supplier WHERE s_acctbal < 0) AS limitations_recorded FROM inventory""",
+      (SELECT CAST(COUNT(*) AS BIGINT) FROM supplier) AS limitations_recorded FROM inventory""",
     ("files_v",),
 )
 def walk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of an inventory run with its limitation rows."""
-    limits = table(spark, sf_dir, "supplier").where("s_acctbal < 0")
-    return report.walk_counts(view(spark, sf_dir, "files_v"), limits)
+    return report.walk_counts(view(spark, sf_dir, "files_v"), table(spark, sf_dir, "supplier"))
 
 
 @query(
@@ -122,13 +121,16 @@ def attributes_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", attributes.is_json_object(F.col("attributes")).alias("valid"))
 
 
+_KIND = "CASE event_type WHEN 'click' THEN 'literal' WHEN 'view' THEN 'regex' WHEN 'error' THEN 'hash' ELSE event_type END"
+
+
 @query(
     "enum_violations",
-    """SELECT event_id, event_type AS term_kind FROM events WHERE event_type NOT IN ('literal', 'regex', 'ioc', 'hash')""",
+    f"""SELECT event_id, {_KIND} AS term_kind FROM events WHERE {_KIND} NOT IN ('literal', 'regex', 'ioc', 'hash')""",
 )
 def enum_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows outside a closed vocabulary."""
-    rows = table(spark, sf_dir, "events").selectExpr("event_id", "event_type as term_kind", "'allocated' as region")
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", f"{_KIND} as term_kind", "'allocated' as region")
     return quality.outside_domain(rows, "search_hits").select("event_id", "term_kind")
 
 
@@ -138,7 +140,7 @@ _STAGE = "CASE event_type WHEN 'click' THEN 'recover' WHEN 'error' THEN 'logs' E
 @query(
     "stages_covered",
     f"""WITH s AS (SELECT DISTINCT {_STAGE} AS stage FROM events
-      UNION SELECT 'filter' FROM labels WHERE toxic = 1 UNION SELECT 'search' FROM documents WHERE n_chars < 0),
+      UNION SELECT 'filter' FROM labels WHERE toxic = 1 UNION SELECT 'search' FROM documents WHERE contains(text, 'AKIA')),
     k AS (SELECT stage FROM s WHERE stage IN ('recover', 'filter', 'logs', 'search'))
     SELECT 'filesystem inventory; MACB timeline; integrity verification'
       || CASE WHEN 'recover' IN (SELECT stage FROM k) THEN '; deleted/orphan-file recovery (data survival only)' ELSE '' END
@@ -152,7 +154,7 @@ def stages_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     run_log = table(spark, sf_dir, "events").selectExpr(f"{_STAGE} as stage")
     findings = {
         "filter": table(spark, sf_dir, "labels").where("toxic = 1"),
-        "search": table(spark, sf_dir, "documents").where("n_chars < 0"),
+        "search": table(spark, sf_dir, "documents").where("contains(text, 'AKIA')"),
     }
     statement = report.coverage_statement(report.stages_covered(run_log, findings))
     return statement.select(
@@ -160,20 +162,21 @@ def stages_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_SOURCE = "CASE event_type WHEN 'view' THEN 'filesystem:ext' WHEN 'click' THEN 'filesystem' ELSE 'auth' END"
+_SOURCE = (
+    "CASE WHEN value > 40 AND event_type = 'view' THEN 'filesystem:ext'"
+    " WHEN value > 40 AND event_type = 'click' THEN 'filesystem' ELSE 'auth' END"
+)
 
 
 @query(
     "backfill_gate",
-    f"""WITH e AS (SELECT user_id AS evidence_source_id, {_SOURCE} AS source FROM events WHERE value > 40)
+    f"""WITH e AS (SELECT user_id AS evidence_source_id, {_SOURCE} AS source FROM events)
     SELECT c_custkey AS evidence_source_id FROM customer
     WHERE c_custkey NOT IN (SELECT evidence_source_id FROM e WHERE starts_with(source, 'filesystem'))""",
 )
 def backfill_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that still lack filesystem events."""
     sources = table(spark, sf_dir, "customer").selectExpr("c_custkey as evidence_source_id")
-    events = (
-        table(spark, sf_dir, "events").where("value > 40").selectExpr("user_id as evidence_source_id", f"{_SOURCE} as source")
-    )
+    events = table(spark, sf_dir, "events").selectExpr("user_id as evidence_source_id", f"{_SOURCE} as source")
     done = events.where(F.startswith(F.col("source"), F.lit("filesystem")))
     return quality.only_new(sources, done, ["evidence_source_id"])

@@ -184,8 +184,8 @@ def _history(d: Dialect) -> list[str]:
         "CAST(0 AS BIGINT) AS volume_id",
         "CASE WHEN conv_id % 5 = 4 THEN '/root/' ELSE '/home/user' || conv_id || '/' END ||"
         " CASE WHEN conv_id % 3 = 0 THEN '.zsh_history' ELSE '.bash_history' END AS path",
-        "turn AS line_ord",
-        "CAST(conv_id AS INT) AS line_sub",
+        "conv_id * 4096 + turn AS line_ord",
+        "CAST(0 AS INT) AS line_sub",
         "CASE WHEN role = 'user' AND conv_id % 3 <> 0 THEN '#' || (1700000000 + conv_id * 1000 + turn)"
         f" WHEN role = 'assistant' AND conv_id % 3 = 0 THEN ': ' || (1700000000 + conv_id * 1000 + turn) || ':0;' || {text}"
         f" ELSE {text} END AS line",
@@ -212,14 +212,14 @@ def _dir_entries(d: Dialect) -> list[str]:
     return [
         "o_custkey % 2 AS volume_id",
         "(o_custkey % 2) * 1048576 AS volume_offset",
-        "o_orderkey AS meta_addr",
+        # Urgent orders are names without an inode.
+        "CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE o_orderkey END AS meta_addr",
         "'f' || o_orderkey || '.dat' AS name",
         "'/d' || o_custkey || '/f' || o_orderkey || '.dat' AS path",
         "CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE o_custkey END AS parent_addr",
         "o_orderstatus <> 'F' AS allocated",
         "CASE WHEN o_orderpriority = '5-LOW' AND o_orderkey % 10 = 0 THEN 'dir' ELSE 'reg' END AS meta_type",
         "o_orderkey AS entry_ordinal",
-        "o_orderpriority",
     ]
 
 

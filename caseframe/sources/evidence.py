@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from caseframe import schemas
 
@@ -41,28 +46,74 @@ def read_tree(
     return small.unionByName(large)
 
 
+#: Bytes of an image that one task reads, and blocks of one batch of rows.
+SPLIT_BYTES = 128 << 20
+BATCH_BLOCKS = 1024
+
+
+@dataclass
+class ByteRange(InputPartition):
+    first: int  # block number
+    last: int  # exclusive
+
+
+class RawBlocksReader(DataSourceReader):
+    """Blocks of a raw image by byte range; the last one may be short."""
+
+    def __init__(self, options):
+        self.path = options["path"]
+        self.block_size, self.origin = int(options["block_size"]), int(options["volume_offset"])
+
+    def _open(self):
+        from pyarrow import fs
+
+        scheme = "://" in self.path
+        system, path = fs.FileSystem.from_uri(self.path) if scheme else (fs.LocalFileSystem(), self.path.removeprefix("file:"))
+        return system.open_input_file(path)
+
+    def partitions(self) -> list[ByteRange]:
+        with self._open() as image:
+            blocks = -(-max(image.size() - self.origin, 0) // self.block_size)
+        step = max(1, SPLIT_BYTES // self.block_size)
+        return [ByteRange(k, min(k + step, blocks)) for k in range(0, blocks, step)] or [ByteRange(0, 0)]
+
+    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        with self._open() as image:
+            for k in range(partition.first, partition.last, BATCH_BLOCKS):
+                n = min(BATCH_BLOCKS, partition.last - k)
+                data = image.read_at(n * self.block_size, self.origin + k * self.block_size)
+                cut = [data[i : i + self.block_size] for i in range(0, len(data), self.block_size)]
+                numbers = pa.array(range(k, k + len(cut)), pa.int64())
+                yield pa.RecordBatch.from_arrays([numbers, pa.array(cut, pa.binary())], ["block_index", "data"])
+
+
+class RawBlocks(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "raw_blocks"
+
+    def schema(self) -> str:
+        return "block_index long, data binary"
+
+    def reader(self, schema) -> RawBlocksReader:
+        return RawBlocksReader(self.options)
+
+
 def read_blocks(
     spark: SparkSession, path: str, block_size: int, volume_id: int = 0, volume_offset: int = 0
 ) -> DataFrame:
-    """Fixed-size blocks of a raw image: volume_id, volume_offset, block_index, data.
+    """Blocks of a raw image from ``volume_offset`` on: volume_id, volume_offset, block_index, data.
 
-    Records are read in splits; ``volume_offset`` must be a multiple of the
-    block size for the block grid to line up.
+    The image is read in byte ranges; a block that the image cuts short has
+    what is there.
     """
-    if volume_offset % block_size:
-        raise ValueError("volume_offset must be a multiple of block_size")
-    first = volume_offset // block_size
-    records = spark.sparkContext.binaryRecords(path, block_size).zipWithIndex()
-    rows = records.map(lambda r: (r[1] - first, bytearray(r[0])))
-    return (
-        spark.createDataFrame(rows, "block_index long, data binary")
-        .where(F.col("block_index") >= 0)
-        .select(
-            F.lit(volume_id).cast("long").alias("volume_id"),
-            F.lit(volume_offset).cast("long").alias("volume_offset"),
-            "block_index",
-            "data",
-        )
+    spark.dataSource.register(RawBlocks)
+    reader = spark.read.format("raw_blocks").option("block_size", block_size).option("volume_offset", volume_offset)
+    return reader.load(path).select(
+        F.lit(volume_id).cast("long").alias("volume_id"),
+        F.lit(volume_offset).cast("long").alias("volume_offset"),
+        "block_index",
+        "data",
     )
 
 

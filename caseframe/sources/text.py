@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 _EXTRA_BREAK = "[\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
-MAX_GZ_BYTES = 256 * 1024 * 1024
+# Bytes taken in and given out at a time while inflating.
+INFLATE_STEP = 1 << 20
 
 
 def decoded(content: Column) -> Column:
@@ -74,44 +75,103 @@ def read_log_lines(spark: SparkSession, paths: str | list[str], volume_id: int =
     )
 
 
-def inflate(data: bytes, cap: int = MAX_GZ_BYTES) -> bytes:
-    """Inflated gzip data; empty for damaged data or more than ``cap`` bytes."""
-    out, rest = bytearray(), bytes(data)
+class DamagedMember(ValueError):
+    """A gzip member that ends early or does not decode."""
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """Inflated gzip data in steps; streams may follow each other, with NUL padding between and behind."""
+    rest, stream = memoryview(data), None
+    started = False
+    while True:
+        if stream is None or stream.eof:
+            left = bytes(stream.unused_data) if stream is not None else b""
+            rest = memoryview((left + bytes(rest)).lstrip(b"\0") if started else left + bytes(rest))
+            if not rest:
+                if not started:
+                    raise DamagedMember("no data")
+                return
+            stream, started = zlib.decompressobj(wbits=31), True
+            pending = b""
+        take = pending or bytes(rest[:INFLATE_STEP])
+        if not pending:
+            rest = rest[len(take) :]
+        if not take:
+            raise DamagedMember("the data ends inside a stream")
+        try:
+            out = stream.decompress(take, INFLATE_STEP)
+        except zlib.error as exc:
+            raise DamagedMember(str(exc)) from exc
+        pending = stream.unconsumed_tail
+        if out:
+            yield out
+
+
+def damage(data: bytes | None) -> str | None:
+    """Why a gzip member cannot be read; NULL if it can."""
     try:
-        while rest:
-            stream = zlib.decompressobj(wbits=31)
-            out += stream.decompress(rest, cap + 1 - len(out))
-            if len(out) > cap or not stream.eof:
-                return b""
-            rest = stream.unused_data.lstrip(b"\\0")
-    except zlib.error:
-        return b""
-    return bytes(out)
-
-
-def inflate_members(members: DataFrame, cap: int = MAX_GZ_BYTES) -> DataFrame:
-    """Replace the content of gzip members by the inflated bytes, at most ``cap`` each."""
+        for _ in inflated(data or b""):
+            pass
+    except DamagedMember as exc:
+        return str(exc)
+    return None
+
+
+def _whole_lines(steps: Iterator[bytes]) -> Iterator[bytes]:
+    """The same bytes in pieces that end with a line feed, except the last."""
+    held: list[bytes] = []
+    for step in steps:
+        cut = step.rfind(b"\n") + 1
+        if cut:
+            yield b"".join([*held, step[:cut]])
+            held = []
+        held.append(step[cut:])
+    if any(held):
+        yield b"".join(held)
+
+
+def inflate_members(members: DataFrame) -> DataFrame:
+    """volume_id, path, piece, content: gzip members inflated in pieces of whole lines.
+
+    A member is tested to its end before its first piece is made: a damaged one
+    gives no rows here and one row of ``damaged_members``. Only one step of one
+    member is held, whatever it inflates to.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            # One member at a time, so that only one inflated member is held.
-            for i in range(len(pdf)):
-                yield pdf.iloc[[i]].assign(content=[inflate(pdf["content"].iloc[i], cap)])
+            for volume_id, path, data in zip(pdf["volume_id"], pdf["path"], pdf["content"]):
+                if damage(data) is None:
+                    for n, piece in enumerate(_whole_lines(inflated(data))):
+                        yield pd.DataFrame({"volume_id": [volume_id], "path": [path], "piece": [n], "content": [piece]})
+
+    return members.select("volume_id", "path", "content").mapInPandas(run, "volume_id long, path string, piece long, content binary")
+
+
+def damaged_members(members: DataFrame) -> DataFrame:
+    """The rows of gzip members that cannot be read, with ``reason`` in place of the content."""
+
+    @F.pandas_udf("string")
+    def reason(content: pd.Series) -> pd.Series:
+        return content.map(damage)
 
-    return members.mapInPandas(run, members.schema)
+    packed = members.where("is_gz and content is not null and octet_length(content) > 0")
+    return packed.withColumn("reason", reason("content")).where("reason is not null").drop("content")
 
 
-def lines_of_members(members: DataFrame, cap: int = MAX_GZ_BYTES) -> DataFrame:
+def lines_of_members(members: DataFrame) -> DataFrame:
     """Lines of log members given their content.
 
     ``members``: volume_id, path, is_gz, content. Only gzip members pass
     through Python.
     """
     narrow = members.select("volume_id", "path", "is_gz", "content").where("content is not null")
-    plain = narrow.where(~F.col("is_gz"))
-    packed = inflate_members(narrow.where("is_gz"), cap)
+    plain = narrow.where(~F.col("is_gz")).select("volume_id", "path", F.lit(0).cast("long").alias("_piece"), "content")
+    packed = inflate_members(narrow.where("is_gz")).withColumnRenamed("piece", "_piece")
     both = plain.unionByName(packed).withColumn("_text", decoded(F.col("content")))
-    return lines_of(both.select("volume_id", "path", "_text"), F.col("_text")).drop("_text")
+    lines = lines_of(both.select("volume_id", "path", "_piece", "_text"), F.col("_text"))
+    # A piece has fewer than 2**32 lines, so keys ascend along the member.
+    return lines.withColumn("line_ord", F.shiftleft("_piece", 32) + F.col("line_ord")).drop("_text", "_piece")
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:

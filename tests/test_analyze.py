@@ -122,7 +122,7 @@ def test_recovered_rows_and_tiers(case):
     got = {r.meta_addr: r for r in case.read("files", 1).where("recovered").collect()}
     assert (got[106].confidence_tier, got[106].is_orphan, got[106].md5) == ("intact", False, hashlib.md5(b"gone").hexdigest())
     assert (got[200].confidence_tier, got[200].is_orphan) == ("partial/overwritten", True)
-    assert '"overlapping_blocks":"[3]"' in got[200].attributes
+    assert '"overlapping_blocks":[3]' in got[200].attributes
 
 
 def test_hits(case):
@@ -202,6 +202,9 @@ def test_tree_blocks_lists_and_reference_sources(spark, tmp_path):
     (tmp_path / "img.dd").write_bytes(b"".join(bytes([65 + i]) * 8 for i in range(6)))
     blocks = evidence.read_blocks(spark, str(tmp_path / "img.dd"), 8, 3, 16).orderBy("block_index").collect()
     assert [(r.block_index, bytes(r.data)[:1]) for r in blocks] == [(0, b"C"), (1, b"D"), (2, b"E"), (3, b"F")]
+    (tmp_path / "short.dd").write_bytes(bytes(range(45)))
+    odd = evidence.read_blocks(spark, str(tmp_path / "short.dd"), 8, 0, 5).orderBy("block_index").collect()
+    assert [bytes(r.data) for r in odd] == [bytes(range(k, min(k + 8, 45))) for k in range(5, 45, 8)]
     (tmp_path / "bad.txt").write_bytes(b"ok\n\xff\xfe\n")
     with pytest.raises(Exception, match="(?i)utf"):
         text.read_list(spark, str(tmp_path / "bad.txt")).collect()

@@ -171,9 +171,8 @@ def test_iso_text(spark):
     ]
 
 
-def test_flag_merge_keeps_the_later_value_and_sorts_keys(spark):
+def test_flags_keep_their_types_and_sort_keys(spark):
     row = spark.range(1).select(
-        attributes.to_sorted_json(attributes.merge(attributes.flags(b=F.lit(1), a=F.lit("x")), attributes.flags(b=F.lit(2), z=F.lit(None)))).alias("m"),
-        attributes.flags_json(b=F.lit(2), a=F.lit("x"), z=F.lit(None)).alias("j"),
+        attributes.flags_json(b=F.lit(2), a=F.lit("x"), z=F.lit(None).cast("string"), t=F.lit(True), n=F.array(F.lit(3), F.lit(4))).alias("j"),
     ).first()
-    assert row.m == row.j == '{"a":"x","b":"2"}'
+    assert row.j == '{"a":"x","b":2,"n":[3,4],"t":true}'

@@ -235,8 +235,8 @@ def test_events_keep_raw_and_sorted_attributes(spark):
     out = resolve.to_events(resolve.resolve(parse.parse(lines(spark, "/l/auth.log", ['Jan  5 00:00:00 h p: say "hi"'])), members)).first()
     assert out.event_type == "log" and out.meta_addr is None and out.file_id == 1
     assert out.attributes == (
-        '{"assumed_timezone":"UTC","raw":"Jan  5 00:00:00 h p: say \\"hi\\"","rfc5424":"false",'
-        '"timestamp_source":"log:inferred-tz","tz_resolution":"etc-timezone","year_basis":"b","year_inferred":"2024"}'
+        '{"assumed_timezone":"UTC","raw":"Jan  5 00:00:00 h p: say \\"hi\\"","rfc5424":false,'
+        '"timestamp_source":"log:inferred-tz","tz_resolution":"etc-timezone","year_basis":"b","year_inferred":2024}'
     )
 
 
@@ -254,6 +254,18 @@ def test_host_zone_order(spark):
     assert got == {0: ("Europe/Paris", "etc-localtime"), 1: ("Asia/Tokyo", "etc-timezone"), 2: (None, "tz-undeterminable")}
 
 
+def test_a_huge_index_is_a_range(spark):
+    rows = member_rows(spark, ["/v/auth.log", "/v/auth.log.3", "/v/auth.log.3000000000"])
+    got = discover.completeness(rows).first()
+    assert got.missing_indices == [1, 2, 4, 2999999999] and "[1, 2, 4-2999999999] absent" in got.note
+
+
+def test_zones_unknown_to_the_jvm_are_undeterminable(spark):
+    rows = [(0, "/etc/timezone", None, "Factory"), (1, "/etc/timezone", None, "localtime"), (2, "/etc/timezone", None, "Asia/Tokyo")]
+    got = {r.volume_id: r.zone for r in resolve.host_zones(spark.createDataFrame(rows, "volume_id long, path string, link_target string, text string")).collect()}
+    assert got == {0: None, 1: None, 2: "Asia/Tokyo"}
+
+
 def test_first_file_id_of_a_path(spark):
     rows = member_rows(spark, ["/v/auth.log", "/v/syslog"])
     files = spark.createDataFrame([(1, 9, "/v/auth.log"), (1, 4, "/v/auth.log")], "evidence_source_id long, file_id long, path string")
@@ -280,9 +292,27 @@ def test_members_are_inflated_and_decoded(spark):
     }
 
 
-def test_inflate_refuses_a_bomb():
-    assert text.inflate(gzip.compress(b"0" * 5000), cap=1000) == b""
-    assert text.inflate(gzip.compress(b"ab") + gzip.compress(b"cd"), cap=1000) == b"abcd"
+def test_inflating_has_no_limit_and_takes_padding(monkeypatch):
+    monkeypatch.setattr(text, "INFLATE_STEP", 50)
+    packed = gzip.compress(b"ab\ncd\n") + b"\0" * 700 + gzip.compress(b"e" * 5000 + b"\n\nx") + b"\0" * 9
+    assert b"".join(text.inflated(packed)) == b"ab\ncd\n" + b"e" * 5000 + b"\n\nx"
+    pieces = list(text._whole_lines(text.inflated(packed)))
+    assert len(pieces) > 2 and all(p.endswith(b"\n") for p in pieces[:-1])
+
+
+@pytest.mark.parametrize("data", [b"", b"junk", gzip.compress(b"abc" * 99)[:-9], gzip.compress(b"abc") + b"junk", b"\0" * 20])
+def test_damage_is_told(data):
+    assert text.damage(data)
+
+
+def test_large_member_in_pieces_and_damage_rows(spark, monkeypatch):
+    body = "".join(f"line {i}\r\n" for i in range(300_000))
+    good = gzip.compress(body.encode())
+    rows = [(0, "/v/a.gz", True, bytearray(good)), (0, "/v/b.gz", True, bytearray(good[:-30])), (0, "/v/c", False, bytearray(b"x"))]
+    df = spark.createDataFrame(rows, "volume_id long, path string, is_gz boolean, content binary")
+    assert [(r.path, bool(r.reason)) for r in text.damaged_members(df).collect()] == [("/v/b.gz", True)]
+    got = text.lines_of_members(df.where("path = '/v/a.gz'")).orderBy("line_ord", "line_sub").collect()
+    assert [r.line for r in got] == body.split("\r\n")[:-1] and got[-1].line_ord > 1 << 32
 
 
 def test_lines_of_a_split_file_stay_in_order(spark, tmp_path):

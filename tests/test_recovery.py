@@ -118,6 +118,15 @@ def test_deleted_discovery_and_orphans(spark):
     assert by_addr[16].name == "inode-16" and by_addr[14].file_type is None
 
 
+def test_names_of_reallocated_and_missing_inodes_stay(spark):
+    nodes = inodes(spark, [dict(meta_addr=2, allocated=True, meta_type="dir"), dict(meta_addr=30, allocated=True, size=7), dict(meta_addr=31)])
+    links = entries(spark, [(0, 0, 30, "old", "/old", 2, False, "reg", 1), (0, 0, 99, "lost", "/lost", 2, False, "reg", 2), (0, 0, 31, "x", "/x", 2, False, "reg", 3)])
+    found = recovery.deleted_inodes(links, nodes)
+    rows = recovery.recovered_rows(found, recovery.with_tier(nodes, live=True), 1)
+    got = {r.meta_addr: (r.confidence_tier, recovery.REASON_REALLOCATED in r.attributes) for r in rows.collect()}
+    assert got[30] == ("partial/overwritten", True) and got[99] == ("partial/overwritten", False) and got[31][1] is False
+
+
 def test_unallocated_complement(spark):
     nodes = inodes(spark, [dict(meta_addr=1, allocated=True, runs=[(2, 3), (3, 4)]), dict(meta_addr=2, runs=[(0, 2)])])
     volumes = spark.createDataFrame([(0, 0, 10)], "volume_id long, volume_offset long, block_count long")

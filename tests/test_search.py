@@ -50,9 +50,16 @@ def test_regex_spans(spark, pattern):
     assert got == want
 
 
-def test_long_match_is_cut_not_dropped(spark):
+def test_long_match_is_cut_and_tells_its_length(spark):
     got = search.search_objects(frame(spark, [b"x" + b"a" * 9000 + b"y"]), regexes=["a+"]).collect()
-    assert [(r.byte_offset, len(r.term)) for r in got] == [(1, 4096)]
+    assert [(r.byte_offset, len(r.term), r.attributes) for r in got] == [(1, 4096, '{"match_length":9000}')]
+
+
+def test_case_insensitive_and_empty_matches(spark):
+    hits = search.search_objects(frame(spark, [b"EVIL.com evil.com Evil"]), regexes=["(?i)evil"])
+    assert sorted(r.term for r in hits.collect()) == ["EVIL", "Evil", "evil"]
+    ahead = search.search_objects(frame(spark, [b"abxab"]), regexes=["(?=ab)"])
+    assert [r.byte_offset for r in ahead.collect()] == [3]
 
 
 def test_context_is_bounded(spark):
@@ -63,7 +70,7 @@ def test_context_is_bounded(spark):
     assert near.context == "abXcd"
 
 
-@pytest.mark.parametrize("pattern", ["(a+)+", "(.*)*x", "(a|b)*", "(a{2,})+", "[", "(unclosed"])
+@pytest.mark.parametrize("pattern", ["(a+)+", "(.*)*x", "(a|b)*", "(a{2,})+", "[", "(unclosed", "((a+)b?)*c", "(a+){2,}", r"(\w+\s?){5,}$"])
 def test_unsafe_or_invalid_patterns_are_refused(pattern):
     with pytest.raises(scan.PatternError):
         scan.check_pattern(pattern)
@@ -97,6 +104,16 @@ def test_chunked_regex_equals_whole_objects(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("pattern", [r"\d{1,3}(?:\.\d{1,3}){3}", r"[a-z]{7}", r"ab?", r"a*", r"(?i)AB+", r"(?<=a)b"])
+def test_dense_matches_do_not_depend_on_windows(spark, pattern):
+    rng = random.Random(11)
+    data = [b"1.22.333.4" * 900, b"abcdefghijk" * 1500, bytes(rng.choice(b"ab1.") for _ in range(30000)), b"a" * 100]
+    hits = search.search_chunks(cut(spark, data, 700), ["object_id"], regexes=[pattern], window=8300)
+    got = sorted((r.object_id, r.byte_offset, r.term) for r in hits.collect())
+    want = sorted((i, m.start(), m.group(0).decode()) for i, d in enumerate(data) for m in re.finditer(pattern.encode(), d) if m.end())
+    assert got == want
+
+
 def test_term_at_a_chunk_edge_once(spark):
     data = b"." * 12 + b"NEEDLE42" + b"." * 20
     hits = search.search_chunks(cut(spark, [data], 16), ["object_id"], [(b"NEEDLE42", "literal")])
@@ -125,8 +142,10 @@ def test_long_term_lists_are_joined(spark, window):
     want = sorted((i, t, o) for i, d in enumerate(data) for t in set(terms) for o in find_all(d, t))
     assert got == want
     if window > 16:
-        auto = search.search_objects(frame(spark, data), [(t, "ioc") for t in terms])
-        assert auto.count() == len(want)
+        few = [(t, "ioc") for t in terms[: search.MAX_PLAN_TERMS]]
+        for listed in (few, [(t, "ioc") for t in terms]):
+            hits = search.search_objects(frame(spark, data).drop("file_id"), listed)
+            assert hits.count() == sum(len(find_all(d, t)) for d in data for t, _ in set(listed))
 
 
 def test_long_lists_over_chunks(spark):

@@ -8,9 +8,9 @@ of a layer knows the span of the text that it comes from; findings of inner
 layers are reported by that span.
 
 A null text is empty. Offsets are code points, the end exclusive. Rows are
-independent. Data that inflates to more than ``INFLATE_LIMIT`` bytes is not
-scanned but reported as a span of kind ``oversize``, so nothing is passed over
-in silence.
+independent. Data that inflates to more than ``INFLATE_LIMIT`` bytes is scanned
+in steps that overlap, is not unwrapped further, and is reported as a span of
+kind ``oversize`` besides, so nothing is passed over in silence.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 
 from caseframe.llm import spans as S
 
-INFLATE_LIMIT = 64 << 20
+INFLATE_LIMIT = 8 << 20
+STEP, OVERLAP = 1 << 20, 1 << 12
 #: Fixed patterns of the base kinds, in their order.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -61,9 +62,9 @@ class Layer:
             return a, b
         return int(self.starts[a:b].min()), int(self.ends[a:b].max())
 
-    def spread(self, places: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        both = np.array([self.root(a, b) for a, b in places], np.int64).reshape(-1, 2)
-        return both[:, 0], both[:, 1]
+    def spread(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the root text of ranges of this layer; both arrays of a layer ascend."""
+        return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
 
 
 def base_spans(text: str) -> list[S.Span]:
@@ -117,21 +118,24 @@ def _unicode(match: re.Match) -> tuple[str, list[tuple[int, int]]] | None:
 def _unescaped(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The whole layer with its escapes replaced; None without a valid escape."""
     parts: list[str] = []
-    places: list[tuple[int, int]] = []
-    last, any_found = 0, False
+    begins: list[np.ndarray] = []
+    ends: list[np.ndarray] = []
+    last = 0
     for m in pattern.finditer(layer.text):
         got = decode(m)
         if got is None:
             continue
-        any_found = True
+        plain = np.arange(last, m.start())
+        places = np.array(got[1], np.int64).reshape(-1, 2)
         parts += [layer.text[last : m.start()], got[0]]
-        places += [(i, i + 1) for i in range(last, m.start())] + got[1]
+        begins += [plain, places[:, 0]]
+        ends += [plain + 1, places[:, 1]]
         last = m.end()
-    if not any_found:
+    if not parts:
         return None
+    plain = np.arange(last, len(layer.text))
     parts.append(layer.text[last:])
-    places += [(i, i + 1) for i in range(last, len(layer.text))]
-    return Layer("".join(parts), *layer.spread(places))
+    return Layer("".join(parts), *layer.spread(np.concatenate([*begins, plain]), np.concatenate([*ends, plain + 1])))
 
 
 def _readable(text: str) -> bool:
@@ -153,6 +157,20 @@ def _inflated(data: bytes) -> bytes | None:
     return out
 
 
+def _streamed_kinds(data: bytes) -> set[str]:
+    """Kinds of the findings in a stream too large to hold; findings share one place, so steps may overlap."""
+    worker, held, kinds = zlib.decompressobj(31 if data[:2] == b"\x1f\x8b" else 15), b"", set()
+    while data and not worker.eof:
+        try:
+            out = worker.decompress(data, STEP)
+        except zlib.error:
+            break
+        data = worker.unconsumed_tail
+        kinds |= {kind for _, _, kind in base_spans((held + out).decode("latin-1"))}
+        held = out[-OVERLAP:]
+    return kinds
+
+
 def _base64(layer: Layer) -> Iterator[Layer | S.Span]:
     for m in BASE64.finditer(layer.text):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
@@ -166,21 +184,21 @@ def _base64(layer: Layer) -> Iterator[Layer | S.Span]:
         try:
             inner = _inflated(data)
         except OverflowError:
-            yield (*layer.root(*m.span()), "oversize")
+            for kind in {"oversize", *_streamed_kinds(data)}:
+                yield (*layer.root(*m.span()), kind)
             continue
-        if inner is not None:
-            places = [m.span()] * len(inner)
-            data = inner
-        else:
-            places = [(start + k * 8 // 6, start + (k * 8 + 7) // 6 + 1) for k in range(len(data))]
-        got = _utf8(data, places)
-        if got is None or not got[0] or not _readable(got[0]):
+        try:
+            if inner is not None:  # one place for all characters
+                value, (a, b) = inner.decode(), layer.root(*m.span())
+                new = Layer(value, np.broadcast_to(a, len(value)), np.broadcast_to(b, len(value)))
+            else:
+                value, places = _utf8(data, [(start + k * 8 // 6, start + (k * 8 + 7) // 6 + 1) for k in range(len(data))]) or ("", [])
+                both = np.array(places, np.int64).reshape(-1, 2)
+                new = Layer(value, *layer.spread(both[:, 0], both[:, 1]))
+        except UnicodeDecodeError:
             continue
-        if inner is not None:  # one place for all characters
-            a, b = layer.root(*m.span())
-            yield Layer(got[0], np.full(len(got[0]), a), np.full(len(got[0]), b))
-        else:
-            yield Layer(got[0], *layer.spread(got[1]))
+        if value and _readable(value):
+            yield new
 
 
 def all_spans(text: str) -> list[S.Span]:

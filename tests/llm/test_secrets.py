@@ -87,7 +87,10 @@ def test_repeated_layers_end():
 
 def test_oversize_is_reported(monkeypatch):
     monkeypatch.setattr(secrets, "INFLATE_LIMIT", 1000)
-    assert spans(b64(zlib.compress(b"a" * 5000))) == {("oversize", b64(zlib.compress(b"a" * 5000)))}
+    monkeypatch.setattr(secrets, "STEP", 300)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    blob = b64(zlib.compress(b"z" * 2990 + KEY.encode() + b"z" * 3000))
+    assert spans(blob) == {("oversize", blob), ("access", blob)}
 
 
 def test_masking_keeps_other_columns(docs):

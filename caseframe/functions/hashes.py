@@ -23,8 +23,3 @@ def algorithm_of(token: Column) -> Column:
 
 def is_hex(token: Column) -> Column:
     return token.rlike("^[0-9A-Fa-f]+$")
-
-
-def has_digest(md5: Column, sha1: Column, sha256: Column) -> Column:
-    """True when at least one digest is present (empty text counts as absent)."""
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in (md5, sha1, sha256)]).isNotNull()

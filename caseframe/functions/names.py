@@ -18,10 +18,6 @@ def parent_dir(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def child_path(parent: Column, name: Column) -> Column:
-    return F.concat(F.regexp_replace(parent, "/+$", ""), F.lit("/"), name)
-
-
 def home_owner(path: Column) -> Column:
     """User of a ``/home/<user>/`` path, else NULL."""
     return F.nullif(F.regexp_extract(path, "/home/([^/]+)/", 1), F.lit(""))

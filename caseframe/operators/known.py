@@ -29,8 +29,7 @@ def reference_hashes(table: DataFrame) -> DataFrame:
     """(algo, hash) of a reference table with md5/sha1/sha256 columns.
 
     The table stores upper case; it is folded here once, so file digests are
-    compared as they are. Duplicates stay: the semi join ignores them, and
-    removing them would shuffle the whole reference.
+    compared as they are. Duplicates may stay.
     """
     columns = ", ".join(f"'{a}', {a}" for a in hashes.ALGORITHMS if a in table.columns)
     width = sum(a in table.columns for a in hashes.ALGORITHMS)
@@ -97,8 +96,13 @@ def match_lists(files: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def match_reference(files: DataFrame, reference: DataFrame) -> DataFrame:
-    """Membership in the reference set; duplicates in the set do not multiply."""
-    joined = file_digests(files).join(reference, ["algo", "hash"], "left_semi")
+    """Membership in the reference set; duplicates in the set do not multiply.
+
+    They are removed first: that is dealt like the join, costs it no exchange of
+    its own, and leaves no digest that is hot on the reference side.
+    """
+    distinct = reference.dropDuplicates(["algo", "hash"])
+    joined = file_digests(files).join(distinct, ["algo", "hash"], "left_semi")
     best = _best(joined, ["evidence_source_id", "file_id"])
     none = F.lit(None).cast("string")
     return best.select(

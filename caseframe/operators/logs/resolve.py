@@ -73,8 +73,10 @@ def seed_years(members: DataFrame, file_times: DataFrame) -> DataFrame:
     """Seed year per member: its own mtime, else the newest of the volume, else 1970.
 
     ``file_times``: volume_id, path, mtime (epoch seconds, 0 or NULL = none).
+    They are cut down to the member paths before they are grouped by path.
     """
-    own = file_times.groupBy("volume_id", "path").agg(F.max("mtime").alias("_own"))
+    wanted = members.select("volume_id", "path").distinct()
+    own = file_times.join(wanted, ["volume_id", "path"], "left_semi").groupBy("volume_id", "path").agg(F.max("mtime").alias("_own"))
     newest = file_times.groupBy("volume_id").agg(F.max(F.coalesce(F.col("mtime"), F.lit(0))).alias("_newest"))
     rows = members.join(own, ["volume_id", "path"], "left").join(newest, ["volume_id"], "left")
 

@@ -9,7 +9,7 @@ corpus around them), on statements that name no known licence (class
 ``none``). A held-back part of these fits the temperature of the probabilities.
 A family that is predicted is confirmed only if the paragraph holds one of its
 names word for word; else, or if no class is likely, the paragraph is
-``unknown`` if it is likelier a licence than not.
+``unknown`` if it is likelier a licence than not and has a general licence word.
 
 Null and empty texts have no paragraphs. Rows are independent; keys may repeat.
 Offsets are code points, the end exclusive.
@@ -67,6 +67,8 @@ PHRASES = (
 )
 CLASSES = (NONE, UNKNOWN, *NAMES)
 UNKNOWN_NAMES = ("{} license", "{} public license", "{} community licence", "{}-1.0", "{} software license", "{} open data licence")
+#: Beginnings of the words that every statement of an unlisted licence holds one of.
+GENERIC = ("license", "licence", "licensing", "licencing", "copyright", "spdx")
 LICENCE_WORD = r"(?i)licen[sc]e|copyright|all rights reserved|public domain|spdx|proprietary|\bcc[ -]|\bcc0|gpl"
 
 
@@ -201,7 +203,9 @@ def decide(chances: np.ndarray, paragraph: str) -> str | None:
     if chances[best] >= CONFIDENT and confirmed(words, CLASSES[best]):
         return CLASSES[best]
     others = [c for c in np.argsort(-chances) if c > 1 and confirmed(words, CLASSES[c])]
-    return CLASSES[others[0]] if others else UNKNOWN
+    if others:
+        return CLASSES[others[0]]
+    return UNKNOWN if any(w.startswith(GENERIC) for w in words) else None
 
 
 def found(text: str, raw: np.ndarray, model_units: list[tuple[int, int, np.ndarray]]) -> list[S.Span]:

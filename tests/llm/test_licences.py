@@ -66,6 +66,7 @@ def test_template_comparison_rules_out_other_families(model):
     chances[L.CLASSES.index("mit")] = 1
     assert L.decide(chances, "Licensed under the Apache License") == "apache"
     assert L.decide(chances, "Licensed under nothing known") == "unknown"
+    assert L.decide(chances, "plain words") is None
 
 
 def test_units_cover_all_words():

@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,15 +142,25 @@ def revealing_terms(found: DataFrame, rows: DataFrame) -> DataFrame:
     contexts = found.select(F.explode("mentions").alias("m")).select("m.entity", F.xxhash64("m.context").alias("context"), "m.terms").distinct()
     of_entity = contexts.groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    pairs = storage.staged(pairs.filter(F.col("n_te") >= SUPPORT).join(of_entity, "entity"), "term-pairs")
+    # A term stands in at least the documents whose mentions it is near: where even that
+    # number leaves it too common to reveal the entity, its documents need not be counted.
+    near = found.select("id", F.explode(F.array_distinct(F.flatten("mentions.terms"))).alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    total = rows.count()
+    supported = pairs.filter(F.col("n_te") >= SUPPORT).join(of_entity, "entity").join(near, "term")
+    pairs = storage.staged(supported.filter(_told("least", total) >= DISCLOSURE).select("entity", "term", "n_e", "n_te"), "term-pairs")
     wanted = pairs.select(F.col("term").alias("word")).distinct()
     words = rows.select(F.explode(F.array_distinct(contamination.words(F.col("text")))).alias("word"))
     of_term = words.join(wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n_t"))
-    total = rows.count()
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    pointwise = F.log2(F.col("n_te") * float(max(total, 1)) / (F.greatest("n_t", "n_te") * F.col("n_e")))
-    told = F.when(information > 0, pointwise / information).otherwise(0.0)
-    return pairs.join(of_term, pairs["term"] == of_term["word"]).select("entity", "term", told.alias("told")).filter(F.col("told") >= DISCLOSURE)
+    both = pairs.join(of_term, pairs["term"] == of_term["word"])
+    return both.select("entity", "term", _told("n_t", total).alias("told")).filter(F.col("told") >= DISCLOSURE)
+
+
+def _told(documents: str, total: int) -> Column:
+    """Share of the entity's information that the term tells, if it stands in so many documents."""
+    n = float(max(total, 1))
+    information = F.log2(F.lit(n) / F.col("n_e"))
+    pointwise = F.log2(F.col("n_te") * n / (F.greatest(documents, "n_te") * F.col("n_e")))
+    return F.when(information > 0, pointwise / information).otherwise(0.0)
 
 
 def _term_spans(batch: pa.RecordBatch):

@@ -114,13 +114,18 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+BAGS = "lang string, order long, buckets array<int>, counts array<int>"
+
+
 def sample(labelled: DataFrame) -> DataFrame:
     """Bags of at most about ``SAMPLE_PER_LANGUAGE`` documents of each language, whole texts."""
-    sizes = labelled.groupBy(F.col("lang").alias("of")).count()
-    rate = F.least(F.lit(1.0), SAMPLE_PER_LANGUAGE / F.col("count"))
+    sizes = labelled.groupBy("lang").count().collect()  # as many rows as the model has classes
+    if not sizes:
+        return labelled.select("lang", F.lit(0).cast("long").alias("order"), "text").mapInArrow(_bags, BAGS)
+    rate = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE_PER_LANGUAGE / r["count"]))))
     ranked = labelled.withColumn("order", F.xxhash64("doc_id", F.lit("sample")))
-    chosen = ranked.join(sizes, ranked["lang"] == sizes["of"]).filter((F.col("order") / 2.0**64 + 0.5) < rate)
-    return chosen.select("lang", "order", "text").mapInArrow(_bags, "lang string, order long, buckets array<int>, counts array<int>")
+    chosen = ranked.filter((F.col("order") / 2.0**64 + 0.5) < rate[F.col("lang")])
+    return chosen.select("lang", "order", "text").mapInArrow(_bags, BAGS)
 
 
 def fit(bags: pa.Table) -> Model | None:

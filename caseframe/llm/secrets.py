@@ -3,7 +3,8 @@
 A worklist starts with the text. Each layer is scanned, then unwrapped: URL
 escapes and Unicode escapes of the whole layer, base64 runs, and gzip or zlib
 data within them. What comes out is a new layer unless the same string was
-seen before in this document, so the list ends at a fixpoint. Every character
+seen before at the same places, so equal blobs are all reported and the list
+ends at a fixpoint. Every character
 of a layer knows the span of the text that it comes from; findings of inner
 layers are reported by that span.
 
@@ -62,6 +63,13 @@ class Layer:
             return a, b
         return int(self.starts[a:b].min()), int(self.ends[a:b].max())
 
+    def mark(self) -> bytes:
+        """Names the text and its places."""
+        made = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        if self.starts is not None:
+            made.update(np.ascontiguousarray(self.starts).tobytes() + np.ascontiguousarray(self.ends).tobytes())
+        return made.digest()
+
     def spread(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the root text of ranges of this layer; both arrays of a layer ascend."""
         return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
@@ -203,9 +211,9 @@ def _base64(layer: Layer) -> Iterator[Layer | S.Span]:
 
 def all_spans(text: str) -> list[S.Span]:
     """Base findings of the text and of all its layers, by start, then kind."""
-    mark = lambda s: hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
     found: set[S.Span] = set()
-    seen, work = {mark(text)}, deque([Layer(text)])
+    root = Layer(text)
+    seen, work = {root.mark()}, deque([root])
     while work:
         layer = work.popleft()
         for a, b, kind in base_spans(layer.text):
@@ -214,7 +222,7 @@ def all_spans(text: str) -> list[S.Span]:
         for new in inner:
             if isinstance(new, tuple):
                 found.add(new)
-            elif new is not None and (m := mark(new.text)) not in seen:
+            elif new is not None and (m := new.mark()) not in seen:
                 seen.add(m)
                 work.append(new)
     return sorted(found, key=lambda s: (s[0], ORDER[s[2]], s[1]))

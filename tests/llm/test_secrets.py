@@ -101,3 +101,18 @@ def test_masking_keeps_other_columns(docs):
     assert all(brute(r.text)[1] == "" for r in got.values())
     assert secrets.scan(docs(TEXTS)).where("size(secrets) > 0").count() == sum(bool(brute(t)[1]) for t in TEXTS)
     assert secrets.digests(docs(["x"]).limit(0)).count() == 0
+
+
+def wrapped(blob, width=64):
+    return "\n".join(blob[k : k + width] for k in range(0, len(blob), width))
+
+
+def test_equal_blobs_are_found_at_each_place():
+    inner = f"key {KEY} end"
+    for blob in (b64(inner), b64(b64(inner)), b64(gzip.compress(inner.encode())), urllib.parse.quote(b64(b64(inner) + "="), safe="")):
+        text = f"first {blob} then {blob} last"
+        found = secrets.all_spans(text)
+        second = text.rindex(blob)
+        assert sum(a < second for a, _, _ in found) == sum(a >= second for a, _, _ in found) > 0
+        assert {k for _, _, k in found} == {"access"}
+        assert secrets.S.masked(text, found).count("[access]") == 2

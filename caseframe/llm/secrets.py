@@ -1,23 +1,24 @@
 """Secret scans: patterns over the text and over every layer that can be decoded from it.
 
 A worklist starts with the text. Each layer is scanned, then unwrapped: URL
-escapes and Unicode escapes of the whole layer, base64 runs, and gzip or zlib
-data within them. What comes out is a new layer unless the same string was
-seen before at the same places, so equal blobs are all reported and the list
-ends at a fixpoint. Every character
-of a layer knows the span of the text that it comes from; findings of inner
-layers are reported by that span.
+escapes and Unicode escapes of the whole layer, base64 runs (of one line, and
+continued over line ends), and gzip or zlib data within base64 or URL escapes.
+What comes out is a new layer unless the same string was seen before at the
+same places, so equal blobs are all reported and the list ends at a fixpoint.
+Every character of a layer knows the span of the text that it comes from;
+findings of inner layers are reported by that span. Bytes that are not UTF-8
+stand for themselves, so they hide nothing beside them. All that comes out of
+compressed data has one place; equal data are unpacked once a document.
 
 A null text is empty. Offsets are code points, the end exclusive. Rows are
 independent. Data that inflates to more than ``INFLATE_LIMIT`` bytes is scanned
-in steps that overlap, is not unwrapped further, and is reported as a span of
-kind ``oversize`` besides, so nothing is passed over in silence.
+and unwrapped in steps that overlap, and is reported as a span of kind
+``oversize`` besides, so nothing is passed over in silence.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -44,12 +45,19 @@ ORDER = {k: i for i, k in enumerate((*KINDS, "oversize"))}
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U00[01][0-9A-Fa-f]{5}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+LEAST = 16
+#: Escaped bytes with the characters that escaping leaves; and where compressed data may begin in bytes.
+URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[8HXhx(](?=%))(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!*'()/+-])+")
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+RUN_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-\r\n"
 
 #: Linear-time tests: a text that passes none of them has neither findings nor layers.
 MAYBE_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']? *[:=]"""
 MAYBE_OTHER = r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
 MAYBE_LAYER = r"%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f]{2}|&#[0-9x]|[A-Za-z0-9+/_-]{16}"
+MAYBE = re.compile("|".join(("(?i:password|passwd|secret|token|api_?key)", MAYBE_OTHER, MAYBE_LAYER)))
 
 
 @dataclass
@@ -65,7 +73,7 @@ class Layer:
 
     def mark(self) -> bytes:
         """Names the text and its places."""
-        made = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16)
+        made = _mark(self.text.encode("utf-8", "surrogatepass"))
         if self.starts is not None:
             made.update(np.ascontiguousarray(self.starts).tobytes() + np.ascontiguousarray(self.ends).tobytes())
         return made.digest()
@@ -75,6 +83,19 @@ class Layer:
         return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
 
 
+@dataclass
+class Packed:
+    """Compressed data in a range of a layer."""
+
+    data: bytes
+    start: int
+    end: int
+
+
+def _mark(data: bytes):
+    return hashlib.blake2b(data, digest_size=16)
+
+
 def base_spans(text: str) -> list[S.Span]:
     """Findings of the base patterns, by start, then kind."""
     found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -83,25 +104,21 @@ def base_spans(text: str) -> list[S.Span]:
     return sorted(found, key=lambda s: (s[0], ORDER[s[2]]))
 
 
-def _utf8(data: bytes, offsets: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]] | None:
-    """Decoded text and the source place of each character, if the bytes are UTF-8."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
+def _decoded(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """Text and the source place of each character; a byte that is not UTF-8 is a character of its own."""
+    text = data.decode("utf-8", "surrogateescape")
     if len(text) == len(data):
-        return text, offsets
-    places, at = [], 0
-    for c in text:
-        n = len(c.encode())
-        places.append((offsets[at][0], offsets[at + n - 1][1]))
-        at += n
-    return text, places
+        return text, starts, ends
+    sizes = np.array([1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text], np.int64)
+    last = np.cumsum(sizes) - 1
+    return text, starts[last - sizes + 1], ends[last]
 
 
-def _url(match: re.Match) -> tuple[str, list[tuple[int, int]]] | None:
+def _url(match: re.Match) -> tuple[str, list[tuple[int, int]]]:
     data = bytes.fromhex(match[0].replace("%", ""))
-    return _utf8(data, [(match.start() + 3 * k, match.start() + 3 * k + 3) for k in range(len(data))])
+    at = match.start() + 3 * np.arange(len(data))
+    text, starts, ends = _decoded(data, at, at + 3)
+    return text, list(zip(starts, ends))
 
 
 def _unicode(match: re.Match) -> tuple[str, list[tuple[int, int]]] | None:
@@ -146,85 +163,179 @@ def _unescaped(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(parts), *layer.spread(np.concatenate([*begins, plain]), np.concatenate([*ends, plain + 1])))
 
 
-def _readable(text: str) -> bool:
-    return all(c.isprintable() or c in "\t\n\r" for c in text)
+def _header(data: bytes) -> int:
+    """Window bits of a gzip or zlib stream; 0 if it is neither."""
+    if data[:2] == b"\x1f\x8b":
+        return 31
+    return 15 if len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0 else 0
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """Data of a gzip or zlib stream; None if it is not one; an exception if it exceeds the limit."""
-    gz = data[:2] == b"\x1f\x8b"
-    if not gz and not (len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0):
-        return None
-    worker = zlib.decompressobj(31 if gz else 15)
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """What all members hold, in pieces of ``STEP`` bytes at most, up to a damaged place; then what follows the last member."""
+    some = False
+    while bits := _header(data):
+        worker, rest, done = zlib.decompressobj(bits), data, 0
+        try:
+            while not worker.eof:
+                out = worker.decompress(rest, STEP)
+                rest = worker.unconsumed_tail
+                if not out and not rest:
+                    break
+                done += len(out)
+                if out:
+                    yield out
+        except zlib.error:  # the piece before the damaged byte is not lost
+            yield from _until_damaged(data, bits, done)
+            return
+        some = some or done > 0
+        data = worker.unused_data.lstrip(b"\0")
+    if some and data:
+        yield b"\n" + data
+
+
+def _until_damaged(data: bytes, bits: int, done: int) -> Iterator[bytes]:
+    """What comes out of the bytes before the damaged one, after the first ``done`` bytes."""
+    worker, held = zlib.decompressobj(bits), bytearray()
     try:
-        out = worker.decompress(data, INFLATE_LIMIT)
+        for k in range(len(data)):
+            out = worker.decompress(data[k : k + 1])
+            skip = min(done, len(out))
+            done -= skip
+            held += out[skip:]
+            if len(held) >= STEP:
+                yield bytes(held)
+                held.clear()
     except zlib.error:
-        return None
-    if worker.unconsumed_tail:
-        raise OverflowError
-    return out
-
-
-def _streamed_kinds(data: bytes) -> set[str]:
-    """Kinds of the findings in a stream too large to hold; findings share one place, so steps may overlap."""
-    worker, held, kinds = zlib.decompressobj(31 if data[:2] == b"\x1f\x8b" else 15), b"", set()
-    while data and not worker.eof:
-        try:
-            out = worker.decompress(data, STEP)
-        except zlib.error:
-            break
-        data = worker.unconsumed_tail
-        kinds |= {kind for _, _, kind in base_spans((held + out).decode("latin-1"))}
-        held = out[-OVERLAP:]
-    return kinds
-
-
-def _base64(layer: Layer) -> Iterator[Layer | S.Span]:
+        pass
+    if held:
+        yield bytes(held)
+
+
+def _windows(data: bytes) -> Iterator[bytes | None]:
+    """What compressed data hold, whole; above ``INFLATE_LIMIT`` bytes None, then windows that overlap.
+
+    A base64 run at the end of a window stands whole in the next one, up to the limit.
+    """
+    held, large, fresh = bytearray(), False, False
+    for out in _inflated(data):
+        held += out
+        fresh = True
+        if not large and len(held) > INFLATE_LIMIT:
+            large = True
+            yield None
+        if large:
+            yield bytes(held)
+            run = len(held) - len(held.rstrip(RUN_BYTES))
+            del held[: -max(OVERLAP, run if run <= INFLATE_LIMIT else 0)]
+            fresh = False
+    if fresh:
+        yield bytes(held)
+
+
+def _blocks(match: re.Match) -> Iterator[tuple[list[tuple[int, int]], int]]:
+    """Ranges of lines that may be one base64 string, and its end: each line, lines of one width with a shorter last, and all."""
+    lines = [(match.start() + m.start(), match.start() + m.end()) for m in LINE.finditer(match[0])]
+    width, n = [b - a for a, b in lines], len(lines)
+    ranges = {(i, i + 1) for i in range(n) if width[i] >= LEAST} | {(0, n)}
+    i = 0
+    while i < n:
+        k = i + 1
+        while k < n and width[k] == width[i]:
+            k += 1
+        ranges.add((i, k + (k < n and width[k] < width[i])))
+        i = k
+    for i, k in sorted(ranges):
+        if k - i > 1 or width[i] >= LEAST:
+            yield lines[i:k], match.end() if k == n else lines[k - 1][1]
+
+
+def _base64(layer: Layer) -> Iterator[Layer | Packed]:
     for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
+        for lines, end in _blocks(m):
+            body = "".join(layer.text[a:b] for a, b in lines).replace("-", "+").replace("_", "/")
+            body = body[:-1] if len(body) % 4 == 1 else body
             data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
-        start = m.start()
-        try:
-            inner = _inflated(data)
-        except OverflowError:
-            for kind in {"oversize", *_streamed_kinds(data)}:
-                yield (*layer.root(*m.span()), kind)
+            if _header(data):
+                yield Packed(data, lines[0][0], end)
+            at = np.concatenate([np.arange(a, b) for a, b in lines]) if len(lines) > 1 else np.arange(*lines[0])
+            bit = np.arange(len(data)) * 8
+            value, starts, ends = _decoded(data, at[bit // 6], at[(bit + 7) // 6] + 1)
+            if MAYBE.search(value):
+                yield Layer(value, *layer.spread(starts, ends))
+
+
+def _url_packed(layer: Layer) -> Iterator[Packed]:
+    for m in URL_BYTES.finditer(layer.text):
+        plain = m[0].replace("+", " ")
+        size = np.array([3 if p else 1 for p in (x.startswith("%") for x in re.findall(r"%..|.", plain, re.S))], np.int64)
+        data = b"".join(bytes.fromhex(x[1:]) if len(x) == 3 else x.encode() for x in re.findall(r"%..|.", plain, re.S))
+        starts = m.start() + np.cumsum(size) - size
+        found = {p.start() for p in PACKED.finditer(data)} | ({0} if _header(data) else set())
+        for k in sorted(found):
+            yield Packed(data[k:], int(starts[k]), m.end())
+
+
+def _unwrapped(layer: Layer) -> Iterator[Layer | Packed]:
+    for pattern, decode in ((URL, _url), (UNICODE, _unicode)):
+        if (new := _unescaped(layer, pattern, decode)) is not None:
+            yield new
+    yield from _base64(layer)
+    yield from _url_packed(layer)
+
+
+def _kinds(data: bytes) -> frozenset[str]:
+    """Kinds of all findings in compressed data and in what can be decoded from it."""
+    kinds: set[str] = set()
+    seen, stack = {_mark(data).digest()}, [_windows(data)]
+    while stack:
+        window = next(stack[-1], b"")
+        if window == b"":
+            stack.pop()
             continue
-        try:
-            if inner is not None:  # one place for all characters
-                value, (a, b) = inner.decode(), layer.root(*m.span())
-                new = Layer(value, np.broadcast_to(a, len(value)), np.broadcast_to(b, len(value)))
-            else:
-                value, places = _utf8(data, [(start + k * 8 // 6, start + (k * 8 + 7) // 6 + 1) for k in range(len(data))]) or ("", [])
-                both = np.array(places, np.int64).reshape(-1, 2)
-                new = Layer(value, *layer.spread(both[:, 0], both[:, 1]))
-        except UnicodeDecodeError:
+        if window is None:
+            kinds.add("oversize")
             continue
-        if value and _readable(value):
-            yield new
+        new: list[bytes] = [window] if _header(window) else []
+        work = deque([Layer(window.decode("utf-8", "surrogateescape"))])
+        while work:
+            layer = work.popleft()
+            kinds |= {kind for _, _, kind in base_spans(layer.text)}
+            for inner in _unwrapped(layer):
+                if isinstance(inner, Packed):
+                    new.append(inner.data)
+                elif (m := _mark(inner.text.encode("utf-8", "surrogatepass")).digest()) not in seen:
+                    seen.add(m)
+                    work.append(Layer(inner.text))
+        for data in new:
+            if (m := _mark(b"packed" + data).digest()) not in seen:
+                seen.add(m)
+                stack.append(_windows(data))
+    return frozenset(kinds)
 
 
 def all_spans(text: str) -> list[S.Span]:
     """Base findings of the text and of all its layers, by start, then kind."""
     found: set[S.Span] = set()
+    unpacked: dict[bytes, frozenset[str]] = {}
+    ends: dict[tuple[int, str], int] = {}  # of findings in compressed data, which escaped padding may lengthen
     root = Layer(text)
     seen, work = {root.mark()}, deque([root])
     while work:
         layer = work.popleft()
         for a, b, kind in base_spans(layer.text):
             found.add((*layer.root(a, b), kind))
-        inner = [_unescaped(layer, URL, _url), _unescaped(layer, UNICODE, _unicode), *_base64(layer)]
-        for new in inner:
-            if isinstance(new, tuple):
-                found.add(new)
-            elif new is not None and (m := new.mark()) not in seen:
+        for new in _unwrapped(layer):
+            if isinstance(new, Packed):
+                m = _mark(new.data).digest()
+                if m not in unpacked:
+                    unpacked[m] = _kinds(new.data)
+                a, b = layer.root(new.start, new.end)
+                for kind in unpacked[m]:
+                    ends[a, kind] = max(b, ends.get((a, kind), 0))
+            elif (m := new.mark()) not in seen:
                 seen.add(m)
                 work.append(new)
+    found |= {(a, b, kind) for (a, kind), b in ends.items()}
     return sorted(found, key=lambda s: (s[0], ORDER[s[2]], s[1]))
 
 

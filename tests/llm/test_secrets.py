@@ -116,3 +116,46 @@ def test_equal_blobs_are_found_at_each_place():
         assert sum(a < second for a, _, _ in found) == sum(a >= second for a, _, _ in found) > 0
         assert {k for _, _, k in found} == {"access"}
         assert secrets.S.masked(text, found).count("[access]") == 2
+
+
+def test_bytes_beside_a_key_do_not_hide_it():
+    key, noise = KEY.encode(), b"z \xa0\xff\x00\x0c end"
+    for data in (b"\xef\xbb\xbf " + key, "a\u00a0".encode() + key, b"\x0c" + key + b"\x00", b"caf\xe9 " + key + b" end"):
+        for blob in (b64(data), b64(gzip.compress(data)), b64(gzip.compress(gzip.compress(data)))):
+            assert {k for k, _ in spans(f"x {blob} y")} == {"access"}, data
+    for packed in (gzip.compress(key + noise), zlib.compress(key + noise)):
+        assert {k for k, _ in spans(f"a?b={urllib.parse.quote(packed, safe='')}&c")} == {"access"}
+        assert {k for k, _ in spans(urllib.parse.quote_plus(packed))} == {"access"}
+    assert ("assign", "secret=abcdefgh1") in spans("%FF%41 secret=abcdefgh1")
+
+
+def test_base64_over_line_ends():
+    rng = __import__("random").Random(3)
+    data = " ".join(f"{rng.random()}" for _ in range(40)).encode()
+    for plain in (data + b" " + KEY.encode() + b" ", b". " * 19 + KEY.encode() + b" " + data):
+        for width in (64, 76):
+            for blob in (b64(plain), b64(zlib.compress(plain))):
+                for text in (f"k:\n{wrapped(blob, width)}\nend", f"a_heading_of_the_block\r\n  {wrapped(blob, width)}", f"key = {wrapped(blob, width)}."):
+                    found = secrets.all_spans(text)
+                    assert {k for *_, k in found} == {"access"}, (width, text)
+
+
+def test_later_members_damaged_and_large_streams(monkeypatch):
+    key = KEY.encode()
+    two = gzip.compress(b"first") + gzip.compress(key)
+    damaged = gzip.compress(b"a " + key + b" b")[:-8] + b"12345678"
+    for data in (two, damaged, gzip.compress(b"first") + key):
+        assert {k for k, _ in spans(b64(data))} == {"access"}
+    monkeypatch.setattr(secrets, "INFLATE_LIMIT", 1000)
+    monkeypatch.setattr(secrets, "STEP", 300)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    inner = b64(b"some words before " * 12 + key + b" and after").encode()
+    blob = b64(zlib.compress(b". " * 730 + inner + b". " * 800))
+    assert spans(blob) == {("oversize", blob), ("access", blob)}
+
+
+def test_compressed_data_within_themselves_end(monkeypatch):
+    nested = KEY.encode()
+    for _ in range(60):
+        nested = base64.b64encode(zlib.compress(nested))
+    assert {k for k, _ in spans(nested.decode())} == {"access"}

@@ -80,3 +80,16 @@ def test_rows_without_own_key_and_clashing_columns(docs):
     odd = docs(["a@b.co"]).selectExpr("doc_id", "text", "1 as id", "2 as spans", "3 as mentions", "4 as told")
     assert D.digests(odd).first().spans == "email:0:6"
     assert D.digests(docs(["x"]).limit(0)).count() == 0
+
+
+def test_terms_of_an_entity_in_one_document(docs):
+    common = [f"the note n{i} has day near on and so far" for i in range(400)]
+    told = "Zorblax near on " + "the note has day " * 5 + "x@y.zz and code QX77Z far"
+    copies = [told, told, f"{told} {told}", "call 1.2.3.4 the day near"]
+    rows = {r.doc_id: r for r in D.digests(docs(copies + common)).collect()}
+    for i, t in enumerate(copies):
+        found = [t[int(a) : int(b)] for k, a, b in (s.split(":") for s in rows[i].spans.split(",")) if k == "term"]
+        assert set(found) == ({"Zorblax", "QX77Z", "code"} if i < 3 else {"call"}), t
+    assert len([s for s in rows[2].spans.split(",") if s.startswith("term")]) == 6
+    clean = D.sanitised(docs(copies + common)).where("doc_id = 0").first().text
+    assert "Zorblax" not in clean and "QX77Z" not in clean and "[email]" in clean

@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseframe.llm import bpe, contamination, disclosure, jaccard, langid, licences, loglinear, perplexity, secrets, suffixes
+from caseframe.llm import (
+    bpe,
+    contamination,
+    copies,
+    disclosure,
+    jaccard,
+    langid,
+    licences,
+    loglinear,
+    perplexity,
+    ranking,
+    repair,
+    secrets,
+    suffixes,
+)
 from caseframe.session import pin
 
 
@@ -56,6 +70,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audits(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.exact_copies(table(spark, sf_dir, "documents"), stored=True)
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_suffix_array_dedup,
     op2_ngram_jaccard_join,
@@ -67,6 +93,9 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_lm_scoring,
     op9_secret_scan,
     op10_benchmark_decontamination,
+    op11_conversation_repair,
+    op12_ranked_search,
+    op13_exact_dedup,
 )
 
 
@@ -75,4 +104,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_benchmark_decontamination": contamination.ORACLE_SQL.strip()}
+    return {
+        "op10_benchmark_decontamination": contamination.ORACLE_SQL.strip(),
+        "op12_ranked_search": ranking.ORACLE_SQL.strip(),
+        "op13_exact_dedup": copies.ORACLE_SQL.strip(),
+    }

@@ -1,11 +1,16 @@
 """Byte-level BPE encoding and decoding with DuckDB recursive queries in each partition.
 
 The text is split by the JVM's regular expressions. Each partition encodes its
-distinct pieces: a recursive query keeps one row per token position, joins the
-merge table, and contracts the leftmost pair of least rank of every piece, once
-a round, until no pair merges. Decoding is an ordered aggregation of the token
-bytes. Pieces of more than ``LONG_PIECE`` bytes would need as many rounds as
-they have merges; they go through the same merges with a heap.
+distinct pieces: a recursive query lays out one row per token position, joins
+the merge table, and contracts the leftmost pair of least rank of every piece,
+once a round, until no pair merges; only a piece's last round is kept, and a
+piece without a pair leaves the recursion. Decoding is an ordered aggregation of
+the token bytes. Pieces of more than ``LONG_PIECE`` bytes would need as many
+rounds over all their positions as they have merges; they go through the same
+merges with a heap.
+
+Memory: text is taken in slices, a query in runs of ``QUERY_BYTES``, what a
+worker remembers is bounded in bytes, and DuckDB in ``MEMORY_LIMIT``.
 
 Null and empty texts have no tokens; text is taken whole; rows are independent,
 so repeated rows give repeated results. Other columns are left alone.
@@ -27,31 +32,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseframe.llm import textops
+
 LONG_PIECE = 256
-#: Pieces per recursive query, and pieces remembered between batches: both bound memory, not results.
-PIECES_PER_QUERY = 40_000
-REMEMBERED = 300_000
+#: Bytes of the pieces of one query, and of those remembered between batches: both bound memory, not results.
+QUERY_BYTES = 1 << 19
+REMEMBERED_BYTES = 24 << 20
+#: What a remembered piece costs besides its bytes.
+ENTRY_BYTES = 300
+MEMORY_LIMIT = "400MB"
+DECODED_ROWS = 1024
 _PIECES = "__pieces"
 _UNKNOWN = "__unknown"
 
 CONTRACT = """
-WITH RECURSIVE state AS (
-    SELECT w, p, t, 0 AS round FROM symbols
-    UNION ALL
-    (WITH pair AS (
-        SELECT a.w, a.p, a.t, a.round, m.rank::BIGINT * 65536 + a.p AS pick
-        FROM state a
-        LEFT JOIN state n ON n.w = a.w AND n.p = a.p + 1
-        LEFT JOIN merges m ON m.pair = a.t::BIGINT * 65536 + n.t),
-    best AS (SELECT w, min(pick) AS pick FROM pair WHERE pick IS NOT NULL GROUP BY w)
-    SELECT w,
-           (CASE WHEN p > best.pick % 65536 THEN p - 1 ELSE p END)::INTEGER AS p,
-           CASE WHEN p = best.pick % 65536 THEN (best.pick // 65536)::INTEGER ELSE t END AS t,
-           round + 1 AS round
-    FROM pair JOIN best USING (w)
-    WHERE p <> best.pick % 65536 + 1)
-), last AS (SELECT w, max(round) AS round FROM state GROUP BY w)
-SELECT w, list(t ORDER BY p) AS ids FROM state JOIN last USING (w, round) GROUP BY w ORDER BY w
+WITH RECURSIVE state(w, ids) USING KEY (w) AS (
+    SELECT w, list(t ORDER BY p) AS ids FROM symbols GROUP BY w
+    UNION
+    (WITH place AS (SELECT w, unnest(ids) AS t, generate_subscripts(ids, 1) AS p FROM state),
+    pair AS (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS n FROM place),
+    best AS (
+        SELECT w, min(m.rank::BIGINT * 65536 + p) AS pick
+        FROM pair JOIN merges m ON m.pair = pair.t::BIGINT * 65536 + pair.n GROUP BY w)
+    SELECT w, list(CASE WHEN p = pick % 65536 THEN (pick // 65536)::INTEGER ELSE t END ORDER BY p) AS ids
+    FROM place JOIN best USING (w) WHERE p <> pick % 65536 + 1 GROUP BY w)
+)
+SELECT w, ids FROM state ORDER BY w
 """
 DECODE = """
 SELECT w, unhex(string_agg(v.hex, '' ORDER BY p)) AS bytes
@@ -104,6 +110,19 @@ def with_pieces(df: DataFrame, pattern: str, text: str) -> DataFrame:
     )
 
 
+def byte_runs(pieces: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of pieces with about ``QUERY_BYTES`` each, one piece at least."""
+    run, size = [], 0
+    for piece in pieces:
+        if run and size + len(piece) > QUERY_BYTES:
+            yield run
+            run, size = [], 0
+        run.append(piece)
+        size += len(piece)
+    if run:
+        yield run
+
+
 class Encoder:
     """One partition's DuckDB tables and what it has encoded so far."""
 
@@ -111,9 +130,10 @@ class Encoder:
         self.vocabulary = Vocabulary(tokens)
         self.pattern = pattern
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.known_bytes = 0
         self.byte_ids = np.array([self.vocabulary.ranks[bytes([b])] for b in range(256)], np.int32)
         self.con = duckdb.connect()
-        self.con.execute("SET threads = 1")
+        self.con.execute(f"SET threads = 1; SET memory_limit = '{MEMORY_LIMIT}'; SET temp_directory = ''")
         merges = self.vocabulary.merges()  # noqa: F841 (read by name)
         vocabulary = pa.table({"t": pa.array(range(len(tokens)), pa.int32()), "hex": [t.hex() for t in tokens]})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges")
@@ -159,23 +179,25 @@ class Encoder:
 
     def lookup(self, pieces: list[bytes]) -> tuple[list[bytes], list[bytes]]:
         """Ids (little-endian 32 bit) and decoded bytes of each distinct piece."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known = {}
         found = {p: self.known[p] for p in pieces if p in self.known}
         whole = [p for p in pieces if p not in found and p in self.vocabulary.ranks]
         rest = [p for p in pieces if p not in found and p not in self.vocabulary.ranks]
         ids = [self.vocabulary.ranks[p].to_bytes(4, "little") for p in whole]
         short = [p for p in rest if len(p) <= LONG_PIECE]
         long = [p for p in rest if len(p) > LONG_PIECE]
-        for k in range(0, len(short), PIECES_PER_QUERY):
-            ids += self.contract(short[k : k + PIECES_PER_QUERY])
+        for run in byte_runs(short):
+            ids += self.contract(run)
         ids += [self.heap(p) for p in long]
-        new = whole + short + long
-        for k in range(0, len(new), PIECES_PER_QUERY):
-            part = ids[k : k + PIECES_PER_QUERY]
-            found.update(zip(new[k : k + PIECES_PER_QUERY], zip(part, self.decode(part))))
-        if len(found) <= REMEMBERED:
+        at = 0
+        for run in byte_runs(whole + short + long):
+            part, at = ids[at : at + len(run)], at + len(run)
+            found.update(zip(run, zip(part, self.decode(part))))
+        size = sum(ENTRY_BYTES + 6 * len(p) for p in found if p not in self.known)  # ids take up to four bytes a byte
+        if self.known_bytes + size > REMEMBERED_BYTES:
+            self.known, self.known_bytes = {}, 0
+        elif size:
             self.known.update(found)
+            self.known_bytes += size
         both = [found[p] for p in pieces]
         return [x[0] for x in both], [x[1] for x in both]
 
@@ -216,7 +238,8 @@ def _apply(df: DataFrame, vocabulary: Vocabulary, pattern: str, text: str, schem
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(shared.value, pattern)
-            yield out(batch, encoder)
+            for part in textops.slices(batch, text):
+                yield out(part, encoder)
 
     return with_pieces(df, pattern, text).mapInArrow(run, schema)
 
@@ -245,14 +268,18 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(shared.value, "")
-            rows = [np.asarray(x or [], "<u4") for x in batch.column(ids).to_pylist()]
-            if any(len(r) and r.max() >= len(shared.value) for r in rows):
-                raise ValueError("an id is not in the vocabulary")
-            full = [i for i, r in enumerate(rows) if len(r)]
-            out = [b""] * len(rows)
-            for i, b in zip(full, encoder.decode([rows[i].tobytes() for i in full])):
-                out[i] = b
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.binary())], [*names, decoded])
+            for start in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(start, DECODED_ROWS)
+                rows = [np.asarray(x or [], "<u4") for x in part.column(ids).to_pylist()]
+                if any(len(r) and r.max() >= len(shared.value) for r in rows):
+                    raise ValueError("an id is not in the vocabulary")
+                full = [i for i, r in enumerate(rows) if len(r)]
+                out = [b""] * len(rows)
+                for run in byte_runs([rows[i].tobytes() for i in full]):
+                    for i, b in zip(full, encoder.decode(run)):
+                        out[i] = b
+                    full = full[len(run) :]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(out, pa.binary())], [*names, decoded])
 
     return df.mapInArrow(run, T.StructType([*keep, T.StructField(decoded, T.BinaryType())]))
 

@@ -1,4 +1,7 @@
 import hashlib
+import os
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -50,3 +53,23 @@ def test_round_trip_keeps_columns(docs, vocabulary, library):
 
 def test_empty_table(docs, vocabulary):
     assert bpe.digests(docs(["x"]).limit(0), vocabulary, public_tokenizers.PATTERN).count() == 0
+
+def test_memory_is_bounded_by_the_query():
+    """2000 distinct pieces of 250 letters need some 170 rounds each; only the last one is kept."""
+    code = """
+import random, resource
+import public_tokenizers
+from caseframe.llm import bpe
+vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+rng = random.Random(1)
+pieces = [bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(250)) for _ in range(2000)]
+pieces += [bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(40000)]
+encoder = bpe.Encoder(vocabulary.tokens, public_tokenizers.PATTERN)
+ids, decoded = encoder.lookup(pieces)
+assert decoded == pieces
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"})
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.split()[-1]) < 500

@@ -1,3 +1,4 @@
+import hashlib
 import os
 import sys
 
@@ -22,8 +23,9 @@ def test_run_against_brute_force(spark, sf, sf_docs):
     clean = {i for i in firsts if not test_contamination.brute(rows[i].text, items)[-1]}
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
-    want = {i: library.encode_ordinary(spans.masked(rows[i].text, secrets.all_spans(rows[i].text))) for i in clean}
-    assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf).collect()} == want
+    texts = {i: spans.masked(rows[i].text, secrets.all_spans(rows[i].text)) for i in clean}
+    want = {i: (library.encode_ordinary(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in texts.items()}
+    assert {r.doc_id: (r.ids, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).collect()} == want
     assert len(rows) > len(kept) > len(firsts) > len(clean) > 0
 
 

@@ -72,6 +72,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a source with fewer partitions than cores, as one small file is; larger ones stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def top_n(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     """First ``n`` rows of the declared order together with the true total.
 

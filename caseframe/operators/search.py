@@ -11,16 +11,14 @@ Contents are binary. Terms are bytes; hits carry them as latin-1 text.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseframe.functions import scan
+from caseframe.operators import chunk_regex, term_table
 from caseframe.schemas import SEARCH_HITS
 
 WINDOW = 1 << 20
@@ -81,7 +79,7 @@ def _with_text(df: DataFrame) -> DataFrame:
 
 
 def _exploded(df: DataFrame, literals: Sequence[Literal], regexes: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` times their hits, with term, offset, span, context and attributes."""
+    """Rows of ``df`` without content times their hits, with term, offset, span, context and attributes."""
     content = F.col("content")
     kept = [literal for literal in dict.fromkeys(literals) if literal[0]]
     arms = [_literal_hits(content, literal) for literal in kept] if len(kept) <= MAX_PLAN_TERMS else []
@@ -102,9 +100,9 @@ def _exploded(df: DataFrame, literals: Sequence[Literal], regexes: Sequence[str]
             )
         )
     if len(kept) > MAX_PLAN_TERMS:
-        listed = _table_hits(df, _terms_frame(df, kept))
-        out = listed if out is None else out.unionByName(listed)
-    return out
+        listed = term_table.table_hits(df, _terms_frame(df, kept))
+        out = listed if out is None else out.drop("content").unionByName(listed)
+    return out.drop("content")
 
 
 def searchable(files: DataFrame) -> DataFrame:
@@ -145,15 +143,17 @@ def search_objects(
 def cut_windows(chunks: DataFrame, keys: list[str], margin: int, window: int = WINDOW) -> DataFrame:
     """Chunks (keys, base, data) regrouped into windows of contiguous content.
 
-    Adds ``window_no``; ``base`` is the offset of the first byte of ``content``.
+    Adds ``window_no`` and ``_object``, one name for all keys (of which some may
+    be null); ``base`` is the offset of the first byte of ``content``.
     A group is one window of one key with its margins, so its size is fixed. A
     gap between chunks ends a stretch of content, so nothing matches across it.
     """
     end = F.col("base") + F.octet_length("data")
     first = F.greatest(F.floor((F.col("base") - margin) / window), F.lit(0))
     last = F.floor((F.col("base") + F.octet_length("data") + (margin - 1)) / window)
+    named = F.unhex(F.md5(F.to_json(F.struct(*[F.col(k) for k in keys])).cast("binary")))
     spread = chunks.where(F.octet_length("data") > 0).select(
-        *keys, "base", end.alias("_end"), "data", F.explode(F.sequence(first, last)).alias("window_no")
+        named.alias("_object"), *keys, "base", end.alias("_end"), "data", F.explode(F.sequence(first, last)).alias("window_no")
     )
     lo = F.greatest(F.col("base"), F.col("window_no") * window - margin)
     hi = F.least(F.col("_end"), (F.col("window_no") + 1) * window + margin)
@@ -161,6 +161,7 @@ def cut_windows(chunks: DataFrame, keys: list[str], margin: int, window: int = W
         spread.withColumns({"_lo": lo, "_hi": hi})
         .where("_lo < _hi")
         .select(
+            "_object",
             *keys,
             "window_no",
             "_lo",
@@ -168,7 +169,7 @@ def cut_windows(chunks: DataFrame, keys: list[str], margin: int, window: int = W
             F.expr("substring(data, cast(_lo - base + 1 as int), cast(_hi - _lo as int))").alias("data"),
         )
     )
-    w = W.partitionBy(*keys, "window_no").orderBy("_lo")
+    w = W.partitionBy("_object", "window_no").orderBy("_lo")
     gap = F.coalesce((F.col("_lo") != F.lag("_hi").over(w)).cast("int"), F.lit(0))
     stretches = pieces.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(w))
     text = F.array_join(
@@ -179,7 +180,7 @@ def cut_windows(chunks: DataFrame, keys: list[str], margin: int, window: int = W
         "",
     )
     return (
-        stretches.groupBy(*keys, "window_no", "_run")
+        stretches.groupBy("_object", "window_no", "_run", *keys)
         .agg(F.min("_lo").alias("base"), F.encode(text, "ISO-8859-1").alias("content"))
         .drop("_run")
     )
@@ -191,100 +192,9 @@ def margin_for(literals: Sequence[Literal], regexes: Sequence[str]) -> int:
     return longest - 1 + scan.CONTEXT_RADIUS
 
 
-def _exits(rx: re.Pattern, data: bytes, lo: int, hi: int) -> list[tuple[int, int]]:
-    """Where a left-to-right scan leaves [lo, hi), by the place where it enters.
-
-    (upto, exit) pairs: a scan that enters at or before ``upto`` (and after the
-    one before) leaves at ``exit``: the end of a match over the edge, or ``hi``.
-    Scans from different places share their matches once they meet.
-    """
-    out: list[tuple[int, int]] = []
-    leaves: dict[tuple[int, int], int] = {}
-    enter = lo
-    while enter <= min(hi - 1, lo + scan.MAX_REGEX_SPAN):
-        path, leave, first = [], hi, None
-        for m in rx.finditer(data, enter):
-            if m.start() >= hi:
-                break
-            first = m.start() if first is None else first
-            if m.span() in leaves:
-                leave = leaves[m.span()]
-                break
-            path.append(m.span())
-            if m.end() > hi:
-                leave = m.end()
-                break
-        for place in path:
-            leaves[place] = leave
-        if first is None:
-            break
-        out.append((first, leave))
-        enter = first + 1
-    return [*out, (hi - 1, hi)]
-
-
-_EXITS = "array<struct<upto:bigint,leave:bigint>>"
-
-
-def _own_range(windows: DataFrame, size: int) -> DataFrame:
-    """The bytes of a window that are its own, as places in its content; windows without any are left out."""
-    lo = F.greatest(F.col("window_no") * size - F.col("base"), F.lit(0))
-    hi = F.least((F.col("window_no") + 1) * size - F.col("base"), F.octet_length("content"))
-    return windows.withColumns({"_lo": lo.cast("long"), "_hi": hi.cast("long")}).where("_lo < _hi")
-
-
-def _chunk_regex_hits(windows: DataFrame, keys: list[str], pattern: str, size: int) -> DataFrame:
-    """Matches of one pattern that start in each window, as a scan of the whole content finds them.
-
-    A scan resumes where the last match ended, which may be in the next window.
-    Every window first tells where it is left for each place where it can be
-    entered; those rows, one a window, are followed along an object; then each
-    window is scanned from where it is entered.
-    """
-    scan.check_pattern(pattern)
-    needed = scan.required_literal(pattern)
-    own = _own_range(windows, size)
-    own = own if needed is None else own.where(F.contains("content", F.lit(needed)))
-
-    @F.pandas_udf(_EXITS)
-    def exits(content: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
-        rx = re.compile(pattern.encode("latin-1"))
-        return pd.Series([[{"upto": u, "leave": v} for u, v in _exits(rx, *row)] for row in zip(content, lo, hi)])
-
-    def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["window_no", "base"])
-        enter, place = [], -1
-        for base, lo, steps in zip(rows["base"], rows["_lo"], rows["_exits"]):
-            at = max(place - base, lo)
-            enter.append(at)
-            place = base + next((s["leave"] for s in steps if at <= s["upto"]), at)
-        return rows.drop(columns="_exits").assign(_enter=enter)
-
-    @F.pandas_udf(scan.SPANS)
-    def spans(content: pd.Series, enter: pd.Series, hi: pd.Series) -> pd.Series:
-        rx = re.compile(pattern.encode("latin-1"))
-
-        def one(data: bytes, at: int, end: int) -> list[dict[str, int]]:
-            out = []
-            for m in rx.finditer(data, at):
-                # An empty match behind the last byte of the content is the last window's.
-                if m.start() >= end and not m.start() == end == len(data):
-                    break
-                out.append({"offset": m.start(), "span": m.end() - m.start()})
-            return out
-
-        return pd.Series([one(*row) for row in zip(content, enter, hi)])
-
-    told = own.select(*keys, "window_no", "base", "_lo", exits("content", "_lo", "_hi").alias("_exits"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in told.schema if f.name != "_exits")
-    entered = told.groupBy(*keys).applyInPandas(follow, f"{schema}, _enter long").drop("_lo")
-    same = [own[k].eqNullSafe(entered[k]) for k in (*keys, "window_no", "base")]
-    joined = own.join(entered, same).select(own["*"], entered["_enter"])
-    found = joined.withColumn("_h", F.explode(spans("content", "_enter", "_hi"))).select(
-        *windows.columns, F.lit("regex").alias("term_kind"), F.col("_h.offset").alias("offset"), F.col("_h.span").alias("span")
-    )
-    # An empty match at the very start has no extent and is not a hit.
-    return _with_text(found.where("base + offset + span > 0"))
+def _pattern_hits(windows: DataFrame, pattern: str, size: int) -> DataFrame:
+    found = chunk_regex.regex_hits(windows, pattern, size).withColumn("term_kind", F.lit("regex"))
+    return _with_text(found).drop("content")
 
 
 def search_chunks(
@@ -306,11 +216,11 @@ def search_chunks(
         margin = max(margin, longest - 1 + scan.CONTEXT_RADIUS)
     size = max(window, 2 * margin)
     windows = cut_windows(chunks, keys, margin, size)
-    arms = [_chunk_regex_hits(windows, keys, pattern, size) for pattern in dict.fromkeys(regexes)]
+    arms = [_pattern_hits(windows, pattern, size) for pattern in dict.fromkeys(regexes)]
     if any(t for t, _ in literals):
         arms.append(_exploded(windows, literals, ()))
     if terms is not None:
-        arms.append(_table_hits(windows, terms))
+        arms.append(term_table.table_hits(windows, terms))
     if not arms:
         raise ValueError("no term and no pattern given")
     found = arms[0]
@@ -356,109 +266,10 @@ def search_blocks(
     return _as_hits(found, "unallocated", F.col("byte_offset"), index)
 
 
-# Anchor lengths for term tables, longest first; an anchor is its bytes as a number.
-_ANCHORS = (8, 4, 3, 2, 1)
-
-# Bits of the filter that keeps stretches of content no term has out of the join:
-# a fixed 2 MiB, whatever the number of terms. More terms let more through.
-FILTER_BITS = 24
+def search_term_table(objects: DataFrame, terms: DataFrame, context: bool = True) -> DataFrame:
+    """Literal hits in whole contents for a term table (term binary, kind string) of any length.
 
-
-def _anchored(terms: DataFrame) -> DataFrame:
-    """term, kind, n, anchor: one fixed-length stretch of each term.
-
-    Its position depends on the term, so common prefixes do not share it.
+    Without ``context`` hits have none, which spares the bytes around them.
     """
-    size = F.octet_length("term")
-    length = F.lit(1)
-    for n in reversed(_ANCHORS):
-        length = F.when(size >= n, n).otherwise(length)
-    at = F.pmod(F.xxhash64("term"), size - F.col("n") + 1).cast("int") + 1
-    sized = terms.where(size > 0).select("term", "kind").distinct().withColumn("n", length).withColumn("_at", at)
-
-    @F.pandas_udf("long")
-    def number(stretch: pd.Series) -> pd.Series:
-        return stretch.map(lambda b: int.from_bytes(b.ljust(8, b"\0"), "little", signed=True))
-
-    return sized.select("term", "kind", "n", number(F.expr("substring(term, _at, n)")).alias("anchor"))
-
-
-def _filter_place(anchor: np.ndarray, n: int) -> np.ndarray:
-    mixed = (anchor + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - FILTER_BITS)
-
-
-def _anchor_filter(anchored: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """Bit map of the places of all anchors, and the anchor lengths that occur."""
-
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for n, part in pdf.groupby("n"):
-                place = np.unique(_filter_place(part["anchor"].to_numpy(np.int64).view(np.uint64), int(n)))
-                yield pd.DataFrame({"n": int(n), "word": (place >> np.uint64(5)).astype(np.int64), "bit": 1 << (place & np.uint64(31)).astype(np.int64)})
-
-    words = anchored.select("n", "anchor").mapInPandas(bits, "n int, word long, bit long").groupBy("word").agg(
-        F.bit_or("bit").alias("bits"), F.collect_set("n").alias("lengths")
-    )
-    table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    rows = words.toPandas()  # at most 2**19 rows
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
-    return table, sorted({int(n) for lengths in rows["lengths"] for n in lengths})
-
-
-def _numbers(data: np.ndarray, n: int) -> np.ndarray:
-    """Every stretch of ``n`` bytes as a number."""
-    out = np.zeros(len(data) - n + 1, np.uint64)
-    for k in range(n):
-        out |= data[k : k + len(out)].astype(np.uint64) << np.uint64(8 * k)
-    return out
-
-
-def _anchor_candidates(contents: DataFrame, table: np.ndarray, lengths: list[int], window: int) -> DataFrame:
-    """_key, n, anchor: the distinct stretches of each content that pass the filter."""
-    shared = contents.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, content in zip(pdf["_key"], pdf["content"]):
-                data = np.frombuffer(content, np.uint8)
-                for n in lengths:
-                    found = [np.zeros(0, np.uint64)]
-                    for at in range(0, max(len(data) - n + 1, 0), window):
-                        value = np.unique(_numbers(data[at : at + window + n - 1], n))
-                        place = _filter_place(value, n)
-                        hit = shared.value[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32) & np.uint32(1)
-                        found.append(value[hit > 0])
-                    anchors = np.unique(np.concatenate(found)).view(np.int64)
-                    if len(anchors):
-                        yield pd.DataFrame({"_key": key, "n": n, "anchor": anchors})
-
-    return contents.mapInPandas(run, "_key binary, n int, anchor long")
-
-
-def _table_hits(df: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows of ``df`` times the hits of a term table, with term, offset, span, context and attributes.
-
-    Each term is represented by one anchor. Stretches of the contents that pass
-    a filter of all anchors are matched with them by an equi-join, and the
-    candidate pairs are checked against the content. Contents are named by
-    their digest, so rows need no key and repeated contents are matched once.
-    """
-    anchored = _anchored(terms)
-    table, lengths = _anchor_filter(anchored)
-    keyed = df.withColumn("_key", F.unhex(F.sha2("content", 256)))
-    seen = _anchor_candidates(keyed.where("content is not null").select("_key", "content"), table, lengths, window)
-    pairs = seen.join(anchored, ["n", "anchor"]).select("_key", F.col("term").alias("_term"), F.col("kind").alias("term_kind")).distinct()
-    content = F.col("content")
-    found = (
-        keyed.join(pairs, "_key")
-        .where(F.contains(content, F.col("_term")))
-        .withColumn("offset", F.explode(scan.literal_offsets(content, F.col("_term"))))
-        .withColumn("span", F.octet_length("_term").cast("long"))
-    )
-    return _with_text(found.select(*df.columns, "term_kind", "offset", "span"))
-
-
-def search_term_table(objects: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Literal hits in whole contents for a term table (term binary, kind string) of any length."""
-    return _as_hits(_table_hits(objects, terms, window), "allocated", F.col("offset"), F.lit(None).cast("long"))
+    found = term_table.table_hits(objects, terms, context)
+    return _as_hits(found, "allocated", F.col("offset"), F.lit(None).cast("long"))

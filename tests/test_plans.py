@@ -59,6 +59,24 @@ def test_year_windows_share_one_sort_and_one_exchange_of_the_rows(spark):
     assert sum("payload" in line and " Sort " in line for line in text.splitlines()) <= 1 or "payload" not in text
 
 
+def test_patterns_over_chunks_never_gather_an_object(spark):
+    """Below the few top rows, groups are stretches; the content is exchanged once, for the windows."""
+    chunks = spark.createDataFrame([(1, 0, bytearray(b"ab"))], "object_id long, base long, data binary")
+    text = plan(search.search_chunks(chunks, ["object_id"], regexes=[r"[^b]{3}"]))
+    groups = re.findall(r"FlatMapGroupsInPandas \[([^\]]*)\]", text)
+    assert len(groups) > 4 and sum("up#" not in g for g in groups) == 1
+    dealt = re.findall(r"Exchange hashpartitioning\(([^\n]*)", text)
+    assert all(d.startswith("_object") for d in dealt)
+    content = [line for line in text.splitlines() if "Exchange" in line and "data#" in line]
+    assert all("window_no" in line for line in content)
+
+
+def test_term_lists_do_not_move_content(spark, sf):
+    docs = table(spark, sf, "documents").selectExpr("doc_id as file_id", "cast(text as binary) as content")
+    terms = spark.createDataFrame([(bytearray(b"abc"), "ioc")], "term binary, kind string")
+    assert count(plan(search.search_term_table(docs, terms)), "Exchange") == 0
+
+
 def test_no_operator_is_a_cross_join(spark, sf):
     files = view(spark, sf, "files_v")
     lists = spark.createDataFrame([("l", "allow", "md5", "x")], "list_name string, sense string, algo string, hash string")

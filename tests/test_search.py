@@ -7,7 +7,7 @@ import pytest
 
 from caseframe import schemas
 from caseframe.functions import scan
-from caseframe.operators import quality, search
+from caseframe.operators import chunk_regex, quality, search, term_table
 
 OBJ = "file_id long, content binary"
 
@@ -130,18 +130,21 @@ def test_no_match_across_a_gap_and_block_numbers(spark):
     assert got == [("NEED", 4, 0, "unallocated"), ("NEED", 16, 2, "unallocated"), ("NEED", 27, 3, "unallocated")]
 
 
-@pytest.mark.parametrize("window", [16, 1 << 20])
-def test_long_term_lists_are_joined(spark, window):
+@pytest.mark.parametrize("shard_bytes", [400, 1 << 20])
+def test_long_term_lists(spark, shard_bytes):
     rng = random.Random(9)
     data = [bytes(rng.choice(b"abcd") for _ in range(400)) for _ in range(10)] + [b"", b"ab"]
     terms = list({bytes(rng.choice(b"abcd") for _ in range(rng.choice([1, 2, 3, 4, 5, 9, 12]))) for _ in range(120)})
     terms += [data[0][50:70], data[1][0:30]]
     table = spark.createDataFrame([(bytearray(t), "ioc") for t in terms], "term binary, kind string")
-    hits = search.search_term_table(frame(spark, data), table, window)
-    got = sorted((r.file_id, r.term.encode("latin-1"), r.byte_offset) for r in hits.collect())
-    want = sorted((i, t, o) for i, d in enumerate(data) for t in set(terms) for o in find_all(d, t))
+    hits = term_table.table_hits(frame(spark, data), table, shard_bytes=shard_bytes)
+    got = sorted((r.file_id, r.term.encode("latin-1"), r.offset, r.context) for r in hits.collect())
+    want = sorted(
+        (i, t, o, d[max(0, o - 32) : o + len(t) + 32].decode("latin-1"))
+        for i, d in enumerate(data) for t in set(terms) for o in find_all(d, t)
+    )
     assert got == want
-    if window > 16:
+    if shard_bytes > 400:
         few = [(t, "ioc") for t in terms[: search.MAX_PLAN_TERMS]]
         for listed in (few, [(t, "ioc") for t in terms]):
             hits = search.search_objects(frame(spark, data).drop("file_id"), listed)
@@ -163,3 +166,49 @@ def test_searchable_scope(spark):
     rows = [(1, "reg", True, 1, bytearray(b"x")), (2, "dir", True, 1, bytearray(b"x")), (3, "reg", None, 1, bytearray(b"x")), (4, "reg", False, 1, bytearray(b"x")), (5, "reg", True, 0, bytearray(b""))]
     df = spark.createDataFrame(rows, "file_id long, meta_type string, allocated boolean, size long, content binary")
     assert [r.file_id for r in search.searchable(df).collect()] == [1]
+
+
+def test_terms_of_every_length_and_kind(spark):
+    rng = random.Random(4)
+    data = [bytes(rng.randrange(256) for _ in range(3000)) for _ in range(3)] + [b"\0" * 40, b"abcabcabc" * 300, None, b""]
+    terms = [d[k : k + n] for d in data[:2] for n in range(1, 60) for k in (0, 700, len(d) - n)] + [b"\0" * n for n in (1, 7, 8, 9, 40, 41)]
+    terms += [b"abc" * n for n in (1, 2, 5, 200)] + [b"x" * 5000, b"abcabcabd"]
+    rows = [(bytearray(t), kind) for t in dict.fromkeys(terms) for kind in ("ioc", "literal")]
+    table = spark.createDataFrame([*rows, *rows[:5], (bytearray(b""), "ioc"), (None, "ioc")], "term binary, kind string")
+    objects = spark.createDataFrame([(i, None if d is None else bytearray(d)) for i, d in enumerate(data)], OBJ)
+    got = sorted((r.file_id, r.term.encode("latin-1"), r.term_kind, r.byte_offset) for r in search.search_term_table(objects, table).collect())
+    want = sorted((i, t, k, o) for i, d in enumerate(data) if d for t in set(terms) for k in ("ioc", "literal") for o in find_all(d, t))
+    assert got == want
+    assert search.search_term_table(objects, table.limit(0)).count() == 0
+    assert all(r.context is None for r in search.search_term_table(objects, table, context=False).take(3))
+
+
+@pytest.mark.parametrize("levels, stretch", [(0, 256), (1, 3), (2, 2), (3, 2)])
+def test_patterns_over_many_windows_in_stretches(spark, levels, stretch):
+    """The same hits however the windows are grouped; a group is never larger than a stretch, but for the top."""
+    rng = random.Random(21)
+    size, text = 8300, bytes(rng.choice(b"ab") for _ in range(40000)) + b"\n" + b"a" * 60001
+    data = [text, b"ab" * 30000, b"abc\n" * 9000]
+    windows = search.cut_windows(cut(spark, data, 900), ["object_id"], search.margin_for((), ["x"]), size)
+    for pattern in (r"[^\n]{7}", r"ab?a{1,3}", r"(?s).{4096}"):
+        hits = chunk_regex.regex_hits(windows, pattern, size, levels, stretch)
+        got = sorted((r.object_id, r.base + r.offset, r.span) for r in hits.collect())
+        rx = re.compile(pattern.encode())
+        assert got == [(i, m.start(), len(m.group())) for i, d in enumerate(data) for m in rx.finditer(d)]
+
+
+def test_composed_maps_follow_like_their_windows():
+    rng = random.Random(2)
+    for _ in range(40):
+        text = bytes(rng.choice(b"ab\n") for _ in range(60))
+        rx = re.compile(rng.choice([rb"[^\n]{3}", rb"ab+", rb"a|bb", rb"a*"]))
+        maps, edges = [], list(range(0, 61, 6))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            steps = chunk_regex.exits(rx, text, lo, hi)
+            maps.append(tuple(chunk_regex.np.array(x) for x in zip(*steps)))
+        uptos, leaves = chunk_regex.compose(maps, 0)
+        for enter in range(6):
+            place = enter
+            for u, v in maps:
+                place = int(chunk_regex._left(u, v, place))
+            assert int(chunk_regex._left(uptos, leaves, enter)) == place

@@ -3,14 +3,15 @@
 The text is split by the JVM's regular expressions. Each partition encodes its
 distinct pieces: a recursive query lays out one row per token position, joins
 the merge table, and contracts the leftmost pair of least rank of every piece,
-once a round, until no pair merges; only a piece's last round is kept, and a
-piece without a pair leaves the recursion. Decoding is an ordered aggregation of
-the token bytes. Pieces of more than ``LONG_PIECE`` bytes would need as many
-rounds over all their positions as they have merges; they go through the same
-merges with a heap.
+once a round, until no pair merges; a piece without a pair leaves the recursion.
+Decoding is an ordered aggregation of the token bytes. Pieces of more than
+``LONG_PIECE`` bytes would need as many rounds over all their positions as they
+have merges; they go through the same merges with a heap.
 
-Memory: text is taken in slices, a query in runs of ``QUERY_BYTES``, what a
-worker remembers is bounded in bytes, and DuckDB in ``MEMORY_LIMIT``.
+Memory: text is taken in slices. A recursive query holds the rows of all its
+rounds, at most half the square of its length for a piece, so a query takes
+pieces up to ``QUERY_ROWS`` of these. What a worker remembers is bounded in
+bytes, and DuckDB in ``MEMORY_LIMIT``.
 
 Null and empty texts have no tokens; text is taken whole; rows are independent,
 so repeated rows give repeated results. Other columns are left alone.
@@ -21,7 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import duckdb
@@ -35,9 +36,9 @@ from pyspark.sql import types as T
 from caseframe.llm import textops
 
 LONG_PIECE = 256
-#: Bytes of the pieces of one query, and of those remembered between batches: both bound memory, not results.
-QUERY_BYTES = 1 << 19
-REMEMBERED_BYTES = 24 << 20
+#: Rows of one query, and bytes of the pieces remembered between batches: both bound memory, not results.
+QUERY_ROWS = 1 << 21
+REMEMBERED_BYTES = 48 << 20
 #: What a remembered piece costs besides its bytes.
 ENTRY_BYTES = 300
 MEMORY_LIMIT = "400MB"
@@ -46,18 +47,23 @@ _PIECES = "__pieces"
 _UNKNOWN = "__unknown"
 
 CONTRACT = """
-WITH RECURSIVE state(w, ids) USING KEY (w) AS (
-    SELECT w, list(t ORDER BY p) AS ids FROM symbols GROUP BY w
-    UNION
-    (WITH place AS (SELECT w, unnest(ids) AS t, generate_subscripts(ids, 1) AS p FROM state),
-    pair AS (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS n FROM place),
-    best AS (
-        SELECT w, min(m.rank::BIGINT * 65536 + p) AS pick
-        FROM pair JOIN merges m ON m.pair = pair.t::BIGINT * 65536 + pair.n GROUP BY w)
-    SELECT w, list(CASE WHEN p = pick % 65536 THEN (pick // 65536)::INTEGER ELSE t END ORDER BY p) AS ids
-    FROM place JOIN best USING (w) WHERE p <> pick % 65536 + 1 GROUP BY w)
-)
-SELECT w, ids FROM state ORDER BY w
+WITH RECURSIVE state AS (
+    SELECT w, p, t, 0 AS round FROM symbols
+    UNION ALL
+    (WITH pair AS (
+        SELECT a.w, a.p, a.t, a.round, m.rank::BIGINT * 65536 + a.p AS pick
+        FROM state a
+        LEFT JOIN state n ON n.w = a.w AND n.p = a.p + 1
+        LEFT JOIN merges m ON m.pair = a.t::BIGINT * 65536 + n.t),
+    best AS (SELECT w, min(pick) AS pick FROM pair WHERE pick IS NOT NULL GROUP BY w)
+    SELECT w,
+           (CASE WHEN p > best.pick % 65536 THEN p - 1 ELSE p END)::INTEGER AS p,
+           CASE WHEN p = best.pick % 65536 THEN (best.pick // 65536)::INTEGER ELSE t END AS t,
+           round + 1 AS round
+    FROM pair JOIN best USING (w)
+    WHERE p <> best.pick % 65536 + 1)
+), last AS (SELECT w, max(round) AS round FROM state GROUP BY w)
+SELECT w, list(t ORDER BY p) AS ids FROM state JOIN last USING (w, round) GROUP BY w ORDER BY w
 """
 DECODE = """
 SELECT w, unhex(string_agg(v.hex, '' ORDER BY p)) AS bytes
@@ -110,19 +116,28 @@ def with_pieces(df: DataFrame, pattern: str, text: str) -> DataFrame:
     )
 
 
-def byte_runs(pieces: list[bytes]) -> Iterator[list[bytes]]:
-    """Runs of pieces with about ``QUERY_BYTES`` each, one piece at least."""
-    run, size = [], 0
+def runs(pieces: list[bytes], cost: Callable[[int], int]) -> Iterator[list[bytes]]:
+    """Runs of pieces whose costs (of their lengths) add up to ``QUERY_ROWS`` at most, one piece at least."""
+    run, total = [], 0
     for piece in pieces:
-        if run and size + len(piece) > QUERY_BYTES:
+        rows = cost(len(piece))
+        if run and total + rows > QUERY_ROWS:
             yield run
-            run, size = [], 0
+            run, total = [], 0
         run.append(piece)
-        size += len(piece)
+        total += rows
     if run:
         yield run
 
 
+def all_rounds(length: int) -> int:
+    return length * (length + 1) // 2
+
+
+def one_round(length: int) -> int:
+    return length
+
+
 class Encoder:
     """One partition's DuckDB tables and what it has encoded so far."""
 
@@ -185,11 +200,11 @@ class Encoder:
         ids = [self.vocabulary.ranks[p].to_bytes(4, "little") for p in whole]
         short = [p for p in rest if len(p) <= LONG_PIECE]
         long = [p for p in rest if len(p) > LONG_PIECE]
-        for run in byte_runs(short):
+        for run in runs(short, all_rounds):
             ids += self.contract(run)
         ids += [self.heap(p) for p in long]
         at = 0
-        for run in byte_runs(whole + short + long):
+        for run in runs(whole + short + long, one_round):
             part, at = ids[at : at + len(run)], at + len(run)
             found.update(zip(run, zip(part, self.decode(part))))
         size = sum(ENTRY_BYTES + 6 * len(p) for p in found if p not in self.known)  # ids take up to four bytes a byte
@@ -275,7 +290,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str
                     raise ValueError("an id is not in the vocabulary")
                 full = [i for i, r in enumerate(rows) if len(r)]
                 out = [b""] * len(rows)
-                for run in byte_runs([rows[i].tobytes() for i in full]):
+                for run in runs([rows[i].tobytes() for i in full], one_round):
                     for i, b in zip(full, encoder.decode(run)):
                         out[i] = b
                     full = full[len(run) :]

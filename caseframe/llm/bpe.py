@@ -246,6 +246,15 @@ def one_column(table: pa.Table, name: str) -> pa.Array:
     return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
 
 
+def _joined_sha256(pieces: pa.Array, ends: np.ndarray) -> pa.Array:
+    """SHA-256 of each row's decoded pieces behind each other; ``ends`` count the pieces up to each row's last."""
+    _, offsets, data = pieces.buffers()
+    places = np.concatenate(([0], ends))
+    cut = np.frombuffer(offsets, np.int32)[places] if len(pieces) else np.zeros(len(places), np.int32)
+    raw = memoryview(data or b"")
+    return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cut[:-1], cut[1:])], pa.string())
+
+
 def _apply(df: DataFrame, vocabulary: Vocabulary, pattern: str, text: str, schema: T.StructType, out) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(vocabulary.tokens)  # as long as the vocabulary file
 
@@ -259,18 +268,22 @@ def _apply(df: DataFrame, vocabulary: Vocabulary, pattern: str, text: str, schem
     return with_pieces(df, pattern, text).mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns, and the token ids of the text as an array."""
-    keep = [f for f in df.schema.fields if f.name != ids]
-    names = [f.name for f in keep]
+def encode(
+    df: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text", ids: str = "ids", decoded_sha256: str | None = None
+) -> DataFrame:
+    """All columns, the token ids of the text as an array, and on request the SHA-256 of the bytes decoded from them."""
+    made = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    made += [T.StructField(decoded_sha256, T.StringType())] if decoded_sha256 else []
+    schema = T.StructType([*[f for f in df.schema.fields if f.name not in {m.name for m in made}], *made])
+    names = schema.names[: -len(made)]
 
     def out(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
-        ends, values, _, _ = encoder.batch(batch)
+        ends, values, pieces, piece_ends = encoder.batch(batch)
         offsets = np.concatenate(([0], ends)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(offsets, values.astype(np.int32))
-        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), lists], [*names, ids])
+        columns = [*(batch.column(n) for n in names), pa.ListArray.from_arrays(offsets, values.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns + ([_joined_sha256(pieces, piece_ends)] if decoded_sha256 else []), schema.names)
 
-    return _apply(df, vocabulary, pattern, text, T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType()))]), out)
+    return _apply(df, vocabulary, pattern, text, schema, out)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -309,15 +322,12 @@ def digests(df: DataFrame, vocabulary: Vocabulary, pattern: str, key: str = "doc
     def out(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
         ends, values, pieces, piece_ends = encoder.batch(batch)
         raw, at = memoryview(values.tobytes()), np.concatenate(([0], ends))
-        _, offsets, data = pieces.buffers()
-        cut = np.frombuffer(offsets, np.int32)[np.concatenate(([0], piece_ends))] if len(pieces) else np.zeros(len(at), np.int32)
-        text_bytes = memoryview(data or b"")
         sha = lambda x: hashlib.sha256(x).hexdigest()
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(key), pa.array(np.diff(at), pa.int64()),
                 pa.array([sha(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:])], pa.string()),
-                pa.array([sha(text_bytes[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.string()),
+                _joined_sha256(pieces, piece_ends),
             ],
             schema.names,
         )

@@ -42,9 +42,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, and the digest of the text that they decode to."""
     pin(spark)
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = bpe.encode(docs.select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN).select("doc_id", "ids")
-    decoded = bpe.decode(encoded, vocabulary)
-    return decoded.select("doc_id", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs.select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN, decoded_sha256="decoded_sha256")
+    return encoded.drop("text")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -42,6 +42,8 @@ REMEMBERED_BYTES = 48 << 20
 #: What a remembered piece costs besides its bytes.
 ENTRY_BYTES = 300
 MEMORY_LIMIT = "400MB"
+#: Text whose pieces are looked up at once; a query has a fixed cost for each round.
+SLICE_BYTES = 16 << 20
 DECODED_ROWS = 1024
 _PIECES = "__pieces"
 _UNKNOWN = "__unknown"
@@ -262,7 +264,7 @@ def _apply(df: DataFrame, vocabulary: Vocabulary, pattern: str, text: str, schem
         encoder = None
         for batch in batches:
             encoder = encoder or Encoder(shared.value, pattern)
-            for part in textops.slices(batch, text):
+            for part in textops.slices(batch, text, SLICE_BYTES):
                 yield out(part, encoder)
 
     return with_pieces(df, pattern, text).mapInArrow(run, schema)

@@ -100,11 +100,11 @@ def deal_width(entries: int) -> int:
 
 
 def _slice_tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle tokens of a slice, ascending, and the documents that they stand in."""
+    """Shingle hashes of a slice, ascending and whole (64 bits), and the documents that they stand in."""
     values, owners = [], []
     for small in textops.slices(part, "text"):
         value, rows = shingle_sets(*textops.text_buffer(small.column("text")))
-        values.append(value >> np.uint64(64 - packing.TOKEN_BITS))
+        values.append(value)
         owners.append(small.column("id").to_numpy()[rows])
     token, ids = np.concatenate(values), np.concatenate(owners)
     order = np.argsort(token, kind="stable")
@@ -122,8 +122,10 @@ def _proposed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 def hot_tokens(rows: DataFrame, documents: int, least: int = HOT_LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that stand in very many documents, ascending, and about how many; their number is bounded."""
     found = rows.select("text", "id").mapInArrow(lambda b: _proposed(b, least), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    table = found.filter(F.col("n") >= max(HOT_SHARE / 2 * documents, least)).orderBy("token").toArrow()
-    return table["token"].to_numpy().astype(np.uint64), table["n"].to_numpy().astype(np.uint64)
+    table = found.filter(F.col("n") >= max(HOT_SHARE / 2 * documents, least)).toArrow()
+    token, n = table["token"].to_numpy().astype(np.int64).view(np.uint64), table["n"].to_numpy().astype(np.uint64)
+    order = np.argsort(token)
+    return token[order], n[order]
 
 
 DEALT = "bucket int, part int, blob binary"
@@ -131,7 +133,7 @@ DEALT = "bucket int, part int, blob binary"
 
 def _deal(batches: Iterator[pa.RecordBatch], bits: int, parts: int, hot: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Tokens and documents by bucket (part -1); those of hot tokens ready for their part, so they never meet in a bucket."""
-    shift = np.uint64(packing.TOKEN_BITS - bits)
+    shift = np.uint64(64 - bits)
     for batch in batches:
         for slice_ in textops.slices(batch, "text", DEAL_BYTES):
             token, ids = _slice_tokens(slice_)
@@ -200,7 +202,7 @@ def _candidates(docs: pa.Table, blobs: pa.Table) -> pa.Table:
             index = n - -(-2 * NUMERATOR * n // (NUMERATOR + DENOMINATOR)) + 1
             if probe <= alone:
                 continue
-            prefix = list(dict.fromkeys(own[: probe - alone].tolist()))
+            prefix = list(dict.fromkeys(own[: probe - alone].view(np.int64).tolist()))
             inner = len(dict.fromkeys(own[: max(index - alone, 0)].tolist()))
             bits = np.zeros(BITMAP_BITS, np.uint8)
             bits[(own % np.uint64(BITMAP_BITS)).astype(np.int64)] = 1

@@ -1,15 +1,19 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are lines; a line of more than ``UNIT_WORDS`` words is taken in
-overlapping runs of that length. The classifier is a multinomial logistic
-regression over hashed word 1- to 3-grams. It is trained in numpy on statements
-made from the licence names and phrases below (with and without words of the
-corpus around them), on statements that name no known licence (class
-``unknown``), and on a bounded sample of paragraphs of the corpus (class
-``none``). A held-back part of these fits the temperature of the probabilities.
-A family that is predicted is confirmed only if the paragraph holds one of its
-names word for word; else, or if no class is likely, the paragraph is
-``unknown`` if it is likelier a licence than not and has a general licence word.
+A paragraph lies between blank lines. What is classified are its lines, and its
+runs of ``UNIT_WORDS`` words that cross a line end (overlapping by half, as are
+those of a longer line), so that wrapped text is seen in both ways. The
+classifier is a multinomial logistic regression over hashed word 1- to 3-grams.
+It is trained in numpy on statements made from the licence names and phrases
+below (with and without words of the corpus around them), on runs of the licence
+bodies, on statements that name no known licence (class ``unknown``), and on a
+bounded sample of runs of the corpus (class ``none``). A held-back part of these
+fits the temperature of the probabilities. A family with a chance of
+``POSSIBLE`` or more is confirmed by comparison with its templates: a name is
+held word for word, or at least ``CONTAINED`` of the run's word
+``TEMPLATE_WORDS``-grams stand in the family's body. Without a confirmed family
+a run is ``unknown`` if it is likelier a licence than not and has a general
+licence word.
 
 Null and empty texts have no paragraphs. Rows are independent; keys may repeat.
 Offsets are code points, the end exclusive.
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +34,19 @@ from pyspark.sql import types as T
 from caseframe.llm import spans as S
 from caseframe.llm import textops
 from caseframe.llm.langid import softmax
+from caseframe.llm.licence_texts import BODIES
 
 BUCKETS = 1 << 16
 NGRAMS = 3
 UNIT_WORDS = 32
 EPOCHS = 30
 RATE = 2.0
-#: Bound of the corpus sample: paragraphs that hold no licence word, as examples of ``none``.
+#: Bound of the corpus sample: about so many runs that hold no licence word, as examples of ``none``.
 SAMPLE = 4000
-#: A family needs this probability; less is unknown.
-CONFIDENT = 0.5
+SAMPLE_CHARS = 2000
+#: A licence needs this probability, and a family that the templates confirm the lower one.
+CONFIDENT, POSSIBLE = 0.5, 0.1
+TEMPLATE_WORDS, LEAST_GRAMS, CONTAINED = 4, 3, 0.5
 NONE, UNKNOWN = "none", "unknown"
 
 #: Names by which licences are stated; public names, in lower case.
@@ -69,7 +77,7 @@ CLASSES = (NONE, UNKNOWN, *NAMES)
 UNKNOWN_NAMES = ("{} license", "{} public license", "{} community licence", "{}-1.0", "{} software license", "{} open data licence")
 #: Beginnings of the words that every statement of an unlisted licence holds one of.
 GENERIC = ("license", "licence", "licensing", "licencing", "copyright", "spdx")
-LICENCE_WORD = r"(?i)licen[sc]e|copyright|all rights reserved|public domain|spdx|proprietary|\bcc[ -]|\bcc0|gpl"
+LICENCE_WORD = r"(?i)licen[sc]e|copyright|all rights reserved|public domain|spdx|proprietary|\bcc[ -]|\bcc0|gpl|general public|mozilla public|\bpermi(?:ssion|tted)|redistribut|warrant|liab(?:le|ility)"
 
 
 def _words(line: str) -> list[str]:
@@ -77,6 +85,25 @@ def _words(line: str) -> list[str]:
     return [w for w in (x.strip(".,;:!?\"'()[]{}<>*#|") for x in line.lower().split()) if w]
 
 
+def _crossing(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (exclusive) word of the runs of a paragraph that cross a line end."""
+    n = len(starts)
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    feeds = np.concatenate(([0], np.cumsum(raw == 0x0A)))
+    line = feeds[starts]  # line feeds before each word
+    row = np.searchsorted(offsets, starts, side="right") - 1
+    opens = np.concatenate(([True], (line[1:] - line[:-1] > 1) | (row[1:] != row[:-1])))
+    first = np.flatnonzero(opens)
+    last = np.concatenate((first[1:], [n]))
+    runs = np.maximum(1, -(-(last - first - UNIT_WORDS) // step) + 1)
+    nth = np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs)
+    begin = np.repeat(first, runs) + nth * step
+    end = np.minimum(begin + UNIT_WORDS, np.repeat(last, runs))
+    crosses = line[begin] != line[end - 1]
+    return begin[crosses], end[crosses]
+
+
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word n-gram buckets of the units of all rows with their units (ascending); row, first and last byte of each unit."""
     lower = textops.lower_table()[raw]
@@ -91,6 +118,9 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     nth = np.arange(len(unit_line)) - np.repeat(np.cumsum(runs) - runs, runs)
     begin = first[unit_line] + nth * step
     end = np.minimum(begin + UNIT_WORDS, last[unit_line])
+    crossing = _crossing(raw, starts, ends, offsets, step)
+    unit_row = np.concatenate((line_rows[unit_line], np.searchsorted(offsets, starts[crossing[0]], side="right") - 1))
+    begin, end = np.concatenate((begin, crossing[0])), np.concatenate((end, crossing[1]))
     buckets, owners = [], []
     for n in range(1, NGRAMS + 1):
         size = np.maximum(end - begin - n + 1, 0)
@@ -105,7 +135,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(owner, kind="stable")
     left = starts[np.minimum(begin, max(len(starts) - 1, 0))] if len(starts) else begin
     right = ends[end - 1] if len(ends) else end
-    return bucket[order], owner[order], line_rows[unit_line], left, right
+    return bucket[order], owner[order], unit_row, left, right
 
 
 @dataclass
@@ -137,6 +167,12 @@ def examples(negatives: list[str], seed: int = 5) -> list[tuple[str, int]]:
     for k in range(600):
         word = noise(rng.integers(1, 3))
         made.append((around(PHRASES[k % len(PHRASES)].format(UNKNOWN_NAMES[k % len(UNKNOWN_NAMES)].format(word))), 1))
+    for family, bodies in BODIES.items():
+        for body in bodies:
+            words = body.split()
+            for k in range(0, max(len(words) - UNIT_WORDS // 2, 1), 4):
+                for size in (UNIT_WORDS, UNIT_WORDS // 2):
+                    made.append((around(" ".join(words[k : k + size])), CLASSES.index(family)))
     for line in negatives:
         words = line.split()
         for k in range(0, max(len(words), 1), UNIT_WORDS):
@@ -180,14 +216,37 @@ def fit(negatives: list[str]) -> Model:
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """A model of the made statements and about ``SAMPLE`` paragraphs of the corpus, chosen by hash."""
+    """A model of the made statements and about ``SAMPLE`` runs of words of the corpus, chosen by hash.
+
+    The share to choose comes from a count, so the tasks send no more than the sample together.
+    """
     lines = df.select(F.col(key).alias("k"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
     lines = lines.filter(~F.col("line").rlike(LICENCE_WORD) & (F.length(F.trim("line")) > 0))
-    return fit([r.line for r in lines.orderBy(F.xxhash64("k", "at", F.lit("licence")), "line").limit(SAMPLE).select("line").collect()])
+    share = min(1.0, SAMPLE / max(lines.count(), 1))
+    order = F.xxhash64("k", "at", "line", F.lit("licence"))
+    chosen = lines.filter(order / 2.0**64 + 0.5 < share).select(order.alias("order"), F.split(F.trim("line"), r"\s+").alias("w"))
+    begin = F.pmod(F.col("order"), F.greatest(F.size("w") - UNIT_WORDS, F.lit(0)) + 1).cast("int") + 1
+    run = F.left(F.array_join(F.slice("w", begin, F.lit(UNIT_WORDS)), " "), F.lit(SAMPLE_CHARS))
+    return fit([r.run for r in chosen.select("order", run.alias("run")).orderBy("order", "run").collect()])
+
+
+def _grams(words: list[str]) -> set[tuple[str, ...]]:
+    return {tuple(words[k : k + TEMPLATE_WORDS]) for k in range(len(words) - TEMPLATE_WORDS + 1)}
+
 
+@lru_cache
+def _body_grams(family: str) -> frozenset[tuple[str, ...]]:
+    return frozenset().union(*(_grams(_words(body)) for body in BODIES.get(family, ())))
 
-def confirmed(words: list[str], family: str) -> bool:
-    """Whether the paragraph holds one of the family's names word for word."""
+
+def contained(words: list[str], family: str) -> float:
+    """The share of the run's word n-grams that stand in the family's body; fewer than ``LEAST_GRAMS`` tell nothing."""
+    grams = _grams(words)
+    return len(grams & _body_grams(family)) / len(grams) if len(grams) >= LEAST_GRAMS else 0.0
+
+
+def named(words: list[str], family: str) -> bool:
+    """Whether the words hold one of the family's names word for word."""
     for name in NAMES[family]:
         wanted = _words(name)
         if any(words[k : k + len(wanted)] == wanted for k in range(len(words) - len(wanted) + 1)):
@@ -195,14 +254,24 @@ def confirmed(words: list[str], family: str) -> bool:
     return False
 
 
+def confirmed(paragraph: str, family: str) -> bool:
+    """Whether the run holds one of the family's names, or is mostly a part of its body.
+
+    A name within one line is that line's finding: in a run over line ends only the other lines are compared.
+    """
+    lines = [_words(line) for line in paragraph.split("\n")]
+    rest = [w for line in lines if len(lines) == 1 or not named(line, family) for w in line]
+    return named(rest, family) or contained(rest, family) >= CONTAINED
+
+
 def decide(chances: np.ndarray, paragraph: str) -> str | None:
     """Family, unknown, or None for no licence."""
     words, best = _words(paragraph), int(chances[2:].argmax()) + 2
     if chances[0] >= CONFIDENT or chances[best] + chances[1] < CONFIDENT:
         return None
-    if chances[best] >= CONFIDENT and confirmed(words, CLASSES[best]):
+    if chances[best] >= CONFIDENT and confirmed(paragraph, CLASSES[best]):
         return CLASSES[best]
-    others = [c for c in np.argsort(-chances) if c > 1 and confirmed(words, CLASSES[c])]
+    others = [c for c in np.argsort(-chances) if c > 1 and chances[c] >= POSSIBLE and confirmed(paragraph, CLASSES[c])]
     if others:
         return CLASSES[others[0]]
     return UNKNOWN if any(w.startswith(GENERIC) for w in words) else None
@@ -211,18 +280,23 @@ def decide(chances: np.ndarray, paragraph: str) -> str | None:
 def found(text: str, raw: np.ndarray, model_units: list[tuple[int, int, np.ndarray]]) -> list[S.Span]:
     """Spans of the licences of one text, from its units (first byte, last byte, chances); overlapping units count once."""
     out: list[S.Span] = []
-    for a, b, chances in model_units:
+    begins = np.cumsum((raw & 0xC0) != 0x80)  # characters up to each byte
+    for a, b, chances in sorted(model_units, key=lambda u: (u[0], u[1])):
         family = decide(chances, raw[a:b].tobytes().decode())
         if family:
-            start = len(raw[:a].tobytes().decode())
-            out.append((start, start + len(raw[a:b].tobytes().decode()), family))
+            start = int(begins[a]) - 1
+            out.append((start, start + int(begins[b - 1] - begins[a]) + 1, family))
+    known = [s for s in out if s[2] != UNKNOWN]  # a run that also lies in a known one is not unknown
+    out = [s for s in out if s[2] != UNKNOWN or not any(s[0] < t[1] and t[0] < s[1] for t in known)]
     merged: list[S.Span] = []
-    for span in out:
+    for span in sorted(out, key=lambda s: (s[2], s[0], s[1])):
         if merged and merged[-1][2] == span[2] and span[0] < merged[-1][1]:
             merged[-1] = (merged[-1][0], max(span[1], merged[-1][1]), span[2])
         else:
             merged.append(span)
-    return merged
+    # Families share wording: what lies within a longer finding of another family is a part of that.
+    inside = lambda s, t: t[0] <= s[0] and s[1] <= t[1] and t[1] - t[0] > s[1] - s[0]
+    return sorted(s for s in merged if not any(inside(s, t) for t in merged if t[2] != s[2]))
 
 
 def scan(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -237,6 +311,8 @@ def scan(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 raw, offsets = textops.text_buffer(part.column(text))
                 bucket, unit, row, left, right = features(raw, offsets)
                 chances = shared.value.chances(bucket, unit, len(row))
+                feeds = np.concatenate(([0], np.cumsum(raw == 0x0A)))
+                lines = row[feeds[left] == feeds[right]] if len(row) else row
                 spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
                 likely = np.flatnonzero(chances[:, 0] < CONFIDENT)
                 for r in np.unique(row[likely]):
@@ -247,7 +323,7 @@ def scan(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(part.column(f.name) for f in keep), pa.array(np.bincount(row, minlength=part.num_rows).astype(np.int64)),
+                        *(part.column(f.name) for f in keep), pa.array(np.bincount(lines, minlength=part.num_rows).astype(np.int64)),
                         pa.array(spans, to_arrow_type(S.SPANS)),
                     ],
                     schema.names,

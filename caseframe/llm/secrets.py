@@ -1,8 +1,10 @@
 """Secret scans: patterns over the text and over every layer that can be decoded from it.
 
 A worklist starts with the text. Each layer is scanned, then unwrapped: URL
-escapes and Unicode escapes of the whole layer, base64 runs (of one line, and
-continued over line ends), and gzip or zlib data within base64 or URL escapes.
+escapes and Unicode escapes of the whole layer, base64 runs (of one line, and continued over line
+ends, also with quoting marks there), and gzip or zlib data within base64 or URL
+escapes. A run may have other characters of the alphabet glued to its front, so
+it is decoded from each of its first four characters on.
 What comes out is a new layer unless the same string was seen before at the
 same places, so equal blobs are all reported and the list ends at a fixpoint.
 Every character of a layer knows the span of the text that it comes from;
@@ -45,7 +47,7 @@ ORDER = {k: i for i, k in enumerate((*KINDS, "oversize"))}
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U00[01][0-9A-Fa-f]{5}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#x[0-9A-Fa-f]{1,6};")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+BASE64 = re.compile(r"""[A-Za-z0-9+/_-]{16,}(?:["'\\]?[ \t]*\r?\n[ \t>|"']*[A-Za-z0-9+/_-]+)*={0,2}""")
 LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 LEAST = 16
 #: Escaped bytes with the characters that escaping leaves; and where compressed data may begin in bytes.
@@ -252,16 +254,18 @@ def _blocks(match: re.Match) -> Iterator[tuple[list[tuple[int, int]], int]]:
 def _base64(layer: Layer) -> Iterator[Layer | Packed]:
     for m in BASE64.finditer(layer.text):
         for lines, end in _blocks(m):
-            body = "".join(layer.text[a:b] for a, b in lines).replace("-", "+").replace("_", "/")
-            body = body[:-1] if len(body) % 4 == 1 else body
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-            if _header(data):
-                yield Packed(data, lines[0][0], end)
-            at = np.concatenate([np.arange(a, b) for a, b in lines]) if len(lines) > 1 else np.arange(*lines[0])
-            bit = np.arange(len(data)) * 8
-            value, starts, ends = _decoded(data, at[bit // 6], at[(bit + 7) // 6] + 1)
-            if MAYBE.search(value):
-                yield Layer(value, *layer.spread(starts, ends))
+            whole = "".join(layer.text[a:b] for a, b in lines).replace("-", "+").replace("_", "/")
+            places = np.concatenate([np.arange(a, b) for a, b in lines]) if len(lines) > 1 else np.arange(*lines[0])
+            for shift in range(4):
+                body, at = whole[shift:], places[shift:]
+                body = body[:-1] if len(body) % 4 == 1 else body
+                data = base64.b64decode(body + "=" * (-len(body) % 4))
+                for k in sorted({p.start() for p in PACKED.finditer(data)} | ({0} if _header(data) else set())):
+                    yield Packed(data[k:], int(at[8 * k // 6]), end)
+                bit = np.arange(len(data)) * 8
+                value, starts, ends = _decoded(data, at[bit // 6], at[(bit + 7) // 6] + 1)
+                if MAYBE.search(value):
+                    yield Layer(value, *layer.spread(starts, ends))
 
 
 def _url_packed(layer: Layer) -> Iterator[Packed]:

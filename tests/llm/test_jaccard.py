@@ -1,4 +1,6 @@
 import random
+
+import numpy as np
 import re
 
 import pytest
@@ -113,3 +115,31 @@ def test_hot_shingles_are_not_gathered(docs):
     tokens, _ = jaccard.hot_tokens(frame.selectExpr("doc_id as id", "text"), len(rows), least=2)
     found = jaccard.near_duplicates(frame, hot_least=2).collect()
     assert len(tokens) and sorted(map(tuple, found), key=repr) == want
+
+
+def test_hashes_are_compared_whole():
+    """Shingles that agree in their first 48 bits only are different, within a document and between two."""
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    values = np.sort(np.array([rng.getrandbits(48) << 16 for _ in range(100)], np.uint64))
+    near = values.copy()
+    near[:15] += np.uint64(1)  # 85 shared, 15 that clash in 48 bits: 100 * 85 < 80 * 115
+    twice = np.sort(np.concatenate((values[:89], values[:2] + np.uint64(7), values[89:98])))  # 2 clash within the document
+    for other, links in ((near, False), (twice, True)):
+        shared = len(set(values.tolist()) & set(other.tolist()))
+        assert (100 * shared >= 80 * (200 - shared)) == links
+        bitmap = np.full(jaccard.BITMAP_BITS // 64, -1, np.int64).tolist()
+        row = {"a": [1], "b": [2], "a_n": [100], "b_n": [100], "a_bitmap": [bitmap], "b_bitmap": [bitmap], "a_tokens": [values.tobytes()], "b_tokens": [other.tobytes()]}
+        batch = pa.RecordBatch.from_pydict(row)
+        assert sum(b.num_rows for b in jaccard._compare(iter([batch]))) == links
+
+
+def test_tokens_keep_all_bits(docs):
+    import pyarrow as pa
+
+    texts = ["a b c d e f g h", "x y z", "a b c d e q r s"]
+    raw, offsets = jaccard.textops.text_buffer(pa.array(texts))
+    want = np.sort(jaccard.shingle_sets(raw, offsets)[0])
+    token, _ = jaccard._slice_tokens(pa.RecordBatch.from_pydict({"text": texts, "id": [1, 2, 3]}))
+    assert (token == want).all() and (token & np.uint64(0xFFFF)).any()

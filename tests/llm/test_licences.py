@@ -1,9 +1,11 @@
 import re
+import textwrap
 
 import numpy as np
 import pytest
 
 from caseframe.llm import licences as L
+from caseframe.llm.licence_texts import BODIES
 
 STATED = {
     "Licensed under CC BY-NC 4.0.": "cc-by-nc",
@@ -60,15 +62,89 @@ def test_held_back_statements(model):
 
 
 def test_template_comparison_rules_out_other_families(model):
-    words = L._words("Licensed under the Apache License, Version 2.0.")
-    assert L.confirmed(words, "apache") and not L.confirmed(words, "mit")
+    stated = "Licensed under the Apache License, Version 2.0."
+    assert L.confirmed(stated, "apache") and not L.confirmed(stated, "mit")
+    assert not L.confirmed(f"a\n{stated}", "apache") and L.confirmed("the Apache\nLicense", "apache")
     chances = np.zeros(len(L.CLASSES))
-    chances[L.CLASSES.index("mit")] = 1
+    chances[L.CLASSES.index("mit")] = 0.8
+    chances[L.CLASSES.index("apache")] = 0.2
     assert L.decide(chances, "Licensed under the Apache License") == "apache"
+    chances[L.CLASSES.index("mit")], chances[L.CLASSES.index("apache")] = 1, 0
+    assert L.decide(chances, "Licensed under the Apache License") == "unknown"
     assert L.decide(chances, "Licensed under nothing known") == "unknown"
     assert L.decide(chances, "plain words") is None
 
 
+def wrapped(text, width=60):
+    return "\n".join(textwrap.wrap(text, width))
+
+
+def slow_found(text, model):
+    """The same decisions with loops over lines and words."""
+    out = []
+    for block in re.finditer(r"(?:[^\n]*\S[^\n]*(?:\n|\Z))+", text):
+        words = [(block.start() + m.start(), block.start() + m.end()) for m in re.finditer(r"(?:[A-Za-z0-9-]|[^\x00-\x7f])+", block.group())]
+        lines = {}
+        for w in words:
+            lines.setdefault(text.count("\n", 0, w[0]), []).append(w)
+        runs = [r for line in lines.values() for r in windows(line)]
+        runs += [r for r in windows(words) if "\n" in text[r[0][0] : r[-1][1]]]
+        for run in runs:
+            piece = text[run[0][0] : run[-1][1]]
+            raw = np.frombuffer(piece.replace("\n", " ").encode(), np.uint8)
+            bucket, unit, row, _, _ = L.features(raw, np.array([0, len(raw)]))
+            family = L.decide(model.chances(bucket, unit, len(row))[0], piece)
+            if family:
+                out.append((run[0][0], run[-1][1], family))
+    named = [s for s in out if s[2] != "unknown"]
+    out = {s for s in out if s[2] != "unknown" or not any(s[0] < t[1] and t[0] < s[1] for t in named)}
+    places = {k: sorted({i for a, b, f in out if f == k for i in range(a, b)}) for k in {s[2] for s in out}}
+    long = []
+    for k, at in places.items():
+        for i in at:
+            if long and long[-1][2] == k and long[-1][1] == i:
+                long[-1] = (long[-1][0], i + 1, k)
+            else:
+                long.append((i, i + 1, k))
+    return {s for s in long if not any(t[2] != s[2] and t[0] <= s[0] and s[1] <= t[1] and t[1] - t[0] > s[1] - s[0] for t in long)}
+
+
+def windows(words):
+    step, n = L.UNIT_WORDS // 2, max(1, -(-(len(words) - L.UNIT_WORDS) // (L.UNIT_WORDS // 2)) + 1)
+    return [words[k * step : k * step + L.UNIT_WORDS] for k in range(n)]
+
+
+def test_found_against_loops(model):
+    texts = [
+        wrapped("plain words here. " * 30 + BODIES["isc"][0] + " and then more plain words " * 20), "é " * 40 + "\nReleased under the MIT\nLicense. é",
+        "a\n\nLicensed under the Frob\nnicate license\n \nb c", wrapped(BODIES["bsd"][0], 33) + "\n\n" + wrapped(BODIES["mit"][0]),
+    ]
+    for text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        bucket, unit, row, left, right = L.features(raw, np.array([0, len(raw)]))
+        got = L.found(text, raw, list(zip(left.tolist(), right.tolist(), model.chances(bucket, unit, len(row)))))
+        covered = {(k, i) for a, b, k in got for i in range(a, b)}
+        assert covered == {(k, i) for a, b, k in slow_found(text, model) for i in range(a, b)}
+
+
+@pytest.mark.parametrize("family", ["mit", "bsd", "isc", "apache", "gpl", "lgpl", "mpl", "unlicense"])
+def test_bodies_and_wrapped_headers(docs, family):
+    filler = "this is a paragraph of plain words about nothing at all and then some"
+    texts = [f"{filler}\n\n{wrapped(body, width)}\n\n{filler}" for body in BODIES[family] for width in (50, 76, 10_000)]
+    rows = L.digests(docs(texts + [filler] * 20)).collect()
+    for r in rows:
+        assert r.families == (family if r.doc_id < len(texts) else ""), (r.doc_id, r.spans)
+        if r.doc_id < len(texts):
+            a, b = min(int(s.split(":")[1]) for s in r.spans.split(",")), max(int(s.split(":")[2]) for s in r.spans.split(","))
+            body = len(texts[r.doc_id]) - 2 * len(filler) - 4
+            assert len(filler) + 2 <= a and b <= len(texts[r.doc_id]) - len(filler) - 2 and b - a >= 0.8 * body
+
+
+def test_a_name_over_a_line_end(docs):
+    rows = {r.doc_id: r.families for r in L.digests(docs(["This program is covered by the GNU General Public\nLicense.", "the GNU General Public\n\nmatter"])).collect()}
+    assert rows[0] == "gpl" and "gpl" not in rows[1]
+
+
 def test_units_cover_all_words():
     text = " ".join(f"w{i}" for i in range(101)) + "\n\na b\n"
     raw = np.frombuffer(text.encode(), np.uint8)

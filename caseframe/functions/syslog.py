@@ -35,19 +35,7 @@ USER_TOKEN = r"(?U)\buser=(\S+)"
 
 # Scheduled-job programs and words that name an error.
 CRON_PROGRAMS = ("CRON", "cron", "crond")
-ERROR_WORDS = (
-    "error",
-    "errors",
-    "failed",
-    "failure",
-    "fatal",
-    "critical",
-    "crit",
-    "panic",
-    "segfault",
-    "oom-kill",
-    "out of memory",
-)
+ERROR_WORDS = r"(?iU)\b(?:error|errors|failed|failure|fatal|critical|crit|panic|segfault|oom-kill|out of memory)\b"
 
 # Shell history line shapes.
 ZSH_EXTENDED = r"(?U)^:\s*(\d+):(\d+);(.*)$"
@@ -143,8 +131,7 @@ def auth_class(message: Column) -> Column:
 
 def syslog_class(program: Column, message: Column) -> Column:
     """Struct of action (by program), outcome (``error`` if a word names one), no actor."""
-    words = "|".join(w.replace("-", r"\-") for w in ERROR_WORDS)
-    outcome = F.when(message.rlike(rf"(?iU)\b(?:{words})\b"), "error")
+    outcome = F.when(message.rlike(ERROR_WORDS), "error")
     action = (
         F.when(program.isNull(), F.lit(None).cast("string"))
         .when(program == "kernel", "kernel")

@@ -107,8 +107,9 @@ def with_rotation_position(member_rows: DataFrame) -> DataFrame:
 def completeness(member_rows: DataFrame) -> DataFrame:
     """One finding per set: indices present, indices missing below the highest.
 
-    Missing indices come from the gaps between neighbouring present indices. A
-    gap is kept as a range: a file name can claim any index.
+    Missing indices come from the gaps between neighbouring present indices.
+    ``missing_ranges`` holds every gap (first, last); ``missing_indices`` lists
+    those of gaps up to ``MAX_LISTED_GAP``, as a file name can claim any index.
     """
     keys = ["evidence_source_id", "volume_id", "set_key", "subject", "is_history"]
     counts = member_rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("member_count"))
@@ -130,14 +131,8 @@ def completeness(member_rows: DataFrame) -> DataFrame:
     empty = F.array().cast("array<bigint>")
     spans = F.coalesce(F.col("_gaps"), F.array().cast("array<struct<first:bigint,last:bigint>>"))
     long_gap = lambda g: g["last"] - g["first"] >= MAX_LISTED_GAP
-    missing = F.flatten(
-        F.transform(
-            spans,
-            lambda g: F.when(long_gap(g), F.array(g["first"], g["last"])).otherwise(
-                F.sequence(g["first"], F.least(g["last"], g["first"] + MAX_LISTED_GAP))
-            ),
-        )
-    )
+    short = F.filter(spans, lambda g: ~long_gap(g))
+    missing = F.flatten(F.transform(short, lambda g: F.sequence(g["first"], F.least(g["last"], g["first"] + MAX_LISTED_GAP))))
     told = F.transform(
         spans,
         lambda g: F.when(long_gap(g), F.concat_ws("-", g["first"], g["last"])).otherwise(
@@ -162,6 +157,7 @@ def completeness(member_rows: DataFrame) -> DataFrame:
         "subject",
         F.coalesce(F.col("present_indices"), empty).alias("present_indices"),
         missing.alias("missing_indices"),
+        spans.alias("missing_ranges"),
         "member_count",
         note.alias("note"),
     )
@@ -177,6 +173,7 @@ def damage_findings(damaged: DataFrame) -> DataFrame:
         F.concat(F.lit("compressed log member could not be read: "), F.col("reason")).alias("detail"),
         none.cast("array<bigint>").alias("present_indices"),
         none.cast("array<bigint>").alias("missing_indices"),
+        none.cast("array<struct<first:bigint,last:bigint>>").alias("missing_ranges"),
         none.cast("long").alias("member_count"),
     )
 
@@ -194,6 +191,7 @@ def disclosures(member_rows: DataFrame, read_paths: DataFrame | None = None) ->
         F.col("note").alias("detail"),
         "present_indices",
         "missing_indices",
+        "missing_ranges",
         "member_count",
     )
     history = member_rows.where("is_history")
@@ -207,6 +205,7 @@ def disclosures(member_rows: DataFrame, read_paths: DataFrame | None = None) ->
         F.lit(TAMPERABILITY).alias("detail"),
         none.cast("array<bigint>").alias("present_indices"),
         none.cast("array<bigint>").alias("missing_indices"),
+        none.cast("array<struct<first:bigint,last:bigint>>").alias("missing_ranges"),
         none.cast("long").alias("member_count"),
     )
     return full.unionByName(tamper)

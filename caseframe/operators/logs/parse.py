@@ -4,7 +4,8 @@ Input lines: volume_id, path, line_ord, line_sub, line. ``(line_ord,
 line_sub)`` is the order inside a file; it need not be dense.
 
 Records add: parser, message, raw_timestamp, program, host, pid, action,
-outcome, actor, epoch, is_rfc5424, ts_basis, kind.
+outcome, actor, epoch, is_rfc5424, ts_basis, kind, and extra: a JSON object of
+what a parser has to say besides, which goes into the event's attributes.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ RECORD_COLUMNS = [
     "is_rfc5424",
     "ts_basis",
     "kind",
+    "extra",
 ]
 
 _BLANK = r"(?U)^\s*$"
@@ -56,7 +58,7 @@ def with_head(lines: DataFrame) -> DataFrame:
 
 def _records(df: DataFrame, **extra: Column) -> DataFrame:
     types = {"epoch": "long", "is_rfc5424": "boolean"}
-    columns = {"raw": F.col("line"), **extra}
+    columns = {**({} if "raw" in extra else {"raw": F.col("line")}), **extra}
     for c in RECORD_COLUMNS:
         if c not in columns:
             columns[c] = F.col(c) if c in df.columns else F.lit(None).cast(types.get(c, "string"))
@@ -110,8 +112,10 @@ class Parser:
     Give ``classify`` (program, message -> struct of action, outcome, actor)
     for lines with the common head, or ``records`` (lines -> records) for
     anything else; the latter may wrap a Python function with
-    ``DataFrame.mapInPandas``. ``findings`` optionally maps the parser's
-    members to finding rows.
+    ``DataFrame.mapInPandas`` and gives the record columns that it has: lines
+    without ``epoch`` or ``raw_timestamp`` are undated, and ``extra`` is a JSON
+    object, a struct or a map whose values keep their type in the attributes.
+    ``findings`` optionally maps the parser's members to finding rows.
     """
 
     name: str
@@ -155,6 +159,15 @@ def route(path: Column, parsers: tuple[Parser, ...] = PARSERS) -> Column:
     return expr
 
 
+def _completed(records: DataFrame, name: str) -> DataFrame:
+    """Records of a plug-in with the columns that it left out, and ``extra`` as JSON text."""
+    given = records if "parser" in records.columns else records.withColumn("parser", F.lit(name))
+    if "extra" in given.columns and given.schema["extra"].dataType.typeName() != "string":
+        given = given.withColumn("extra", F.to_json("extra"))
+    own = {c: F.col(c) for c in ("raw", "line") if c in given.columns}
+    return _records(given, raw=own.get("raw", own.get("line", F.lit(None).cast("string"))))
+
+
 def parse(lines: DataFrame, parsers: tuple[Parser, ...] = PARSERS) -> DataFrame:
     """Route every line by its path and parse it; lines nobody takes are skipped."""
     routed = lines.withColumn("parser", route(F.col("path"), parsers))
@@ -165,7 +178,7 @@ def parse(lines: DataFrame, parsers: tuple[Parser, ...] = PARSERS) -> DataFrame:
         parts.append(headed_records(mine, headed))
     for parser in parsers:
         if parser.records is not None:
-            parts.append(parser.records(routed.where(F.col("parser") == parser.name)).select(RECORD_COLUMNS))
+            parts.append(_completed(parser.records(routed.where(F.col("parser") == parser.name)), parser.name))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -246,5 +246,5 @@ def to_events(resolved: DataFrame) -> DataFrame:
         "outcome",
         "line_ord",
         "line_sub",
-        flags.alias("attributes"),
+        attributes.merged(F.col("extra"), flags).alias("attributes"),
     )

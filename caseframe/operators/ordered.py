@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from caseframe.session import shared_folder
+
 SEGMENT = 1_000_000
 SEG = "_seg"
 
@@ -72,6 +74,26 @@ def settled(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
+def numbered(df: DataFrame, columns: list[str], partitions: int | None = None, name: str = "position") -> DataFrame:
+    """Every row with its 1-based position in the declared order, in that order.
+
+    Ranges are sorted in parallel and kept in the checkpoint folder, as a second
+    evaluation may cut them elsewhere; the rows of each partition are counted,
+    and its first position is the sum of the counts before. Nothing runs over
+    all rows in one task; only one count a partition reaches the driver.
+    """
+    shared_folder(df.sparkSession)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    kept = total_order(df, columns, partitions).withColumns({"_part": F.spark_partition_id(), "_row": inside}).checkpoint()
+    before, offsets = 0, []
+    for part, n in kept.groupBy("_part").count().orderBy("_part").collect():
+        offsets.append((part, before))
+        before += n
+    first = df.sparkSession.createDataFrame(offsets, "_part int, _before long")
+    placed = kept.join(F.broadcast(first), "_part")
+    return placed.select((F.col("_before") + F.col("_row") + 1).alias(name), *df.columns)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a source with fewer partitions than cores, as one small file is; larger ones stay."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -106,6 +106,24 @@ def manifest_drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
     return both.withColumn("drift", kind).where((F.col("drift") != "changed") | ~same).drop("_b", "_c")
 
 
+def acquisition_rows(verified: DataFrame, evidence_source_id: int) -> DataFrame:
+    """``verify_manifest`` as rows of ``integrity_checks``."""
+    return _check_rows(verified, "acquisition", evidence_source_id)
+
+
+def drift_rows(drift: DataFrame, evidence_source_id: int) -> DataFrame:
+    """``manifest_drift`` as rows of ``integrity_checks``; ``supplied`` is the earlier SHA-256."""
+    rows = drift.select("path", F.col("base_sha256").alias("supplied"), F.lit("sha256").alias("algorithm"), F.col("drift").alias("outcome"))
+    return _check_rows(rows, "reverify", evidence_source_id)
+
+
+def _check_rows(rows: DataFrame, check: str, evidence_source_id: int) -> DataFrame:
+    return rows.select(
+        F.lit(evidence_source_id).cast("long").alias("evidence_source_id"), F.lit(check).alias("check"),
+        "path", "supplied", "algorithm", "outcome",
+    )
+
+
 def result_digest(df: DataFrame, row_text: Column | None = None) -> DataFrame:
     """Order-free digest of a result: row count and sum of 60-bit row hashes.
 

@@ -2,8 +2,9 @@
 
 Block runs are (start, len) pairs. They are cut at fixed bucket edges, so an
 overlap is an equi-join on the bucket; the allocated side of a bucket is one
-row holding disjoint intervals, at most one per block, whatever the number of
-files in it.
+row holding disjoint intervals, whatever the number of files in it. Runs are
+merged to intervals and these are intersected and complemented; they are not
+laid out to their blocks.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseframe.functions import attributes, hashes, names, signatures
+from caseframe.operators import ordered
 from caseframe.schemas import FILES
 
 INTACT = "intact"
 OVERWRITTEN = "partial/overwritten"
 BUCKET = 1024
 MAX_LISTED = 32
+TOO_BIG = "exceeds_max_hash_size"
 
 # Rationale texts.
 REASON_REALLOCATED = "inode reallocated to a live file at recover time"
@@ -26,6 +29,8 @@ REASON_RESIDENT = "resident data recovered from the MFT record"
 REASON_NO_RUNS = "no recoverable data runs (block pointers cleared on unlink)"
 REASON_OVERLAP = "data blocks reallocated to an allocated file"
 REASON_INTACT = "all surviving data blocks still unallocated"
+#: Ours: a name whose inode is not in the scan.
+REASON_NO_INODE = "inode not in the scan; nothing is known of its data"
 CAVEAT_RESIDENT = (
     "Resident data recovered from the MFT record (the entry was small enough "
     "to be stored inside its metadata record, so it has no separate data "
@@ -65,32 +70,40 @@ def bucket_pieces(inodes: DataFrame, keys: list[str], bucket: int = BUCKET) -> D
     )
 
 
-def allocated_intervals(inodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """volume_id, bucket, lo, hi: disjoint blocks owned by allocated inodes.
+def islands(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, bucket, lo, hi: the pieces of each key and bucket as disjoint intervals.
 
     The first aggregation keeps the longest piece per start, so at most one row
     per block of a bucket reaches the window.
     """
-    pieces = bucket_pieces(inodes.where("allocated"), ["volume_id"], bucket)
-    longest = pieces.groupBy("volume_id", "bucket", "lo").agg(F.max("hi").alias("hi"))
-    w = W.partitionBy("volume_id", "bucket").orderBy("lo")
+    part = [*keys, "bucket"]
+    longest = pieces.groupBy(*part, "lo").agg(F.max("hi").alias("hi"))
+    w = W.partitionBy(*part).orderBy("lo")
     reach = F.max("hi").over(w.rowsBetween(W.unboundedPreceding, -1))
     marked = longest.withColumn("_new", F.coalesce((F.col("lo") > reach).cast("int"), F.lit(0)))
     grouped = marked.withColumn("_g", F.sum("_new").over(w))
-    return grouped.groupBy("volume_id", "bucket", "_g").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    ).drop("_g")
+    return grouped.groupBy(*part, "_g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_g")
+
+
+def allocated_intervals(inodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """volume_id, bucket, lo, hi: disjoint blocks owned by allocated inodes."""
+    return islands(bucket_pieces(inodes.where("allocated"), ["volume_id"], bucket), ["volume_id"])
+
+
+def _taken(inodes: DataFrame, bucket: int) -> DataFrame:
+    """volume_id, bucket, taken: the intervals of a bucket in one row, at most one for every second block."""
+    owned = allocated_intervals(inodes, bucket)
+    return owned.groupBy("volume_id", "bucket").agg(F.collect_list(F.struct("lo", "hi")).alias("taken"))
 
 
 def block_overlap(inodes: DataFrame, bucket: int = BUCKET, listed: int = MAX_LISTED) -> DataFrame:
     """Deleted inodes that share blocks with allocated ones.
 
-    volume_id, meta_addr, overlapping_blocks (lowest ``listed``, ascending).
+    volume_id, meta_addr, n_shared (how many blocks are shared, each counted
+    once), overlapping_blocks (the lowest ``listed`` of them, ascending).
     """
-    taken = allocated_intervals(inodes, bucket).groupBy("volume_id", "bucket").agg(
-        F.collect_list(F.struct("lo", "hi")).alias("taken")
-    )
-    pieces = bucket_pieces(inodes.where("allocated is not true"), ["volume_id", "meta_addr"], bucket)
+    inode = ["volume_id", "meta_addr"]
+    own = islands(bucket_pieces(inodes.where("allocated is not true"), inode, bucket), inode)
     shared = F.filter(
         F.transform(
             "taken",
@@ -98,37 +111,52 @@ def block_overlap(inodes: DataFrame, bucket: int = BUCKET, listed: int = MAX_LIS
         ),
         lambda t: t["lo"] < t["hi"],
     )
-    blocks = (
-        pieces.join(taken, ["volume_id", "bucket"])
-        .select("volume_id", "meta_addr", F.explode(shared).alias("s"))
-        # Only the lowest blocks of an interval can be listed.
-        .select(
-            "volume_id",
-            "meta_addr",
-            F.explode(
-                F.sequence("s.lo", F.least(F.col("s.hi"), F.col("s.lo") + listed) - 1)
-            ).alias("block"),
-        )
-        .distinct()
-    )
-    w = W.partitionBy("volume_id", "meta_addr").orderBy("block")
+    intervals = own.join(_taken(inodes, bucket), ["volume_id", "bucket"]).select(*inode, F.explode(shared).alias("s")).select(*inode, "s.*")
+    # Of an inode's intervals the lowest ``listed`` hold the blocks to list; the number counts them all.
+    w = W.partitionBy(*inode).orderBy("lo")
+    lowest = F.when(F.row_number().over(w) <= listed, F.sequence("lo", F.least(F.col("hi"), F.col("lo") + listed) - 1))
     return (
-        blocks.withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= listed)
-        .groupBy("volume_id", "meta_addr")
-        .agg(F.array_sort(F.collect_list("block")).alias("overlapping_blocks"))
+        intervals.withColumn("_low", lowest)
+        .groupBy(*inode)
+        .agg(
+            F.sum(F.col("hi") - F.col("lo")).alias("n_shared"),
+            F.slice(F.array_sort(F.flatten(F.collect_list("_low"))), 1, listed).alias("overlapping_blocks"),
+        )
     )
 
 
 def unallocated(blocks: DataFrame, inodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Blocks owned by no allocated inode: equi anti-join on the block number.
+    """Blocks owned by no allocated inode.
 
-    The allocated side is disjoint, so a block occurs once and no key is hot.
+    A block meets the intervals of its bucket, one row; no interval is laid out
+    to its blocks.
     """
-    owned = allocated_intervals(inodes, bucket).select(
-        "volume_id", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("block_index")
-    )
-    return blocks.join(owned, ["volume_id", "block_index"], "left_anti")
+    taken = _taken(inodes, bucket).withColumnRenamed("bucket", "_bucket")
+    number = F.col("block_index")
+    owned = F.exists("taken", lambda t: (t["lo"] <= number) & (number < t["hi"]))
+    joined = blocks.withColumn("_bucket", F.expr(f"block_index div {bucket}")).join(taken, ["volume_id", "_bucket"], "left")
+    return joined.where(~F.coalesce(owned, F.lit(False))).select(*blocks.columns)
+
+
+def unallocated_runs(volumes: DataFrame, inodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """volume_id, volume_offset, start, len: the longest runs of blocks that no allocated inode owns.
+
+    ``volumes``: volume_id, volume_offset, block_count. The complement of the
+    allocated intervals: a free run lies between an interval and the one before
+    it, which may be in another bucket; a volume of any length is followed by
+    segments.
+    """
+    sized = volumes.select("volume_id", "volume_offset", "block_count")
+    owned = allocated_intervals(inodes, bucket).select("volume_id", "lo", "hi")
+    before = ordered.with_previous(owned, ["volume_id"], ["lo"], ["hi"], out="_prev", rows=bucket * 256)
+    start = F.coalesce(F.col("_prev.hi"), F.lit(0).cast("long"))
+    between = before.select("volume_id", start.alias("start"), F.col("lo").alias("end"))
+    last = owned.groupBy("volume_id").agg(F.max("hi").alias("start"))
+    behind = sized.select("volume_id", F.col("block_count").alias("end")).join(last, "volume_id", "left")
+    behind = behind.select("volume_id", F.coalesce("start", F.lit(0).cast("long")).alias("start"), "end")
+    runs = between.unionByName(behind).join(sized, "volume_id")
+    end = F.least(F.col("end"), F.col("block_count"))
+    return runs.select("volume_id", "volume_offset", "start", (end - F.col("start")).alias("len")).where("len > 0")
 
 
 def block_numbers(volumes: DataFrame, step: int = 1 << 16) -> DataFrame:
@@ -244,7 +272,7 @@ def with_tier(inodes: DataFrame, bucket: int = BUCKET, live: bool = False) -> Da
     With ``live`` also the allocated inodes, as a deleted name may point to an
     inode that was given to another file since.
     """
-    overlap = block_overlap(inodes, bucket).withColumnRenamed("overlapping_blocks", "_overlap")
+    overlap = block_overlap(inodes, bucket).withColumnRenamed("overlapping_blocks", "_overlap").drop("n_shared")
     chosen = inodes.where("allocated is not true")
     if live:
         taken = F.col("allocated") if "now_allocated" not in inodes.columns else F.col("allocated") | F.col("now_allocated")
@@ -264,6 +292,7 @@ def recovered_rows(
     evidence_source_id: int,
     contents: DataFrame | None = None,
     max_hash_size: int | None = None,
+    digests: DataFrame | None = None,
 ) -> DataFrame:
     """Deleted inodes in the shape of the ``files`` table.
 
@@ -271,7 +300,9 @@ def recovered_rows(
     with its live inodes. A name whose inode is not among them stays, without
     anything to recover.
     ``contents`` (volume_id, meta_addr, content) adds digests and the type;
-    both are skipped above ``max_hash_size``.
+    both are skipped above ``max_hash_size``. ``digests`` stand for contents that
+    were read in pieces: volume_id, meta_addr, md5, sha1, sha256, hash_skipped,
+    head (the first bytes, NULL if there are none).
     """
     facts = tiers.select(
         "volume_id",
@@ -285,27 +316,39 @@ def recovered_rows(
     )
     rows = deleted.join(facts, ["volume_id", "meta_addr"], "left").withColumns(
         {
-            "tier_reason": F.when(F.col("confidence_tier").isNull(), REASON_NO_RUNS).otherwise(F.col("tier_reason")),
+            "tier_reason": F.when(F.col("confidence_tier").isNull(), REASON_NO_INODE).otherwise(F.col("tier_reason")),
             "confidence_tier": F.coalesce("confidence_tier", F.lit(OVERWRITTEN)),
-            "meta_type": F.coalesce("meta_type", F.lit("reg")),
+            "meta_type": F.coalesce("meta_type", F.lit("unknown")),
         }
     )
-    if contents is None:
-        rows = rows.withColumn("content", F.lit(None).cast("binary"))
+    inode = ["volume_id", "meta_addr"]
+    if digests is not None:
+        told = digests.select(*inode, *hashes.ALGORITHMS, "hash_skipped", F.col("head").alias("_head"))
+        rows = rows.join(told, inode, "left")
+        some = F.col("_head").isNotNull() & (F.col("size") > 0)
+        rows = rows.withColumns(
+            {
+                "hash_skipped": F.when(some, F.col("hash_skipped")),
+                "file_type": F.when(some & ~F.col("hash_skipped").eqNullSafe(TOO_BIG), signatures.file_type(F.col("_head"))),
+                **{a: F.when(some, F.col(a)) for a in hashes.ALGORITHMS},
+            }
+        )
     else:
-        rows = rows.join(contents.select("volume_id", "meta_addr", "content"), ["volume_id", "meta_addr"], "left")
-    readable = F.col("content").isNotNull() & (F.col("size") > 0)
-    too_big = F.lit(False) if max_hash_size is None else F.col("size") > max_hash_size
-    whole = F.octet_length("content") == F.col("size")
-    rows = rows.withColumns(
-        {
-            "hash_skipped": F.when(
-                readable, F.when(too_big, "exceeds_max_hash_size").when(~whole, "short_read")
-            ),
-            "file_type": F.when(readable & ~too_big, signatures.file_type(F.col("content"))),
-        }
-    )
-    hashable = readable & F.col("hash_skipped").isNull()
+        if contents is None:
+            rows = rows.withColumn("content", F.lit(None).cast("binary"))
+        else:
+            rows = rows.join(contents.select(*inode, "content"), inode, "left")
+        readable = F.col("content").isNotNull() & (F.col("size") > 0)
+        too_big = F.lit(False) if max_hash_size is None else F.col("size") > max_hash_size
+        whole = F.octet_length("content") == F.col("size")
+        rows = rows.withColumns(
+            {
+                "hash_skipped": F.when(readable, F.when(too_big, TOO_BIG).when(~whole, "short_read")),
+                "file_type": F.when(readable & ~too_big, signatures.file_type(F.col("content"))),
+            }
+        )
+        hashable = readable & F.col("hash_skipped").isNull()
+        rows = rows.withColumns({a: F.when(hashable, hashes.digest(F.col("content"), a)) for a in hashes.ALGORITHMS})
     rationale = attributes.flags_json(
         hash_skipped=F.col("hash_skipped"),
         tier_reason=F.col("tier_reason"),
@@ -321,7 +364,6 @@ def recovered_rows(
             F.col("volume_id"), F.col("volume_offset"), F.col("meta_addr"), F.col("name")
         ),
         "attributes": rationale,
-        **{a: F.when(hashable, hashes.digest(F.col("content"), a)) for a in hashes.ALGORITHMS},
     }
     columns = []
     for field in FILES.fields:

@@ -24,6 +24,39 @@ STAGE_EXCLUSION = {
 PROVENANCE = ("time_precision", "assumed_timezone", "file_type_provenance")
 
 
+def header(cases: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The case and the evidence that a report is about; no wall clock."""
+    named = cases.select("case_id", F.col("name").alias("case_name"), "examiner", "notes")
+    chosen = evidence.select("case_id", "evidence_source_id", "evidence_id", F.col("path").alias("acquisition_source"), "image_type")
+    return chosen.join(named, "case_id").orderBy("evidence_source_id")
+
+
+def integrity(checks: DataFrame) -> DataFrame:
+    """One row: was anything supplied to compare with, did all of it match, did a re-verification find a change.
+
+    Nothing supplied is no match: ``acquisition_compare_pass`` needs a digest
+    that was given and that agrees.
+    """
+    acquired, again = F.col("check") == "acquisition", F.col("check") == "reverify"
+    given = acquired & (F.col("outcome") != "NOT_COMPARED")
+    counts = checks.agg(
+        F.count_if(given).alias("compared"),
+        F.count_if(acquired & (F.col("outcome") == "NOT_COMPARED")).alias("not_compared"),
+        F.count_if(acquired & (F.col("outcome") == "FAIL")).alias("mismatches"),
+        F.count_if(acquired & (F.col("outcome") == "MALFORMED")).alias("malformed"),
+        F.count_if(again).alias("drifted"),
+    )
+    failed = F.col("mismatches") + F.col("malformed")
+    return counts.withColumns(
+        {
+            "acquisition_supplied": F.col("compared") > 0,
+            "acquisition_compare_pass": (F.col("compared") > 0) & (failed == 0),
+            "reverify_pass": F.col("drifted") == 0,
+            "passed": (failed == 0) & (F.col("drifted") == 0),
+        }
+    )
+
+
 def inventory_rows(files: DataFrame) -> DataFrame:
     """Without recovered rows, which repeat a deleted inode of the inventory."""
     return files.where("recovered is not true")

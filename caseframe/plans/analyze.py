@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 
 from caseframe import schemas
 from caseframe.functions import names, signatures
-from caseframe.operators import inventory, known, recovery, report, search, timeline
+from caseframe.operators import contents as pieced
+from caseframe.operators import inventory, known, quality, recovery, report, search, timeline
 from caseframe.operators.logs import discover, parse, resolve
 from caseframe.operators.ordered import settled, top_n
 from caseframe.session import pin
 from caseframe.sources import text
-from caseframe.sources.tables import CaseTables, write_recovered, write_report
+from caseframe.sources.tables import FILESYSTEM, LOG, CaseTables, write_listing, write_pieces, write_recovered, write_report
 
 BAD_LIST = "known-bad"
 
@@ -87,24 +88,56 @@ def run_recover(
     max_hash_size: int | None = None,
     evidence_source_id: int | None = None,
     recovered_folder: str | None = None,
+    blocks: DataFrame | None = None,
+    block_size: int = 4096,
 ) -> None:
     """Deleted inodes with tiers as additional file rows.
 
     ``entries`` are directory entries with ``allocated``, ``meta_type`` and
-    ``entry_ordinal``. With ``recovered_folder`` the recovered contents are
-    written there under their confined names.
+    ``entry_ordinal``. Contents are given (``contents``), or put together from
+    the image's ``blocks`` (volume_id, block_index, data). With
+    ``recovered_folder`` they are written there under their confined names, from
+    blocks as pieces in order, up to the first block that cannot be read.
     """
     source = _source(tables, evidence_source_id)
     found = recovery.deleted_inodes(entries, inodes)
-    rows = recovery.recovered_rows(found, recovery.with_tier(inodes, live=True), source, contents, max_hash_size)
+    inode, pieces, told = ["volume_id", "meta_addr"], None, None
+    if contents is None and blocks is not None:
+        wanted = inodes.join(found.select(*inode), inode, "left_semi")
+        pieces = tables.staged("recovered_pieces", pieced.recovered_chunks(wanted, blocks, block_size), source)
+        read = pieced.chunk_digests(pieces, wanted, inode, max_hash_size)
+        heads = pieces.where("base = 0").select(*inode, F.col("data").alias("head"))
+        told = tables.staged("recovered_digests", read.join(heads, inode, "left"), source)
+    rows = recovery.recovered_rows(found, recovery.with_tier(inodes, live=True), source, contents, max_hash_size, told)
     tables.append("files", rows)
+    kept = tables.read("files", source).where("recovered").select(*inode, "size", "recovered_path")
     if contents is not None and recovered_folder is not None:
-        kept = rows.select("volume_id", "meta_addr", "size", "recovered_path")
-        body = kept.join(contents.select("volume_id", "meta_addr", "content"), ["volume_id", "meta_addr"])
-        write_recovered(body, recovered_folder)
+        write_recovered(kept.join(contents.select(*inode, "content"), inode), recovered_folder)
+    if pieces is not None and recovered_folder is not None:
+        whole = pieced.readable(pieces, told.where(~F.col("hash_skipped").eqNullSafe(recovery.TOO_BIG)), inode)
+        write_pieces(kept.join(whole, inode), recovered_folder)
     tables.record_stage(_case_of(tables, source), "recover")
 
 
+def run_verify(
+    tables: CaseTables,
+    manifest: DataFrame,
+    baseline: DataFrame | None = None,
+    evidence_source_id: int | None = None,
+) -> None:
+    """Acquisition compare and re-verification of the files of a source.
+
+    ``manifest``: path, supplied (a digest, or NULL). ``baseline``: path, md5,
+    sha256 of an earlier run; what changed, appeared or vanished since is noted.
+    """
+    source = _source(tables, evidence_source_id)
+    files = report.inventory_rows(tables.read("files", source)).where("md5 is not null or sha256 is not null")
+    digests = files.groupBy("path").agg(F.min("md5").alias("md5"), F.min("sha256").alias("sha256"))
+    tables.append("integrity_checks", quality.acquisition_rows(quality.verify_manifest(digests, manifest), source))
+    if baseline is not None:
+        tables.append("integrity_checks", quality.drift_rows(quality.manifest_drift(baseline, digests), source))
+
+
 def run_filter(
     tables: CaseTables,
     lists: Sequence[HashList] = (),
@@ -156,7 +189,8 @@ def run_logs(
     source = _source(tables, evidence_source_id)
     files = tables.read("files", source)
     found = discover.members(contents.withColumn("evidence_source_id", F.lit(source).cast("long")))
-    lines = text.lines_of_members(found)
+    # Members are inflated once; lines are read for the records and for what was read.
+    lines = tables.staged("log_lines", text.lines_of_members(found), source)
     if extra_lines is not None:
         lines = lines.unionByName(extra_lines)
     zones = resolve.host_zones(config_files)
@@ -178,7 +212,7 @@ def run_logs(
     # Year inference reads the records twice; parsing runs once.
     records = tables.staged("log_records", parse.parse(lines, parsers), source)
     resolved = resolve.resolve(records, members, strict_rfc5424, scope=year_scope)
-    if not report.has_source_prefix(tables.read("timeline_events", source), "filesystem"):
+    if not tables.has_family("timeline_events", source, FILESYSTEM):
         run_timeline(tables, source)
     events = settled(resolve.to_events(resolved))
     tables.append_in_order("timeline_events", events, schemas.ORDER_TIMELINE)
@@ -245,7 +279,9 @@ def report_sections(tables: CaseTables, evidence_source_id: int | None = None) -
     source = _source(tables, evidence_source_id)
     files = tables.read("files", source)
     events = tables.read("timeline_events", source)
+    log_rows = tables.read("timeline_events", source, LOG)
     findings = tables.read("log_findings", source)
+    checks = tables.read("integrity_checks", source)
     matches = tables.read("known_file_matches", source)
     hits = tables.read("search_hits", source)
     run_log = tables.read("run_log").where(F.col("case_id") == _case_of(tables, source))
@@ -255,7 +291,12 @@ def report_sections(tables: CaseTables, evidence_source_id: int | None = None) -
         "logs": findings,
         "search": hits,
     }
+    evidence = tables.read("evidence_sources", source)
     return {
+        "header": report.header(tables.read("cases"), evidence),
+        "evidence_hashes": evidence.select("evidence_source_id", "path", "byte_size", "md5", "sha256"),
+        "integrity": report.integrity(checks),
+        "integrity_failures": checks.where("outcome not in ('PASS', 'NOT_COMPARED')").orderBy("check", "path", "outcome"),
         "inventory": report.inventory_counts(files),
         "walk": report.walk_counts(files, tables.read("volume_limitations", source)),
         "per_volume": report.per_volume(files),
@@ -265,9 +306,9 @@ def report_sections(tables: CaseTables, evidence_source_id: int | None = None) -
         "known_nsrl": report.nsrl_by_column(matches),
         "known_custom": report.custom_by_list(matches),
         "known_files": report.known_files_distinct(matches),
-        "log_sources": report.log_by_source(events),
-        "log_inferred": report.log_inferred_counts(events),
-        "log_run": report.log_run_counts(events, findings),
+        "log_sources": report.log_by_source(log_rows),
+        "log_inferred": report.log_inferred_counts(log_rows),
+        "log_run": report.log_run_counts(log_rows, findings),
         "disclosures": findings.select("category", "subject", "detail").orderBy("category", "subject", "detail"),
         "search_breakdown": report.search_by_region_kind(hits),
         "search_run": report.search_run_counts(hits),
@@ -277,6 +318,22 @@ def report_sections(tables: CaseTables, evidence_source_id: int | None = None) -
     }
 
 
+def report_listings(tables: CaseTables, evidence_source_id: int | None = None) -> dict[str, tuple[DataFrame, list[str]]]:
+    """The full listings of a report with their declared orders."""
+    source = _source(tables, evidence_source_id)
+    files = tables.read("files", source)
+    matches = tables.read("known_file_matches", source)
+    return {
+        "timeline": (tables.read("timeline_events", source), schemas.ORDER_TIMELINE),
+        "recovered": (report.recovered_files(files), schemas.ORDER_RECOVERED),
+        "orphans": (report.orphan_files(files), schemas.ORDER_RECOVERED),
+        "known": (known.with_file_columns(matches, files), schemas.ORDER_MATCHES),
+        "search_hits": (tables.read("search_hits", source), schemas.ORDER_HITS),
+    }
+
+
 def write_sections(tables: CaseTables, folder: str, evidence_source_id: int | None = None) -> None:
-    """Write every breakdown as one JSON file."""
+    """Write every breakdown as one JSON file, and every listing as Parquet in order with positions."""
     write_report(report_sections(tables, evidence_source_id), folder)
+    for name, (rows, order) in report_listings(tables, evidence_source_id).items():
+        write_listing(rows, order, f"{folder}/listing_{name}")

@@ -10,6 +10,7 @@ _MODULES = (
     "inventory_queries",
     "known_queries",
     "log_queries",
+    "source_queries",
     "search_queries",
     "recovery_queries",
     "report_queries",

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseframe.functions import labels, signatures, times
-from caseframe.operators import inventory, quality, timeline
+from caseframe.operators import contents as pieced
+from caseframe.operators import inventory, ordered, quality, timeline
 from caseframe.plans.registry import iso_sql, query
 from caseframe.plans.views import table, view
+from caseframe.schemas import ORDER_TIMELINE
 
 FAT_ZONE = "Asia/Kolkata"
 MAX_HASH = 20000
@@ -156,6 +158,31 @@ def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+DIGEST_PIECE = 4096
+
+
+@query(
+    "chunk_digests",
+    f"""WITH d AS (SELECT doc_id AS object_id, text, strlen(text) AS size, doc_id % 7 = 0 AND strlen(text) > {DIGEST_PIECE} AS short FROM documents)
+    SELECT object_id, CAST(size AS BIGINT) AS size, CAST(CASE WHEN short THEN {DIGEST_PIECE} ELSE size END AS BIGINT) AS read_length,
+      CASE WHEN NOT short THEN md5(text) END AS md5, CASE WHEN NOT short THEN sha1(text) END AS sha1,
+      CASE WHEN NOT short THEN sha256(text) END AS sha256, CASE WHEN short THEN 'short_read' END AS hash_skipped FROM d""",
+)
+def chunk_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of contents stored in pieces; of every seventh the second piece is lost."""
+    docs = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id as object_id", "cast(text as binary) as content", "cast(octet_length(text) as bigint) as size"
+    )
+    count = F.expr(f"cast((size - 1) div {DIGEST_PIECE} as int)")
+    cut = docs.where("size > 0").select("object_id", "content", F.explode(F.sequence(F.lit(0), count)).alias("no"))
+    pieces = cut.where("object_id % 7 <> 0 or no <> 1").select(
+        "object_id",
+        (F.col("no") * F.lit(DIGEST_PIECE).cast("long")).alias("base"),
+        F.substring(F.col("content"), F.col("no") * DIGEST_PIECE + 1, F.lit(DIGEST_PIECE)).alias("data"),
+    )
+    return pieced.chunk_digests(pieces, docs.select("object_id", "size"), ["object_id"])
+
+
 _SKIP_SQL = f"""WITH e AS (
   SELECT file_id, meta_type, COALESCE(allocated, false) AS allocated,
     CASE WHEN file_id % 29 = 0 THEN NULL ELSE content_text END AS content,
@@ -195,8 +222,8 @@ _TYPE_CASE = (
     " WHEN starts_with(content, 'GIF89a') THEN 'image/gif' WHEN starts_with(content, '#!') THEN 'text/x-shellscript'"
     " WHEN starts_with(content, '<?xml') THEN 'text/xml' WHEN starts_with(content, '<!DOCTYPE html') THEN 'text/html'"
     " WHEN starts_with(content, '<!doctype html') THEN 'text/html' WHEN starts_with(content, '<html') THEN 'text/html'"
-    " WHEN regexp_matches(content, '[\\x00-\\x06\\x0e-\\x1a\\x1c-\\x1f\\x7f]') THEN 'application/octet-stream'"
-    " ELSE 'text/plain' END"
+    " ELSE CASE WHEN regexp_matches(looked_at, '[\\x00-\\x06\\x0e-\\x1a\\x1c-\\x1f\\x7f]') THEN 'application/octet-stream'"
+    " ELSE 'text/plain' END END"
 )
 _CONTENTS_SQL = (
     "contents AS (SELECT 'document' AS origin, doc_id AS object_id, text AS content FROM documents"
@@ -213,16 +240,41 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(pages).unionByName(turns)
 
 
+#: Leading bytes that are put before the contents of two thirds of the documents: every signature and container marker.
+HEADS = [
+    *[(bytes(at) + magic, mime, None) for at, magic, mime in signatures.SIGNATURES],
+    *[(bytes(0 if window == len(marker) else 3) + marker, None, hint) for window, marker, hint in signatures.CONTAINER_MARKERS],
+]
+HEAD_CYCLE = 3 * len(HEADS) // 2
+
+
+def _value(text: str | None) -> str:
+    return "NULL" if text is None else f"'{text}'"
+
+
+_HEADS_SQL = "heads AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({k}, {len(head)}, {'true' if b'\0' in head else 'false'}, {_value(mime)}, {_value(hint)})" for k, (head, mime, hint) in enumerate(HEADS)
+) + ") v(k, head_size, head_opaque, head_type, hint))"
+
+
+# What is looked at is the first 4096 bytes; characters beyond ASCII stand for as many bytes.
 @query(
     "file_type_sig",
-    f"""WITH {_CONTENTS_SQL} SELECT origin, object_id, {_TYPE_CASE} AS file_type,
-      CASE WHEN starts_with(content, 'LUKS') AND false THEN 'likely LUKS'
-           WHEN contains(substr(content, 1, 16), '-FVE-FS-') THEN 'likely BitLocker' END AS encryption_hint
-    FROM contents""",
+    f"""WITH {_CONTENTS_SQL}, {_HEADS_SQL},
+    joined AS (SELECT origin, object_id, content, head_type, hint, head_size, head_opaque,
+        substring(regexp_replace(regexp_replace(regexp_replace(content, '[\\x{{80}}-\\x{{7ff}}]', '??', 'g'), '[\\x{{800}}-\\x{{ffff}}]', '???', 'g'),
+          '[\\x{{10000}}-\\x{{10ffff}}]', '????', 'g'), 1, {signatures.HEAD_BYTES} - coalesce(head_size, 0)) AS looked_at
+      FROM contents LEFT JOIN heads ON origin = 'document' AND object_id % {HEAD_CYCLE} = k)
+    SELECT origin, object_id, CASE WHEN head_type IS NOT NULL THEN head_type WHEN head_size IS NULL THEN {_TYPE_CASE}
+      WHEN head_opaque OR regexp_matches(looked_at, '[\\x00-\\x06\\x0e-\\x1a\\x1c-\\x1f\\x7f]') THEN 'application/octet-stream' ELSE 'text/plain' END AS file_type,
+      hint AS encryption_hint FROM joined""",
 )
 def file_type_sig(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content type by signature and container hint of every object."""
-    return contents(spark, sf_dir).select(
+    """Content type by signature and container hint of every object; every signature occurs."""
+    heads = F.array(*[F.lit(head) for head, _, _ in HEADS])
+    head = F.when(F.col("origin") == "document", F.get(heads, (F.col("object_id") % HEAD_CYCLE).cast("int")))
+    rows = contents(spark, sf_dir).withColumn("content", F.concat(F.coalesce(head, F.lit(b"")), F.col("content")))
+    return rows.select(
         "origin",
         "object_id",
         signatures.file_type(F.col("content")).alias("file_type"),
@@ -245,6 +297,21 @@ def timeline_macb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(times.iso_utc(F.col("ts_utc")).alias("ts_utc"), *_EVENT_COLUMNS)
 
 
+@query(
+    "timeline_positions",
+    f"""WITH {NORMALIZED_SQL}, {EVENTS_SQL}
+    SELECT row_number() OVER (ORDER BY ts_utc NULLS FIRST, volume_id, volume_offset, path, event_type,
+        meta_addr NULLS FIRST, source, actor NULLS FIRST, file_id) AS position,
+      {iso_sql('ts_utc')} AS ts_utc, {', '.join(_EVENT_COLUMNS)} FROM fs_events""",
+    ("entries_v",),
+)
+def timeline_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events with their position in the total order, counted in parallel."""
+    events = timeline.macb_events(normalized_files(spark, sf_dir))
+    listed = ordered.numbered(events, ORDER_TIMELINE)
+    return listed.select("position", times.iso_utc(F.col("ts_utc")).alias("ts_utc"), *_EVENT_COLUMNS)
+
+
 @query(
     "timeline_top_n",
     f"""WITH {NORMALIZED_SQL}, {EVENTS_SQL}, ranked AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseframe.functions import names, times
+from caseframe.functions import attributes, names, times
 from caseframe.operators import report, timeline
 from caseframe.operators.logs import discover, parse, resolve, years
 from caseframe.operators.ordered import settled
@@ -17,8 +17,8 @@ from caseframe.sources import text
 LOG_ZONE = "Asia/Tokyo"
 LOG_ZONE_SECONDS = 9 * 3600
 
-_BREAKS = "\\r\\n|[\\n\\r\\x{0b}\\x{0c}\\x{1c}\\x{1d}\\x{1e}\\x{85}\\x{2028}\\x{2029}]"
-_LINES_SQL = f"""pieces AS (SELECT doc_id, string_split_regex(text, '{_BREAKS}') AS p FROM documents),
+BREAKS = "\\r\\n|[\\n\\r\\x{0b}\\x{0c}\\x{1c}\\x{1d}\\x{1e}\\x{85}\\x{2028}\\x{2029}]"
+_LINES_SQL = f"""pieces AS (SELECT doc_id, string_split_regex(text, '{BREAKS}') AS p FROM documents),
   all_lines AS (SELECT doc_id, unnest(p) AS line, unnest(range(len(p))) AS line_no, len(p) AS n FROM pieces),
   doc_lines AS (SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM all_lines
     WHERE NOT (line_no = n - 1 AND line = ''))"""
@@ -38,6 +38,41 @@ def src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.drop_blank(document_lines(spark, sf_dir))
 
 
+LINE_PIECE = 4096
+
+
+@query(
+    "src_lines_pieces",
+    f"WITH {_LINES_SQL} SELECT doc_id, line, CAST(COUNT(*) AS BIGINT) AS copies FROM doc_lines GROUP BY ALL",
+)
+def src_lines_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document read in pieces of 4 KiB."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "cast(text as binary) as content")
+    lines = text.lines_of_pieces(text.cut_pieces(docs, ["doc_id"], LINE_PIECE), ["doc_id"])
+    return lines.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _facts(lines: DataFrame) -> DataFrame:
+    """A user's parser: facts of other types than text, one under a name that the analysis uses itself."""
+    n = F.col("line_ord")
+    facts = F.struct((n % 7).alias("number"), (n % 2 == 0).alias("even"), F.array(n, n + 1).alias("list"), F.lit("lost").alias("kind"))
+    return lines.select("volume_id", "path", "line_ord", "line_sub", "line", facts.alias("extra"))
+
+
+@query(
+    "parser_attributes",
+    """SELECT line_ord, line AS raw, '{"even":' || CAST(line_ord % 2 = 0 AS VARCHAR) || ',"kind":"facts","list":[' || line_ord || ',' || line_ord + 1
+      || '],"number":' || line_ord % 7 || ',"rfc5424":false}' AS attributes FROM loglines_v WHERE path = '/var/log/messages'""",
+    ("loglines_v",),
+)
+def parser_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a plug-in parser adds arrives in the attributes with its type; the analysis's own flags win."""
+    plug_in = parse.Parser("facts", lambda path: path.endswith("/messages"), records=_facts)
+    records = parse.parse(view(spark, sf_dir, "loglines_v"), (plug_in,))
+    flags = attributes.flags_json(kind=F.col("parser"), rfc5424=F.lit(False))
+    return records.select("line_ord", "raw", attributes.merged(F.col("extra"), flags).alias("attributes"))
+
+
 @query(
     "src_ioc_terms",
     f"""WITH {_LINES_SQL}, t AS (SELECT regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS term,
@@ -116,6 +151,8 @@ COMPLETENESS_SQL = f"""completeness AS (
   gaps AS (SELECT *, CASE WHEN top IS NULL THEN [] ELSE list_filter(range(0, top + 1), lambda i: NOT list_contains(present, i)) END AS missing
     FROM completeness),
   noted AS (SELECT *, array_to_string(present, ',') AS present_text, array_to_string(missing, ',') AS missing_text,
+    array_to_string(list_transform(list_filter(range(1, len(present) + 1), lambda i: present[i] - CASE WHEN i = 1 THEN -1 ELSE present[i - 1] END > 1),
+      lambda i: (CASE WHEN i = 1 THEN -1 ELSE present[i - 1] END + 1) || '-' || (present[i] - 1)), ',') AS range_text,
     CASE WHEN is_history THEN '{discover.NOTE_HISTORY}' WHEN len(missing) = 0 THEN '{discover.NOTE_COMPLETE}'
       ELSE 'log set may be incomplete: rotation indices [' || array_to_string(missing, ', ') ||
         '] absent (rotated out / never present)' END AS note FROM gaps)"""
@@ -124,7 +161,7 @@ COMPLETENESS_SQL = f"""completeness AS (
 @query(
     "rotation_completeness",
     f"""WITH {MEMBERS_SQL}, {COMPLETENESS_SQL} SELECT volume_id, set_key, subject, present_text AS present_indices,
-      missing_text AS missing_indices, CAST(member_count AS BIGINT) AS member_count, note FROM noted""",
+      missing_text AS missing_indices, range_text AS missing_ranges, CAST(member_count AS BIGINT) AS member_count, note FROM noted""",
     ("log_files_v",),
 )
 def rotation_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +172,7 @@ def rotation_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
         "subject",
         F.array_join("present_indices", ",").alias("present_indices"),
         F.array_join("missing_indices", ",").alias("missing_indices"),
+        F.array_join(F.transform("missing_ranges", lambda g: F.concat_ws("-", g["first"], g["last"])), ",").alias("missing_ranges"),
         "member_count",
         "note",
     )

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseframe.functions import names, times
-from caseframe.operators import recovery, report
+from caseframe.operators import contents, recovery, report
 from caseframe.plans.registry import iso_sql, query
 from caseframe.plans.views import table, view
 from caseframe.schemas import ORDER_RECOVERED
 
-BLOCKS_PER_VOLUME = 100_020
+#: Blocks behind the last one that a run of the volume reaches.
+SPARE_BLOCKS = 20
 
 
 def _quoted(text: str) -> str:
@@ -38,27 +39,97 @@ _OVERLAP = f"""{_BLOCKS}, shared AS (SELECT DISTINCT d.volume_id, d.meta_addr, d
     WHERE rn <= 32 GROUP BY 1, 2)"""
 
 
-@query("block_overlap", f"WITH {_OVERLAP} SELECT volume_id, meta_addr, overlapping_blocks FROM overlap", ("inodes_v",))
+@query(
+    "block_overlap",
+    f"""WITH {_OVERLAP}, counted AS (SELECT volume_id, meta_addr, CAST(COUNT(*) AS BIGINT) AS n_shared FROM shared GROUP BY ALL)
+    SELECT volume_id, meta_addr, n_shared, overlapping_blocks FROM overlap JOIN counted USING (volume_id, meta_addr)""",
+    ("inodes_v",),
+)
 def block_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deleted inodes that share blocks with allocated ones, by a bucketed range join."""
     rows = recovery.block_overlap(inodes(spark, sf_dir), bucket=256)
-    return rows.select("volume_id", "meta_addr", F.array_join("overlapping_blocks", ",").alias("overlapping_blocks"))
+    return rows.select("volume_id", "meta_addr", "n_shared", F.array_join("overlapping_blocks", ",").alias("overlapping_blocks"))
+
+
+def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes that reach a little beyond their last run."""
+    rows = view(spark, sf_dir, "inodes_v").groupBy("volume_id", "volume_offset")
+    return rows.agg((F.max(F.col("run_start") + F.col("run_len")) + SPARE_BLOCKS).alias("block_count"))
+
+
+_EVERY = f"""volumes AS (SELECT volume_id, volume_offset, max(run_start + run_len) + {SPARE_BLOCKS} AS block_count FROM inodes_v GROUP BY ALL),
+    every AS (SELECT volume_id, volume_offset, unnest(range(block_count)) AS block FROM volumes),
+    free AS (SELECT volume_id, volume_offset, block FROM every ANTI JOIN taken USING (volume_id, block))"""
+
+
+@query(
+    "unallocated_runs",
+    f"""WITH {_BLOCKS}, {_EVERY},
+    placed AS (SELECT *, block - row_number() OVER (PARTITION BY volume_id ORDER BY block) AS island FROM free)
+    SELECT volume_id, volume_offset, min(block) AS "start", CAST(COUNT(*) AS BIGINT) AS len FROM placed GROUP BY volume_id, volume_offset, island""",
+    ("inodes_v",),
+)
+def unallocated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The complement of the allocated intervals of every volume, as runs."""
+    return recovery.unallocated_runs(volumes(spark, sf_dir), inodes(spark, sf_dir), bucket=256)
 
 
 @query(
     "unallocated_blocks",
-    f"""WITH {_BLOCKS}, volumes AS (SELECT DISTINCT volume_id FROM inodes_v),
-    every AS (SELECT volume_id, unnest(range({BLOCKS_PER_VOLUME})) AS block FROM volumes)
-    SELECT volume_id, CAST(block AS BIGINT) AS block_index FROM every ANTI JOIN taken USING (volume_id, block)""",
+    f"WITH {_BLOCKS}, {_EVERY} SELECT volume_id, CAST(block AS BIGINT) AS block_index FROM free",
     ("inodes_v",),
 )
 def unallocated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Block numbers owned by no allocated inode."""
-    rows = inodes(spark, sf_dir)
-    volumes = rows.select("volume_id", "volume_offset").distinct().withColumn(
-        "block_count", F.lit(BLOCKS_PER_VOLUME).cast("long")
-    )
-    return recovery.unallocated(recovery.block_numbers(volumes), rows).select("volume_id", "block_index")
+    """Block numbers owned by no allocated inode, as an anti-join of all numbers with the intervals of their bucket."""
+    every = recovery.block_numbers(volumes(spark, sf_dir))
+    return recovery.unallocated(every, inodes(spark, sf_dir)).select("volume_id", "block_index")
+
+
+RECOVERED_BLOCK = 128
+
+# Every document is a volume of blocks and holds one deleted file: the later half of the full blocks, a hole of one
+# block, the earlier half, the short last block; cut by some bytes. Of some volumes block 0 cannot be read; some
+# files lie in their record.
+_FILES = f"""b AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS bytes, strlen(text) // {RECOVERED_BLOCK} AS m FROM documents WHERE strlen(text) > 0),
+  laid AS (SELECT *, m // 2 AS half, substring(h, (m // 2) * {2 * RECOVERED_BLOCK} + 1, (m - m // 2) * {2 * RECOVERED_BLOCK})
+      || repeat('00', {RECOVERED_BLOCK}) || substring(h, 1, (m // 2) * {2 * RECOVERED_BLOCK}) || substring(h, m * {2 * RECOVERED_BLOCK} + 1) AS body,
+    doc_id % 11 = 3 AS resident FROM b),
+  sized AS (SELECT *, CASE WHEN resident THEN bytes - doc_id % 5 ELSE greatest(bytes + {RECOVERED_BLOCK} - doc_id % 50, 0) END AS size FROM laid),
+  reached AS (SELECT *, CASE WHEN resident THEN size WHEN doc_id % 9 = 4 AND m = 1 THEN 0 WHEN doc_id % 9 = 4
+      THEN least(size, (m - half + 1) * {RECOVERED_BLOCK}) ELSE size END AS read_length FROM sized)"""
+
+
+def recovered_files_and_blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "cast(text as binary) as content", "octet_length(text) as bytes")
+    docs = docs.where("bytes > 0").withColumn("m", F.expr(f"bytes div {RECOVERED_BLOCK}"))
+    run = lambda start, n: F.struct(start.cast("long").alias("start"), n.cast("long").alias("len"))
+    half, m = F.expr("m div 2"), F.col("m")
+    runs = F.array(run(half, m - half), run(F.lit(None), F.lit(1)), run(F.lit(0), half), run(m, F.lit(1)))
+    resident = F.col("doc_id") % 11 == 3
+    files = docs.select(
+        F.col("doc_id").alias("volume_id"), F.lit(7).cast("long").alias("meta_addr"), runs.alias("runs"),
+        F.when(resident, F.col("bytes") - F.col("doc_id") % 5)
+        .otherwise(F.greatest(F.col("bytes") + RECOVERED_BLOCK - F.col("doc_id") % 50, F.lit(0))).cast("long").alias("size"),
+        F.when(resident, F.col("content")).alias("resident"),
+    )
+    numbers = F.sequence(F.lit(0), F.expr(f"cast((bytes - 1) div {RECOVERED_BLOCK} as int)"))
+    blocks = docs.select("doc_id", "content", F.explode(numbers).alias("no")).where("doc_id % 9 <> 4 or no > 0")
+    data = F.substring(F.col("content"), F.col("no") * RECOVERED_BLOCK + 1, F.lit(RECOVERED_BLOCK))
+    return files, blocks.select(F.col("doc_id").alias("volume_id"), F.col("no").cast("long").alias("block_index"), data.alias("data"))
+
+
+@query(
+    "recovered_content",
+    f"""WITH {_FILES} SELECT doc_id AS volume_id, CAST(7 AS BIGINT) AS meta_addr, CAST(size AS BIGINT) AS size, CAST(read_length AS BIGINT) AS read_length,
+      CASE WHEN read_length = size THEN sha256(unhex(CASE WHEN resident THEN h ELSE body END[1:2 * size])) END AS sha256,
+      CASE WHEN read_length < size THEN 'short_read' END AS hash_skipped FROM reached""",
+)
+def recovered_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of deleted files put together from the blocks of their volumes, and their digests."""
+    files, blocks = recovered_files_and_blocks(spark, sf_dir)
+    pieces = contents.recovered_chunks(files, blocks, RECOVERED_BLOCK)
+    found = contents.chunk_digests(pieces, files, contents.INODE)
+    return found.select("volume_id", "meta_addr", "size", "read_length", "sha256", "hash_skipped")
 
 
 _DELETED = """live AS (SELECT volume_id, meta_addr AS parent_addr FROM inodes_v WHERE allocated),

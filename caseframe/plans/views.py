@@ -203,7 +203,7 @@ def _inodes(d: Dialect) -> list[str]:
         "o_orderkey % 43 = 0 AS orphan_flag",
         "o_orderstatus = 'F' AND o_orderkey % 37 = 0 AS now_allocated",
         "o_orderkey % 31 = 0 AS has_resident_data",
-        "(o_orderkey * 7) % 100000 AS run_start",
+        "o_orderkey * 3 AS run_start",
         "CASE WHEN o_orderkey % 29 = 0 OR o_orderkey % 31 = 0 THEN CAST(0 AS BIGINT) ELSE 1 + o_orderkey % 8 END AS run_len",
     ]
 

@@ -149,6 +149,7 @@ LOG_FINDINGS = _fields(
     ("detail", _S, True),
     ("present_indices", T.ArrayType(_L), True),
     ("missing_indices", T.ArrayType(_L), True),
+    ("missing_ranges", T.ArrayType(T.StructType([T.StructField("first", _L), T.StructField("last", _L)])), True),
     ("member_count", _L, True),
 )
 
@@ -181,6 +182,15 @@ EVIDENCE_SOURCES = _fields(
     ("attributes", _S, False),
 )
 
+INTEGRITY_CHECKS = _fields(
+    ("evidence_source_id", _L, False),
+    ("check", _S, False),
+    ("path", _S, False),
+    ("supplied", _S, True),
+    ("algorithm", _S, True),
+    ("outcome", _S, False),
+)
+
 RUN_LOG = _fields(("case_id", _L, False), ("stage", _S, False))
 
 TABLES: dict[str, T.StructType] = {
@@ -193,6 +203,7 @@ TABLES: dict[str, T.StructType] = {
     "known_file_matches": KNOWN_FILE_MATCHES,
     "search_hits": SEARCH_HITS,
     "timeline_events": TIMELINE_EVENTS,
+    "integrity_checks": INTEGRITY_CHECKS,
 }
 
 # Closed vocabularies (fixed values).
@@ -208,6 +219,10 @@ ENUMS: dict[str, dict[str, tuple[str, ...]]] = {
         "matched_on": ("md5", "sha1", "sha256"),
     },
     "log_findings": {"category": ("tamperability", "completeness")},
+    "integrity_checks": {
+        "check": ("acquisition", "reverify"),
+        "outcome": ("PASS", "FAIL", "NOT_COMPARED", "MALFORMED", "changed", "appeared", "vanished"),
+    },
     "files": {"confidence_tier": ("intact", "partial/overwritten")},
 }
 

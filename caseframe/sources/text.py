@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Everything that ends a line in decoded text, CRLF as one.
@@ -117,32 +118,19 @@ def damage(data: bytes | None) -> str | None:
     return None
 
 
-def _whole_lines(steps: Iterator[bytes]) -> Iterator[bytes]:
-    """The same bytes in pieces that end with a line feed, except the last."""
-    held: list[bytes] = []
-    for step in steps:
-        cut = step.rfind(b"\n") + 1
-        if cut:
-            yield b"".join([*held, step[:cut]])
-            held = []
-        held.append(step[cut:])
-    if any(held):
-        yield b"".join(held)
-
-
 def inflate_members(members: DataFrame) -> DataFrame:
-    """volume_id, path, piece, content: gzip members inflated in pieces of whole lines.
+    """volume_id, path, piece, content: gzip members inflated in pieces.
 
     A member is tested to its end before its first piece is made: a damaged one
     gives no rows here and one row of ``damaged_members``. Only one step of one
-    member is held, whatever it inflates to.
+    member is held, whatever it inflates to and wherever its lines end.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for volume_id, path, data in zip(pdf["volume_id"], pdf["path"], pdf["content"]):
                 if damage(data) is None:
-                    for n, piece in enumerate(_whole_lines(inflated(data))):
+                    for n, piece in enumerate(inflated(data)):
                         yield pd.DataFrame({"volume_id": [volume_id], "path": [path], "piece": [n], "content": [piece]})
 
     return members.select("volume_id", "path", "content").mapInPandas(run, "volume_id long, path string, piece long, content binary")
@@ -159,19 +147,81 @@ def damaged_members(members: DataFrame) -> DataFrame:
     return packed.withColumn("reason", reason("content")).where("reason is not null").drop("content")
 
 
-def lines_of_members(members: DataFrame) -> DataFrame:
+#: Bytes of a piece of a long plain member, and pieces that one window runs over.
+PIECE_BYTES = 1 << 20
+SEGMENT_PIECES = 4096
+
+
+def cut_pieces(members: DataFrame, keys: list[str], size: int = PIECE_BYTES) -> DataFrame:
+    """keys, piece, content: contents cut every ``size`` bytes; a content within one piece stays as it is."""
+    count = F.greatest(F.ceil(F.octet_length("content") / size), F.lit(1)).cast("int")
+    numbered = members.select(*keys, "content", F.explode(F.sequence(F.lit(0), count - 1)).alias("_no"))
+    return numbered.select(
+        *keys, F.col("_no").cast("long").alias("piece"),
+        F.substring(F.col("content"), F.col("_no") * size + 1, F.lit(size)).alias("content"),
+    )
+
+
+def lines_of_pieces(pieces: DataFrame, keys: list[str], segment: int = SEGMENT_PIECES) -> DataFrame:
+    """Lines of contents in pieces (keys, piece, content): keys, line_ord, line_sub, line.
+
+    The same lines as those of the whole contents. Inside a piece, whole lines
+    lie between its first and its last line feed; what is before belongs to the
+    line that an earlier piece has begun, what is behind begins one. Only these
+    ends are put together, so no value is longer than a piece and a line. Keys
+    are not null; pieces count from 0 without gaps.
+    """
+    raw = F.col("content").cast("string")  # cut at single bytes only
+    size, head, tail = (F.octet_length(x) for x in (F.col("content"), F.substring_index(raw, "\n", 1), F.substring_index(raw, "\n", -1)))
+    marked = pieces.select(*keys, "piece", "content", size.alias("_n"), head.alias("_head"), tail.alias("_tail"))
+    broken = F.col("_head") < F.col("_n")
+    part = lambda a, n: F.substring(F.col("content"), a.cast("int"), n.cast("int"))
+    inner = marked.where(broken & (F.col("_head") + F.col("_tail") + 1 < F.col("_n"))).select(
+        *keys, ((F.col("piece") * 2 + 1) * (1 << 31)).alias("_ord"),
+        part(F.col("_head") + 2, F.col("_n") - F.col("_head") - F.col("_tail") - 1).alias("content"),
+    )
+
+    # The line that a piece's beginning belongs to was begun behind the last line feed before it.
+    seg = F.expr(f"piece div {int(segment)}")
+    last = F.max(F.when(broken, F.col("piece")))
+    carried = marked.groupBy(*keys, seg.alias("_seg")).agg(last.alias("_last"))
+    before = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
+    carried = carried.select(*keys, "_seg", F.max("_last").over(before).alias("_carry"))
+    inside = W.partitionBy(*keys, "_seg").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    ends = marked.select(
+        *keys, "piece", seg.alias("_seg"), broken.alias("_broken"),
+        part(F.lit(1), F.least(F.col("_head") + 1, F.col("_n"))).alias("_first"), F.when(broken, part(F.col("_n") - F.col("_tail") + 1, F.col("_tail"))).alias("_rest"),
+    )
+    begun = F.max(F.when(F.col("_broken"), F.col("piece"))).over(inside)
+    placed = ends.withColumn("_begun", begun).join(carried, [*keys, "_seg"])
+    since = F.coalesce("_begun", "_carry", F.lit(-1))
+    fragments = placed.select(*keys, since.alias("_since"), "piece", F.col("_first").alias("_bytes")).unionByName(
+        placed.where("_broken").select(*keys, F.col("piece").alias("_since"), "piece", F.col("_rest").alias("_bytes"))
+    )
+    text = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("piece", F.decode("_bytes", "ISO-8859-1").alias("t")))), lambda f: f["t"]), ""
+    )
+    stitched = fragments.where(F.octet_length("_bytes") > 0).groupBy(*keys, "_since").agg(F.encode(text, "ISO-8859-1").alias("content"))
+    joined = stitched.select(*keys, ((F.col("_since") + 1) * (1 << 32)).alias("_ord"), "content")
+
+    both = inner.unionByName(joined).withColumn("_text", decoded(F.col("content")))
+    lines = lines_of(both.select(*keys, "_ord", "_text"), F.col("_text"))
+    return lines.select(*keys, (F.col("_ord") + F.col("line_ord")).alias("line_ord"), "line_sub", "line")
+
+
+def lines_of_members(members: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Lines of log members given their content.
 
     ``members``: volume_id, path, is_gz, content. Only gzip members pass
-    through Python.
+    through Python. A plain member above ``piece_bytes`` is read in pieces.
     """
-    narrow = members.select("volume_id", "path", "is_gz", "content").where("content is not null")
-    plain = narrow.where(~F.col("is_gz")).select("volume_id", "path", F.lit(0).cast("long").alias("_piece"), "content")
-    packed = inflate_members(narrow.where("is_gz")).withColumnRenamed("piece", "_piece")
-    both = plain.unionByName(packed).withColumn("_text", decoded(F.col("content")))
-    lines = lines_of(both.select("volume_id", "path", "_piece", "_text"), F.col("_text"))
-    # A piece has fewer than 2**32 lines, so keys ascend along the member.
-    return lines.withColumn("line_ord", F.shiftleft("_piece", 32) + F.col("line_ord")).drop("_text", "_piece")
+    keys = ["volume_id", "path"]
+    narrow = members.select(*keys, "is_gz", "content").where("content is not null")
+    long = ~F.col("is_gz") & (F.octet_length("content") > piece_bytes)
+    plain = narrow.where(~F.col("is_gz") & ~long).withColumn("_text", decoded(F.col("content")))
+    whole = lines_of(plain.select(*keys, "_text"), F.col("_text")).drop("_text")
+    pieces = cut_pieces(narrow.where(long), keys, piece_bytes).unionByName(inflate_members(narrow.where("is_gz")))
+    return whole.unionByName(lines_of_pieces(pieces, keys).select(*whole.columns))
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,7 +258,8 @@ def test_host_zone_order(spark):
 def test_a_huge_index_is_a_range(spark):
     rows = member_rows(spark, ["/v/auth.log", "/v/auth.log.3", "/v/auth.log.3000000000"])
     got = discover.completeness(rows).first()
-    assert got.missing_indices == [1, 2, 4, 2999999999] and "[1, 2, 4-2999999999] absent" in got.note
+    assert got.missing_indices == [1, 2] and "[1, 2, 4-2999999999] absent" in got.note
+    assert [tuple(g) for g in got.missing_ranges] == [(1, 2), (4, 2999999999)]
 
 
 def test_zones_unknown_to_the_jvm_are_undeterminable(spark):
@@ -296,8 +298,23 @@ def test_inflating_has_no_limit_and_takes_padding(monkeypatch):
     monkeypatch.setattr(text, "INFLATE_STEP", 50)
     packed = gzip.compress(b"ab\ncd\n") + b"\0" * 700 + gzip.compress(b"e" * 5000 + b"\n\nx") + b"\0" * 9
     assert b"".join(text.inflated(packed)) == b"ab\ncd\n" + b"e" * 5000 + b"\n\nx"
-    pieces = list(text._whole_lines(text.inflated(packed)))
-    assert len(pieces) > 2 and all(p.endswith(b"\n") for p in pieces[:-1])
+    assert max(map(len, text.inflated(packed))) <= 50
+
+
+def test_lines_of_pieces_are_those_of_the_whole(spark):
+    rng = random.Random(5)
+    marks = ["\n", "\r\n", "\r", "\x0b", "\u2028", "é", "a", "bc", "東", "x" * 40, "\n\n"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.choice([0, 1, 5, 60, 400]))) for _ in range(40)] + ["\n", "a\n", "\r\n" * 9, "z" * 500, ""]
+    data = [t.encode() for t in texts] + [b"\xff\xe2\x80\n\xa8 \xc3" * 30]
+    members = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate(data)], "id long, content binary")
+    whole = members.withColumn("t", text.decoded(F.col("content")))
+    want = [(r.id, r.line) for r in text.lines_of(whole.select("id", "t"), F.col("t")).orderBy("id", "line_ord").collect()]
+    for size, segment in ((1, 3), (2, 5), (7, 4096), (64, 2), (1 << 20, 4096)):
+        lines = text.lines_of_pieces(text.cut_pieces(members, ["id"], size), ["id"], segment)
+        assert [(r.id, r.line) for r in lines.orderBy("id", "line_ord", "line_sub").collect()] == want, size
+    paths = members.selectExpr("0L as volume_id", "string(id) as path", "false as is_gz", "content")
+    got = text.lines_of_members(paths, piece_bytes=11).orderBy(F.col("path").cast("int"), "line_ord", "line_sub").collect()
+    assert [(int(r.path), r.line) for r in got] == want
 
 
 @pytest.mark.parametrize("data", [b"", b"junk", gzip.compress(b"abc" * 99)[:-9], gzip.compress(b"abc") + b"junk", b"\0" * 20])

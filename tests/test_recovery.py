@@ -31,10 +31,10 @@ def test_overlap_equals_block_sets(spark, bucket):
     for r in rows:
         if not r["allocated"]:
             taken = set().union(*[blocks(o) for o in rows if o["allocated"] and o["volume_id"] == r["volume_id"]])
-            shared = sorted(blocks(r) & taken)[:32]
+            shared = sorted(blocks(r) & taken)
             if shared:
-                want[r["meta_addr"]] = shared
-    got = {r.meta_addr: r.overlapping_blocks for r in recovery.block_overlap(inodes(spark, rows), bucket).collect()}
+                want[r["meta_addr"]] = (len(shared), shared[:32])
+    got = {r.meta_addr: (r.n_shared, r.overlapping_blocks) for r in recovery.block_overlap(inodes(spark, rows), bucket).collect()}
     assert got == want
 
 
@@ -125,6 +125,33 @@ def test_names_of_reallocated_and_missing_inodes_stay(spark):
     rows = recovery.recovered_rows(found, recovery.with_tier(nodes, live=True), 1)
     got = {r.meta_addr: (r.confidence_tier, recovery.REASON_REALLOCATED in r.attributes) for r in rows.collect()}
     assert got[30] == ("partial/overwritten", True) and got[99] == ("partial/overwritten", False) and got[31][1] is False
+    lost = rows.where("meta_addr = 99").first()
+    assert lost.meta_type == "unknown" and recovery.REASON_NO_INODE in lost.attributes
+
+
+@pytest.mark.parametrize("bucket", [2, 8, 1024])
+def test_free_runs_are_the_complement(spark, bucket):
+    rng = random.Random(bucket)
+    rows = [
+        dict(meta_addr=k, volume_id=k % 3, allocated=k % 4 != 0, runs=[(rng.randrange(400), rng.choice([0, 1, 3, 40])) for _ in range(3)])
+        for k in range(24)
+    ]
+    nodes = inodes(spark, rows)
+    volumes = spark.createDataFrame([(0, 7, 500), (1, 7, 300), (2, 7, 0), (9, 7, 12)], "volume_id long, volume_offset long, block_count long")
+    want = set()
+    for v, n in ((0, 500), (1, 300), (9, 12)):
+        taken = {b for r in rows if r["allocated"] and r["volume_id"] == v for s, k in r["runs"] for b in range(s, s + k)}
+        free = [b for b in range(n) if b not in taken]
+        for b in free:
+            if b - 1 not in free:
+                end = b
+                while end + 1 in free:
+                    end += 1
+                want.add((v, 7, b, end - b + 1))
+    got = recovery.unallocated_runs(volumes, nodes, bucket).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    every = recovery.unallocated(recovery.block_numbers(volumes), nodes, bucket).collect()
+    assert sorted((r.volume_id, r.block_index) for r in every) == sorted((v, b) for v, _, s, n in want for b in range(s, s + n))
 
 
 def test_unallocated_complement(spark):

@@ -38,9 +38,9 @@ from caseframe.llm import textops
 LONG_PIECE = 256
 #: Rows of one query, and bytes of the pieces remembered between batches: both bound memory, not results.
 QUERY_ROWS = 1 << 21
-REMEMBERED_BYTES = 48 << 20
+REMEMBERED_BYTES = 128 << 20
 #: What a remembered piece costs besides its bytes.
-ENTRY_BYTES = 300
+ENTRY_BYTES = 260
 MEMORY_LIMIT = "400MB"
 #: Text whose pieces are looked up at once; a query has a fixed cost for each round.
 SLICE_BYTES = 16 << 20
@@ -146,7 +146,9 @@ class Encoder:
     def __init__(self, tokens: list[bytes], pattern: str):
         self.vocabulary = Vocabulary(tokens)
         self.pattern = pattern
+        # What was met since the last change of generations, and in the one before.
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes]] = {}
         self.known_bytes = 0
         self.byte_ids = np.array([self.vocabulary.ranks[bytes([b])] for b in range(256)], np.int32)
         self.con = duckdb.connect()
@@ -196,7 +198,11 @@ class Encoder:
 
     def lookup(self, pieces: list[bytes]) -> tuple[list[bytes], list[bytes]]:
         """Ids (little-endian 32 bit) and decoded bytes of each distinct piece."""
-        found = {p: self.known[p] for p in pieces if p in self.known}
+        found = {}
+        for p in pieces:
+            entry = self.known.get(p) or self.older.get(p)
+            if entry:
+                found[p] = entry
         whole = [p for p in pieces if p not in found and p in self.vocabulary.ranks]
         rest = [p for p in pieces if p not in found and p not in self.vocabulary.ranks]
         ids = [self.vocabulary.ranks[p].to_bytes(4, "little") for p in whole]
@@ -208,16 +214,21 @@ class Encoder:
         at = 0
         for run in runs(whole + short + long, one_round):
             part, at = ids[at : at + len(run)], at + len(run)
-            found.update(zip(run, zip(part, self.decode(part))))
-        size = sum(ENTRY_BYTES + 6 * len(p) for p in found if p not in self.known)  # ids take up to four bytes a byte
-        if self.known_bytes + size > REMEMBERED_BYTES:
-            self.known, self.known_bytes = {}, 0
-        elif size:
-            self.known.update(found)
-            self.known_bytes += size
+            for p, code, plain in zip(run, part, self.decode(part)):
+                found[p] = code, p if plain == p else plain  # one object for both
+        self.remember(found)
         both = [found[p] for p in pieces]
         return [x[0] for x in both], [x[1] for x in both]
 
+    def remember(self, found: dict[bytes, tuple[bytes, bytes]]) -> None:
+        """Keep what was met; the generation before goes when this one is full."""
+        for p, entry in found.items():
+            if p not in self.known:
+                self.known[p] = entry
+                self.known_bytes += ENTRY_BYTES + len(p) + len(entry[0])
+                if self.known_bytes > REMEMBERED_BYTES // 2:
+                    self.older, self.known, self.known_bytes = self.known, {}, 0
+
     def split(self, batch: pa.RecordBatch) -> pa.ListArray:
         pieces = batch.column(_PIECES)
         odd = batch.column(_UNKNOWN)

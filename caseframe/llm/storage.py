@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from caseframe.session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where the session names none (local runs)."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="caseframe-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+__all__ = ["partitions", "shared_folder", "staged"]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

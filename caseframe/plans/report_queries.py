@@ -73,7 +73,7 @@ def walk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "file_type_distribution",
-    f"""WITH {_CONTENTS_SQL} SELECT {_TYPE_CASE} AS file_type, CAST(COUNT(*) AS BIGINT) AS "count" FROM contents GROUP BY 1""",
+    f"""WITH {_CONTENTS_SQL} SELECT {_TYPE_CASE.replace('looked_at', 'content')} AS file_type, CAST(COUNT(*) AS BIGINT) AS "count" FROM contents GROUP BY 1""",
 )
 def file_type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content types, most frequent first."""

@@ -103,7 +103,8 @@ def search_ioc_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hit of every word of a long list of indicators, found where the content lies."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
     terms = words.select(F.col("w").cast("binary").alias("term"), F.lit("ioc").alias("kind"))
-    hits = search.search_term_table(spread(_objects(spark, sf_dir)), terms, context=False)
+    objects = spread(_objects(spark, sf_dir).select("file_id", "content"))
+    hits = search.search_term_table(objects, terms, context=False)
     return hits.select("file_id", "term", "byte_offset")
 
 

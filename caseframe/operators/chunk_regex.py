@@ -3,10 +3,10 @@
 A left-to-right scan resumes where its last match ended, which may lie in the
 next window. A window therefore tells, for each place where a scan can enter it,
 where that scan leaves it; only windows that can be left behind their end matter
-to others. These maps are composed over stretches of ``STRETCH`` windows, and
-stretches of stretches, so that an object of any length is followed through
-groups of bounded size: up by composition, along the few top rows, and down
-again to the windows. Content is never moved for it.
+to others. These maps are composed over stretches of ``STRETCH`` windows (and
+stretches of stretches, with more ``LEVELS``), so that an object is followed
+through groups of bounded size: up by composition, along the few top rows, and
+down again to the windows. Content is never moved for it.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from caseframe.functions import scan
 
-STRETCH = 256
-#: Two levels of stretches: a top row stands for STRETCH ** 2 windows.
-LEVELS = 2
+STRETCH = 1024
+#: Levels of stretches: a top row stands for STRETCH ** LEVELS windows.
+LEVELS = 1
 
 _MAP = "uptos array<bigint>, leaves array<bigint>"
 _ROWS = f"_object binary, no bigint, first bigint, {_MAP}"
